@@ -79,9 +79,9 @@ def _running_best(rows: DataFrame, by: Sequence[str]) -> DataFrame:
     Prefix maximum in two levels: within ranges of `seq`, then over the ranges, so no task holds a whole group.
     """
     rows = rows.withColumn("_bucket", F.floor(F.col("seq") / _BUCKET))
-    inner = (
-        Window.partitionBy(*by, "key", "_bucket").orderBy("seq", "probe").rowsBetween(Window.unboundedPreceding, -1)
-    )
+    # a probe looks at the rows before its own
+    order = [F.col("seq"), F.col("probe").desc()]
+    inner = Window.partitionBy(*by, "key", "_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     outer = Window.partitionBy(*by, "key").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     member = F.when(~F.col("probe"), F.col("q"))
     carried = (
