@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
@@ -13,7 +14,10 @@ from briefloom.operators import select as sel
 from briefloom.plans.driver_views import (
     ITEMS_SQL, RAW_SQL, TERMS, TRIM, TYPES, canon, events, has, in_case, items, norm, q, raw_items, rstrip, stamp, table,
 )
+from briefloom.session import checkpoint_root
 from briefloom.sources import html, pages, payloads, quotes as qt
+from briefloom.sources.tables import HistoryTable
+from briefloom.streaming import dedup as sd, runs
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -906,7 +910,7 @@ def block_headings(s, sf):
 
 def _bars(s, sf):
     return events(s, sf).select(
-        c("user_id").cast("string").alias("symbol"), "ts", c("value").alias("open"), (c("value") * 0.5).alias("low"), (c("value") * 2).alias("high"),
+        c("user_id").cast("string").alias("symbol"), "ts", c("value").alias("open"), (c("value") - 1).alias("low"), (c("value") * 2).alias("high"),
         (c("value") + 1).alias("close"),
     )
 
@@ -915,7 +919,7 @@ _DAYS = """WITH d AS (SELECT CAST(user_id AS VARCHAR) AS symbol, CAST(ts AS DATE
   FROM events GROUP BY 1, 2), p AS (SELECT *, lag(close) OVER (PARTITION BY symbol ORDER BY day) AS prev, row_number() OVER (PARTITION BY symbol ORDER BY day DESC) AS n FROM d)"""
 
 
-@register("quotes_from_bars", f"{_DAYS} SELECT symbol, round(close, 2) AS price, round(close - coalesce(prev, close), 2) AS change, round(open * 0.5, 2) AS low FROM p WHERE n = 1")
+@register("quotes_from_bars", f"{_DAYS} SELECT symbol, round(close, 2) AS price, round(close - coalesce(prev, close), 2) AS change, round(open - 1, 2) AS low FROM p WHERE n = 1")
 def quotes_from_bars(s, sf):
     return qt.quotes_from_bars(_bars(s, sf)).select("symbol", "price", "change", "low")
 
@@ -949,3 +953,325 @@ register("safe_floats", "SELECT event_id, coalesce(TRY_CAST(CASE WHEN event_type
         "event_id", text.safe_float(F.when(c("event_type") == "error", "n/a").otherwise(c("user_id").cast("string"))).alias("x")
     )
 )
+
+
+# === landed pages =================================================================================================
+
+_TEXT_SQL = r"""pt AS (SELECT page_id, url, replace(replace(replace(replace(array_to_string([trim(x, ' ' || chr(10) || chr(9) || chr(13)) FOR x IN
+  string_split(regexp_replace(regexp_replace(html, '(?s)<script.*?</script>|<style.*?</style>|<!--.*?-->', chr(1), 'g'), '<[^>]+>', chr(1), 'g'), chr(1))
+  IF trim(x, ' ' || chr(10) || chr(9) || chr(13)) <> ''], ' '), '&quot;', '"'), '&middot;', '·'), '&copy;', '©'), '&amp;', '&') AS body FROM pages)"""
+
+
+@register("page_texts", f"WITH {_TEXT_SQL} SELECT page_id, CAST(length(body) AS BIGINT) AS n, md5(body) AS digest FROM pt")
+def page_texts(s, sf):
+    nodes = html.read_pages(table(s, sf, "pages"), ("page",))
+    return nodes.select("page_id", F.length("text").alias("n"), F.md5("text").alias("digest"))
+
+
+@register("static_pages", f"WITH {_TEXT_SQL} SELECT page_id, url, '[Official] note on ' || url AS title FROM pt WHERE {has("lower('note on ' || url || ' ' || substr(body, 1, 2000))", ('license', 'ungs', 'thble'))}")
+def static_pages(s, sf):
+    web = table(s, sf, "pages")
+    curated = web.select("url").distinct().select(
+        "url", F.lit("curated").alias("name"), F.concat(F.lit("note on "), c("url")).alias("title"), F.lit("d").alias("desc"),
+        F.lit("2026-04-07").alias("published_at_raw"), F.array(F.lit("license"), F.lit("ungs"), F.lit("thble")).alias("keywords"),
+    )
+    return pages.static_pages(html.read_pages(web, ("page",)), curated).select("page_id", "url", "title")
+
+
+@register("resolved_links", """SELECT page_id, link, count(*) AS n FROM (SELECT page_id, regexp_extract(url, '^[A-Za-z]+://[^/?#]+') || h AS link FROM (
+  SELECT page_id, url, unnest(regexp_extract_all(html, '<a [^>]*href="([^"]*)"', 1)) AS h FROM pages)) GROUP BY 1, 2""")
+def resolved_links(s, sf):
+    nodes = html.read_pages(table(s, sf, "pages"), ("a",))
+    return nodes.groupBy("page_id", urls.resolve_url(c("url"), c("href")).alias("link")).agg(F.count(F.lit(1)).alias("n"))
+
+
+_EVENT_PAGE = "https://notes.example.com/log"
+
+
+def _event_pages(s, sf, body):
+    """One small page per event, all at one address as versions of one page."""
+    return events(s, sf).select(c("event_id").alias("page_id"), F.lit(_EVENT_PAGE).alias("url"), body.alias("html"), "ts", "event_type")
+
+
+def _sources(s, **more):
+    row = s.range(1).select(F.lit(_EVENT_PAGE).alias("url"), F.lit("Notes").alias("name"), F.array(F.lit("click"), F.lit("View"), F.lit("error")).alias("keywords"))
+    for name, value in more.items():
+        row = row.withColumn(name, value)
+    return row
+
+
+_KEPT = "event_type IN ('click', 'view', 'error')"
+
+
+def _text(*parts):
+    return F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
+
+
+@register("listing_anchors", f"""SELECT event_id AS page_id, '[Official] Long headline of ' || event_type || ' ' || event_id AS title,
+  'https://notes.example.com/news/' || event_id AS url, strftime(ts, '%Y-%m-%dT00:00:00+00:00') AS published FROM events WHERE {_KEPT}""")
+def listing_anchors(s, sf):
+    n, kind = c("event_id"), c("event_type")
+    link = _text('<a href="/news/', n, '">Long headline of ', kind, " ", n, "</a>")
+    body = _text(
+        "<html><body><div>", link, "<p>", F.date_format("ts", "MMM dd, yyyy"), '</p></div><div><a href="/news/short">', kind,
+        '</a></div><section><div><span><i><a href="/news/x">Undated headline of ', kind, "</a></i></span></div></section>",
+    )
+    nodes = html.read_pages(_event_pages(s, sf, body), ("a",))
+    out = pages.listing_anchors(nodes, _sources(s, link_prefixes=F.array(F.lit("/news/"))))
+    return out.select("page_id", "title", "url", c("published_at_raw").alias("published"))
+
+
+@register("dated_sections", f"""SELECT event_id AS page_id, '{_EVENT_PAGE}#d' || event_id AS url, '[Official] Notes ' || strftime(ts, '%B %-d, %Y') || ': Now with ' || event_type || ' tool' AS title,
+  strftime(ts, '%Y-%m-%dT00:00:00+00:00') AS published FROM events WHERE {_KEPT} UNION ALL
+SELECT event_id, 'https://notes.example.com/docs/' || event_id, '[Official] Notes ' || strftime(ts, '%B %-d, %Y') || ': A whole guide to ' || event_type || ' agents',
+  strftime(ts, '%Y-%m-%dT00:00:00+00:00') FROM events WHERE {_KEPT}""")
+def dated_sections(s, sf):
+    n, kind = c("event_id"), c("event_type")
+    body = _text(
+        '<h3 id="d', n, '">', F.date_format("ts", "MMMM d, yyyy"), "</h3><ul><li>Now with ", kind, " tool</li><li>Minor cleanup</li></ul>",
+        '<p><a href="/docs/', n, '">A whole guide to ', kind, " agents</a></p>",
+    )
+    out = pages.dated_sections(html.read_pages(_event_pages(s, sf, body), ("a", "li")), _sources(s))
+    return out.select("page_id", "url", "title", c("published_at_raw").alias("published"))
+
+
+@register("release_notes", f"""SELECT event_id AS page_id, 'https://hint.example.com/' AS url, '[Official] Notes 2.1.' || event_id || ': New ' || event_type || ' mode' AS title,
+  strftime(ts, '%Y-%m-%dT00:00:00+00:00') AS published FROM events WHERE {_KEPT} UNION ALL
+SELECT event_id, '{_EVENT_PAGE}#v' || event_id, '[Official] Notes 2.1.' || event_id || ': All about ' || event_type,
+  strftime(ts, '%Y-%m-%dT00:00:00+00:00') FROM events WHERE {_KEPT}""")
+def release_notes(s, sf):
+    n, kind = c("event_id"), c("event_type")
+    body = _text(
+        '<h2 id="v', n, '">2.1.', n, "</h2><p>", F.date_format("ts", "MMMM d, yyyy"), "</p><ul><li>New ", kind, " mode</li></ul><p>All about ", kind, "</p>",
+    )
+    hints = F.array(F.struct(F.lit("mode").alias("keyword"), F.lit("https://hint.example.com/").alias("url")))
+    nodes = html.read_pages(_event_pages(s, sf, body), ("li", "p"))
+    out = pages.docs_release_notes(nodes, _sources(s, link_hints=hints))
+    return out.select("page_id", "url", "title", c("published_at_raw").alias("published"))
+
+
+@register("changelog_cards", f"""SELECT event_id AS page_id, '[Official] Notes | ' || strftime(ts, '%b %-d') || ' | Feature: Added ' || event_type AS title,
+  (CASE WHEN month(ts) > 5 THEN '2025' ELSE '2026' END) || strftime(ts, '-%m-%dT00:00:00+00:00') AS published FROM events WHERE {_KEPT} UNION ALL
+SELECT event_id, '[Official] Notes | Dec 11 | Fix: Repaired ' || event_type, CASE WHEN month(ts) = 12 THEN '2025' WHEN month(ts) > 5 THEN '2024' ELSE '2025' END || '-12-11T00:00:00+00:00'
+FROM events WHERE {_KEPT}""")
+def changelog_cards(s, sf):
+    kind = c("event_type")
+
+    def card(day, label, said, link):
+        return _text(
+            '<div class="grid grid-cols-[3rem_1fr] gap"><div><div data-variant="outline">', day, '</div></div><div><div data-variant="soft">', label,
+            '</div><div class="_Text _ChangelogMarkdown"><p>', said, kind, '</p><a href="/', link, '"></a></div></div></div>',
+        )
+
+    body = F.concat(card(F.date_format("ts", "MMM d"), "Feature", "Added ", "a"), card("Dec 11", "Fix", "Repaired ", "b"))
+    nodes = html.read_pages(_event_pages(s, sf, body), ("card",))
+    now = F.to_timestamp(F.lit("2026-04-12 00:00:00"))
+    out = pages.changelog_cards(nodes, _sources(s), now)
+    return out.select("page_id", "title", c("published_at_raw").alias("published"))
+
+
+# === landed responses =============================================================================================
+
+
+def _responses(s, sf, body):
+    return table(s, sf, "documents").select(c("doc_id").alias("payload_order"), F.to_json(body).alias("payload"))
+
+
+_FIRST = "split_part(text, chr(10), 1)"
+
+def _line():
+    return F.substring_index("text", "\n", 1)
+
+
+@register("news_articles", f"""SELECT doc_id << 20 AS seq, {_FIRST} AS title, 'https://n.example.com/' || doc_id AS url, text AS "desc", source AS source_name, 'news' AS source_type
+  FROM documents WHERE {_FIRST} <> ''""")
+def news_articles(s, sf):
+    good = F.struct(
+        _line().alias("title"), _text("https://n.example.com/", c("doc_id")).alias("url"), c("text").alias("description"),
+        F.struct(c("source").alias("name")).alias("source"),
+    )
+    bad = F.struct(F.lit("").alias("title"), F.lit("https://n.example.com/").alias("url"), F.lit("").alias("description"), F.struct(F.lit("").alias("name")).alias("source"))
+    out = payloads.news_articles(_responses(s, sf, F.struct(F.array(good, bad).alias("articles"))))
+    return out.select("seq", "title", "url", "desc", "source_name", "source_type")
+
+
+@register("story_hits", f"""SELECT doc_id << 20 AS seq, '[HN] ' || {_FIRST} AS title, 'https://news.ycombinator.com/item?id=' || doc_id AS url, 'Points: ' || n_chars || ' | Comments: 0' AS "desc"
+  FROM documents WHERE {_FIRST} <> ''""")
+def story_hits(s, sf):
+    hit = F.struct(_line().alias("title"), F.lit("").alias("url"), c("doc_id").cast("string").alias("objectID"), c("n_chars").alias("points"))
+    return payloads.hn_hits(_responses(s, sf, F.struct(F.array(hit).alias("hits")))).select("seq", "title", "url", "desc")
+
+
+@register("trending_models", """SELECT doc_id << 20 AS seq, '[HF Model] ' || source || '/' || doc_id || ' (' || n_chars || ' likes)' AS title, 'Downloads: 0 | Task: ' || lang AS "desc",
+  'model_release' AS source_type FROM documents""")
+def trending_models(s, sf):
+    data = F.struct(_text(c("source"), "/", c("doc_id")).alias("id"), c("n_chars").alias("likes"), c("lang").alias("pipeline_tag"))
+    out = payloads.hf_models(_responses(s, sf, F.struct(F.array(F.struct(data.alias("repoData"))).alias("recentlyTrending"))))
+    return out.select("seq", "title", "desc", "source_type")
+
+
+@register("daily_papers", f"""SELECT doc_id << 20 AS seq, '[HF Paper] ' || {_FIRST} AS title, 'Published: N/A | Summary: ' || substr(text, 1, 180) || '...' AS "desc" FROM documents WHERE {_FIRST} <> ''""")
+def daily_papers(s, sf):
+    paper = F.struct(c("doc_id").cast("string").alias("id"), _line().alias("title"), c("text").alias("summary"))
+    return payloads.hf_papers(_responses(s, sf, F.array(F.struct(paper.alias("paper"))))).select("seq", "title", "desc")
+
+
+@register("repo_releases", f"""SELECT doc_id << 20 AS seq, '[GitHub Release] ' || source || ' r' || doc_id AS title, 'Tag: v1.' || (doc_id % 3) || CASE WHEN doc_id % 2 = 0 THEN '.1' ELSE '' END || ' | Published: N/A | ' ||
+  substr({norm("regexp_replace(replace('hotfix ' || text, '`', ''), '[*>#-]+', ' ', 'g')")}, 1, 180) || '...' AS "desc" FROM documents
+  WHERE NOT (doc_id % 2 = 0 AND NOT {has('lower(text)', lx.PATCH_HIGH_SIGNAL)})""")
+def repo_releases(s, sf):
+    n = c("doc_id")
+    tag = _text("v1.", n % 3, F.when(n % 2 == 0, ".1").otherwise(""))
+    good = F.struct(_text("r", n).alias("name"), tag.alias("tag_name"), F.concat(F.lit("hotfix "), "text").alias("body"))
+    later = F.struct(F.lit("old").alias("name"), F.lit("v0").alias("tag_name"), F.lit("old release").alias("body"))
+    rows = table(s, sf, "documents").select(n.alias("payload_order"), c("source").alias("repo"), F.to_json(F.array(good, later)).alias("payload"))
+    return payloads.repo_releases(rows).select("seq", "title", "desc")
+
+
+@register("repo_search", """WITH m AS (SELECT max(ts) - INTERVAL 7 DAY AS since FROM events), st AS (SELECT 'r' || user_id AS repo, count(*) FILTER (WHERE date_trunc('second', ts) >= date_trunc('second', since)) AS d FROM events, m GROUP BY 1),
+f AS (SELECT 'r' || (doc_id % 150) AS repo, lang AS run, lang AS "desc", doc_id, n_chars FROM documents),
+b AS (SELECT run, repo, min(doc_id) AS a, arg_min(n_chars, doc_id) AS stars FROM f GROUP BY 1, 2)
+SELECT run, '[GitHub] ' || b.repo || ' (' || CASE WHEN coalesce(d, 0) > 0 THEN '+' || d || '★/7d, ' ELSE '' END || stars || ' stars)' AS title,
+  row_number() OVER (PARTITION BY run ORDER BY coalesce(d, -1) DESC, stars DESC, a) - 1 AS seq FROM b LEFT JOIN st ON st.repo = b.repo""")
+def repo_search(s, sf):
+    repo = _text("r", c("doc_id") % 150)
+    found = F.struct(
+        repo.alias("full_name"), F.concat(F.lit("https://g.example.com/"), repo).alias("html_url"), c("n_chars").alias("stargazers_count"),
+        c("lang").alias("description"),
+    )
+    rows = table(s, sf, "documents").select(
+        c("doc_id").alias("payload_order"), c("lang").alias("run"), F.to_json(F.struct(F.array(found).alias("items"))).alias("payload")
+    )
+    langs = rows.select("run").distinct()
+    stars = events(s, sf).select(_text("r", c("user_id")).alias("repo"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("starred_at")).crossJoin(langs)
+    since = F.date_trunc("second", _clock(s, sf)) - F.expr("INTERVAL 7 DAYS")
+    return payloads.repo_search(rows, stars, since, ["run"]).select("run", "title", "seq")
+
+
+def _feed(s, sf, atom: bool = False):
+    """One feed per event with six entries; the second has no title."""
+    n, kind = c("event_id"), c("event_type")
+
+    def entry(i):
+        title = F.when(i == 2, "").otherwise(_text(kind, " story ", i))
+        link = _text("https://f.example.com/", n % 500, "/", i)
+        if atom:
+            return _text(
+                "<entry><title>", title, "</title><id>", link, "</id><summary>sum ", kind, "\nline</summary><published>", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'"),
+                '</published><link href="', link, '" rel="alternate"/><author><name>A', i, "</name></author><author><name>B</name></author></entry>",
+            )
+        return _text(
+            "<item><title>", title, "</title><link>", link, "</link><description>&lt;b&gt;sum&lt;/b&gt; ", kind, "</description><pubDate>",
+            F.date_format("ts", "EEE, dd MMM yyyy HH:mm:ss 'GMT'"), "</pubDate></item>",
+        )
+
+    entries = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(6)), entry), "")
+    body = _text('<feed xmlns="http://www.w3.org/2005/Atom">', entries, "</feed>") if atom else _text("<rss><channel>", entries, "</channel></rss>")
+    return events(s, sf).select(n.alias("payload_order"), kind.alias("subreddit"), kind.alias("query"), kind.alias("source_id"), body.alias("payload"))
+
+
+_FEED_ROWS = "SELECT event_id, event_type AS kind, ts, i FROM events, (SELECT unnest([1, 2, 3, 4, 5, 6]) AS i)"
+
+
+@register("subreddit_top", f"""SELECT (event_id << 20) + i - 1 AS seq, '[Reddit r/' || kind || '] ' || kind || ' story ' || i AS title, 'RSS fallback | <b>sum</b> ' || kind || '...' AS "desc",
+  strftime(ts, '%a, %d %b %Y %H:%M:%S GMT') AS published_at_raw FROM ({_FEED_ROWS}) WHERE i <= 5 AND i <> 2""")
+def subreddit_top(s, sf):
+    return payloads.subreddit_top(_feed(s, sf)).select("seq", "title", "desc", "published_at_raw")
+
+
+@register("subreddit_search", f"""WITH f AS (SELECT *, 'https://f.example.com/' || (event_id % 500) || '/' || i AS url, (event_id << 20) + i - 1 AS seq FROM ({_FEED_ROWS}) WHERE i <= 3 AND i <> 2)
+SELECT seq, url, kind AS keyword_match, 'Search match for ' || kind || ' | sum ' || kind || chr(10) || 'line...' AS "desc" FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY seq) AS rn FROM f) WHERE rn = 1""")
+def subreddit_search(s, sf):
+    return payloads.subreddit_search(_feed(s, sf, atom=True)).select("seq", "url", "keyword_match", "desc")
+
+
+@register("paper_entries", f"""SELECT (event_id << 20) + i - 1 AS seq, '[arXiv] ' || CASE WHEN i = 2 THEN '' ELSE kind || ' story ' || i END AS title,
+  'Authors: A' || i || ', B | Published: ' || strftime(ts, '%Y-%m-%d') || ' | Abstract: sum ' || kind || ' line...' AS "desc" FROM ({_FEED_ROWS}) WHERE i <> 2""")
+def paper_entries(s, sf):
+    return payloads.arxiv_atom(_feed(s, sf, atom=True)).filter("title <> '[arXiv] '").select("seq", "title", "desc")
+
+
+@register("official_feed", f"""WITH f AS (SELECT *, (event_id << 20) + i - 1 AS seq FROM ({_FEED_ROWS}) WHERE i <> 2 AND kind IN ('click', 'view'))
+SELECT seq, '[Official] ' || kind || ' story ' || i AS title, 'sum ' || kind AS "desc", 'Feed ' || kind AS source_name, strftime(ts, '%Y-%m-%dT%H:%M:%S+00:00') AS published_at_raw
+FROM (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY seq) AS n FROM f) WHERE n <= 40""")
+def official_feed(s, sf):
+    dim = events(s, sf).select("event_type").distinct().select(
+        c("event_type").alias("source_id"), F.concat(F.lit("Feed "), "event_type").alias("name"), F.array(F.lit("CLICK story"), F.lit("view story")).alias("keywords")
+    )
+    out = payloads.official_feed(_feed(s, sf), dim, 40)
+    return out.select("seq", "title", "desc", "source_name", "published_at_raw")
+
+
+# === streams ======================================================================================================
+
+
+def _stream(s, sf):
+    schema = s.read.parquet(f"{sf}/events.parquet").schema
+    return s.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+
+
+def _run_stream(s, df, mode="append"):
+    """Drain what is there into a table in the shared folder and read it back."""
+    root = f"{checkpoint_root(s)}/streams/{uuid.uuid4().hex}"
+    query = df.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/state")
+    query.outputMode(mode).trigger(availableNow=True).start().awaitTermination()
+    return s.read.schema(df.schema).parquet(f"{root}/out")
+
+
+@register("stream_dedup", "SELECT DISTINCT event_type, user_id FROM events")
+def stream_dedup(s, sf):
+    # a time to live above the span of the table: one row per key
+    out = sd.stream_dedup(_stream(s, sf), ["event_type", "user_id"], "ts", "3650 days")
+    return _run_stream(s, out.select("event_type", "user_id"))
+
+
+@register("stream_first_sight", f"""WITH RECURSIVE e AS (SELECT DISTINCT event_type, user_id, ts FROM events),
+w AS (SELECT event_type, user_id, min(ts) AS ts FROM e GROUP BY 1, 2 UNION ALL
+  SELECT w.event_type, w.user_id, (SELECT min(e.ts) FROM e WHERE e.event_type = w.event_type AND e.user_id = w.user_id AND e.ts > w.ts + INTERVAL 26 HOUR) AS ts FROM w WHERE w.ts IS NOT NULL)
+SELECT event_type, user_id, {stamp('ts')} AS ts FROM w WHERE ts IS NOT NULL""")
+def stream_first_sight(s, sf):
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = s.conf.get(key)
+    s.conf.set(key, sd.STATE_PROVIDER)
+    try:
+        return _run_stream(s, sd.stream_first_sight(_stream(s, sf), ["event_type", "user_id"], "ts", 26))
+    finally:
+        s.conf.set(key, before)
+
+
+@register("incremental_runs", """SELECT category, fingerprint FROM (SELECT category, fingerprint, row_number() OVER (PARTITION BY category ORDER BY r) AS n FROM (
+  SELECT event_type AS category, CAST(user_id AS VARCHAR) AS fingerprint, min(event_id) AS r FROM events GROUP BY 1, 2)) WHERE n <= 40""")
+def incremental_runs(s, sf):
+    root = f"{checkpoint_root(s)}/runs/{uuid.uuid4().hex}"
+    history = HistoryTable(s, f"{root}/history")
+
+    def rank(batch):
+        return batch.select(c("event_type").alias("category"), c("user_id").cast("string").alias("fingerprint"), c("event_id").alias("rank"))
+
+    runs.start_runs(_stream(s, sf), rank, history, f"{root}/fresh", f"{root}/state", 40, lambda _: F.to_timestamp(F.lit("2024-02-01"))).awaitTermination()
+    return s.read.option("basePath", f"{root}/fresh").parquet(f"{root}/fresh/epoch=*").select("category", "fingerprint")
+
+
+# === whole runs ===================================================================================================
+
+
+def _all_runs(s, sf):
+    from briefloom.plans.reports import Config, build_reports
+
+    raw = raw_items(s, sf).withColumns(
+        {"run_id": c("category"), "category": F.when(c("source_type") == "news", "stock_news").otherwise("ai_news")}
+    )
+    bars = qt.quotes_from_bars(_bars(s, sf)).withColumn("run_id", F.lit("en")).withColumn("market", F.lit("us"))
+    bars = rk.top_k(bars, 5, [c("symbol")], ["run_id"], "seq")
+    config = Config(stock_lexicon=L, ai_lexicon=L, stock_days=20, ai_days=20)
+    return build_reports(raw, bars, _clock(s, sf), config)
+
+
+@register("run_messages")
+def run_messages(s, sf):
+    return _all_runs(s, sf)["message"].select("report_id", "title", "description", "color")
+
+
+@register("run_blocks")
+def run_blocks(s, sf):
+    return _all_runs(s, sf)["block"].select("report_id", "pos", "type", "text", "link")
