@@ -54,51 +54,35 @@ def _tail(query: Column, fragment: Column) -> Column:
     )
 
 
-def _hierarchical(u: Column) -> Column:
-    """Canonical form of `scheme://host…`: one pattern for the head, plain cuts for the rest."""
+def _canonical(u: Column) -> Column:
     before = F.substring_index(u, "#", 1)
     fragment = F.trim(F.substring(u, F.length(before) + 2, F.length(u)))
 
-    def build(b: Column) -> Column:
+    def split(b: Column) -> Column:
         base = F.substring_index(b, "?", 1)
-        query = F.substring(b, F.length(base) + 2, F.length(b))
-        head = F.regexp_extract(base, r"^[^:]+://[^/]+", 0)
+        head = F.regexp_extract(base, r"^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?(?://[^/]*)?", 0)
         path = F.rtrim(F.substring(base, F.length(head) + 1, F.length(base)), F.lit("/"))
-        return F.concat(F.lower(head), F.when(path == "", F.lit("/")).otherwise(path), _tail(let(query, _clean_query), fragment))
-
-    return let(before, build)
-
-
-def _irregular(u: Column) -> Column:
-    """Canonical form of everything else (no scheme, no host, opaque addresses)."""
-    path = F.regexp_replace(url_part(u, PATH), "/+$", "")
-    parts = F.struct(
-        F.lower(F.coalesce(F.nullif(url_part(u, SCHEME), F.lit("")), F.lit("https"))).alias("scheme"),
-        F.lower(url_part(u, HOST)).alias("host"),
-        F.coalesce(F.nullif(path, F.lit("")), F.lit("/")).alias("path"),
-        let(url_part(u, QUERY), _clean_query).alias("query"),
-        F.trim(url_part(u, FRAGMENT)).alias("fragment"),
-    )
+        return F.struct(
+            F.lower(F.regexp_extract(head, "^[^:/]+", 0)).alias("scheme"),
+            F.lower(F.regexp_extract(head, "//(.*)$", 1)).alias("host"),
+            F.coalesce(F.nullif(path, F.lit("")), F.lit("/")).alias("path"),
+            F.substring(b, F.length(base) + 2, F.length(b)).alias("query"),
+        )
 
-    def build(p: Column) -> Column:
-        path, rooted = p["path"], p["path"].startswith("/")
-        body = (
-            F.when(p["host"] != "", F.concat(F.lit("//"), p["host"], F.when(rooted, F.lit("")).otherwise("/"), path))
-            .when(path.startswith("//") | (p["scheme"].isin(*_SLASH_SCHEMES) & rooted), F.concat(F.lit("//"), path))
-            .otherwise(path)
+    def join(p: Column) -> Column:
+        bare = (p["scheme"] == "") | p["scheme"].isin(*_SLASH_SCHEMES)
+        slashes = (p["host"] != "") | p["path"].startswith("//") | (bare & p["path"].startswith("/"))
+        scheme = F.when(p["scheme"] == "", "https:").otherwise(F.concat(p["scheme"], F.lit(":")))
+        return F.concat(
+            scheme, F.when(slashes, "//").otherwise(""), p["host"], p["path"], _tail(let(p["query"], _clean_query), fragment)
         )
-        return F.concat(p["scheme"], F.lit(":"), body, _tail(p["query"], p["fragment"]))
 
-    return let(parts, build)
+    return let(let(before, split), join)
 
 
 def canonicalize_url(url: Column, *, normalized: bool = False) -> Column:
     """One spelling per address: lower-case scheme and host, no tracking keys, no slash at the end; fragment kept."""
-    regular = r"^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]"
-    return let(
-        url if normalized else normalize_text(url),
-        lambda u: F.when(u == "", F.lit("")).when(u.rlike(regular), _hierarchical(u)).otherwise(_irregular(u)),
-    )
+    return let(url if normalized else normalize_text(url), lambda u: F.when(u == "", F.lit("")).otherwise(_canonical(u)))
 
 
 def is_valid_source_url(url: Column) -> Column:

@@ -50,16 +50,22 @@ def _best_per_key(rows: DataFrame, by: Sequence[str], columns: list[str]) -> Dat
     )
 
 
-def dedup_items(items: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+def dedup_items(items: DataFrame, by: Sequence[str] = (), keep: str | None = None) -> DataFrame:
     """Keep the best row per story (set-based form).
 
     Rows with one long title share the key of the first of them. Each title is reduced on its own first, then titles
     with one key are reduced together: two aggregates, no join, no window.
+
+    `keep` names a boolean column: other rows do not take part. They meet in one NULL group per task and go after
+    the first aggregate. A filter before it would be pushed under the projections which made its inputs, and every
+    text would be normalised a second time for it.
     """
-    columns = items.columns
+    columns = [col for col in items.columns if col != keep]
     keyed = with_keys(items)
     unit = F.coalesce(F.concat(F.lit("t:"), F.col("title_index")), F.concat(F.lit("k:"), F.col("key0")))
     order = F.struct(quality().alias("q"), (-F.col("seq")).alias("s"))
+    if keep is not None:
+        unit, order = F.when(F.col(keep), unit), F.when(F.col(keep), order)
     titles = (
         keyed.withColumns({"_unit": unit, "_order": order})
         .groupBy(*by, "_unit")
@@ -70,6 +76,8 @@ def dedup_items(items: DataFrame, by: Sequence[str] = ()) -> DataFrame:
             F.min("seq").alias("_first"),
         )
     )
+    if keep is not None:
+        titles = titles.filter(F.col("_order").isNotNull())
     return _best_per_key(titles, by, columns)
 
 
@@ -157,15 +165,24 @@ def deduplicate_and_rank(
     default_source_name: str = "unknown",
     default_source_type: str = "unknown",
     exact: bool = False,
+    relevant_only: bool = False,
     by: Sequence[str] = (),
 ) -> DataFrame:
     """Raw rows to the best `limit` items: normalise, filter, one row per story, rank.
 
-    Tags, priority and scores are computed for the surviving rows only.
+    Tags, priority and scores are computed for the surviving rows only. `relevant_only` also drops what
+    `items.is_relevant` rejects.
     """
     items = it.normalize_items(raw, default_source_name=default_source_name, default_source_type=default_source_type)
-    items = it.drop_low_signal(it.require_title_url(items), lexicon)
-    winners = dedup_items_exact(items, by) if exact else dedup_items(items, by)
+    body = F.col("_body")
+    keep = it.has_title_url() & ~it.is_low_signal(lexicon, body=body)
+    if relevant_only:
+        keep = keep & it.is_relevant(lexicon, body=body)
+    items = items.withColumn("_body", it.body_text()).withColumn("_keep", keep).drop("_body")
+    if exact:
+        winners = dedup_items_exact(items.filter("_keep").drop("_keep"), by)
+    else:
+        winners = dedup_items(items, by, keep="_keep")
     return rk.rank_items(it.with_tags(winners, lexicon.priority), limit, lexicon, by)
 
 

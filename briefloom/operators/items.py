@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -77,9 +77,18 @@ def has_title_url() -> Column:
     return (F.col("url") != "") & (F.col("title") != "")
 
 
-def is_low_signal(lexicon: lx.Lexicon = lx.AI) -> Column:
-    """Generic community posts, and teaching or marketing pieces of news sources."""
-    body = score.haystack(F.col("title"), F.col("desc"))
+def body_text() -> Column:
+    """What the predicates look at: lower-case title and description."""
+    return score.haystack(F.col("title"), F.col("desc"))
+
+
+def _judged(body: Column | None, judge: Callable[[Column], Column]) -> Column:
+    # a staged column can be named many times; the expression itself is bound once
+    return let(body_text(), judge) if body is None else judge(body)
+
+
+def is_low_signal(lexicon: lx.Lexicon = lx.AI, *, body: Column | None = None) -> Column:
+    """Generic community posts, and teaching or marketing pieces of news sources. `body`: a staged `body_text()`."""
     short = (F.length("title") < 18) | (
         F.lower("title").startswith("[reddit") & (F.size(F.split("title", " ")) <= 3)
     )
@@ -90,12 +99,12 @@ def is_low_signal(lexicon: lx.Lexicon = lx.AI) -> Column:
 
     return (
         F.when(F.col("source_type") == "community", short)
-        .when(F.col("source_type").isin("official_news", "news"), let(body, teaching))
+        .when(F.col("source_type").isin("official_news", "news"), _judged(body, teaching))
         .otherwise(False)
     )
 
 
-def is_relevant(lexicon: lx.Lexicon = lx.AI, *, whole_words: bool = False) -> Column:
+def is_relevant(lexicon: lx.Lexicon = lx.AI, *, whole_words: bool = False, body: Column | None = None) -> Column:
     """Provider incidents stay, negative terms go, trusted sources and feature news stay, else a positive term decides."""
     signal = F.coalesce(F.col("recent_feature_signal"), F.lit(False))
 
@@ -111,7 +120,7 @@ def is_relevant(lexicon: lx.Lexicon = lx.AI, *, whole_words: bool = False) -> Co
             .otherwise(has(lexicon.positive))
         )
 
-    return let(score.haystack(F.col("title"), F.col("desc")), judge)
+    return _judged(body, judge)
 
 
 def is_recent(max_age_days: int, now: Column, *, require_date: bool = False) -> Column:

@@ -11,7 +11,9 @@ from briefloom.operators import items as it
 
 
 def with_match_keys(df: DataFrame) -> DataFrame:
-    """`url_key` (canonical address) and `title_key` (letters and digits of every script)."""
+    """Add `url_key` (canonical address) and `title_key` (letters and digits of every script) where they are not there."""
+    if {"url_key", "title_key"} <= set(df.columns):
+        return df
     return df.withColumns({"url_key": urls.canonicalize_url(F.col("url")), "title_key": text.title_key_alnum(F.col("title"))})
 
 
@@ -29,7 +31,7 @@ def match_items(
         .join(by_url, [*by, "url_key"], "left")
         .join(by_title, [*by, "title_key"], "left")
         .withColumn("matched", F.coalesce("_u", "_t"))
-        .drop("_u", "_t", "url_key", "title_key")
+        .drop("_u", "_t")
     )
 
 

@@ -79,6 +79,7 @@ ITEM_COLUMNS = [
     "report_id", "position", "is_primary", "title", "url", "summary", "insight", "source_name", "source_type",
     "published_at_raw", "published_at",
 ]
+MATCH_KEYS = ["url_key", "title_key"]
 BY = ["report_id"]
 
 
@@ -322,10 +323,11 @@ def enforce_coverage(report_items: DataFrame, news: DataFrame, style: Style = AI
     What is missing depends on rows put in before, so the few rows of a report (its own and at most 9 candidates) are
     walked in order; reports run in parallel. An address which is not http(s) never enters a key.
     """
+    report_items, news = joins.with_match_keys(report_items), joins.with_match_keys(news)
     wanted = coverage_candidates(news.join(report_items.select(*BY).distinct(), BY, "left_semi"), style, rank)
     wanted = _news_rows(wanted, style, F.col("ask")).withColumn("is_new", F.lit(True))
     have = report_items.withColumns({"is_new": F.lit(False), "reason": F.lit(""), "ask": F.col("position")})
-    columns = [*ITEM_COLUMNS, "is_new", "reason", "ask"]
+    columns = [*ITEM_COLUMNS, *MATCH_KEYS, "is_new", "reason", "ask"]
     rows = _coverage_columns(have.select(*columns).unionByName(wanted.select(*columns)))
     slim = rows.select(
         "report_id", "is_new", "ask", "reason", "source_type", "provider", "url_key", "title_key", "content_key", "trusted_key",
@@ -385,7 +387,7 @@ def enforce_coverage(report_items: DataFrame, news: DataFrame, style: Style = AI
     return (
         rows.join(placed, ["report_id", "is_new", "ask"])
         .withColumn("position", F.col("new_position"))
-        .select(*ITEM_COLUMNS)
+        .select(*ITEM_COLUMNS, *MATCH_KEYS)
     )
 
 
@@ -417,6 +419,9 @@ def expand_insights(report_items: DataFrame, style: Style) -> DataFrame:
 
 def post_process(report_items: DataFrame, news: DataFrame, style: Style, rank: str = "rank") -> DataFrame:
     """Complete the rows of reports; a report without rows stays as it is."""
+    # addresses and titles do not change on the way, so their keys are made once
+    report_items, news = joins.with_match_keys(report_items), joins.with_match_keys(news)
+    columns = [*ITEM_COLUMNS, *MATCH_KEYS]
     if style.kind == "ai":
         rows = joins.hydrate_metadata(report_items, news, BY, rank)
         rows = enforce_coverage(rows, news, style, rank)
@@ -425,7 +430,7 @@ def post_process(report_items: DataFrame, news: DataFrame, style: Style, rank: s
         had_rows = report_items.select(*BY).distinct()
         free = it.drop_invalid_urls(joins.without_reported(news.join(had_rows, BY, "left_semi"), rows))
         more = sel.stock_backfill(rows, free, style.item_limit, BY, rank)
-        rows = rows.unionByName(_news_rows(more, style, F.col("position")).select(*ITEM_COLUMNS))
+        rows = rows.select(*columns).unionByName(_news_rows(more, style, F.col("position")).select(*columns))
         rows = sel.renumber(rows, ["position", "url"], BY)
         rows = joins.hydrate_metadata(rows, news, BY, rank)
-    return expand_insights(fill_insight(rows, news, style, rank), style)
+    return expand_insights(fill_insight(rows, news, style, rank), style).select(*ITEM_COLUMNS)

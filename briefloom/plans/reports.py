@@ -75,10 +75,10 @@ def build_reports(
         style = report.AI if ai else report.STOCK
         lexicon = config.ai_lexicon if ai else config.stock_lexicon
         source = trimmed.filter(F.col("category") == category)
-        kept = it.relevant_raw(source, lexicon) if ai else source
         ranked = dedup.deduplicate_and_rank(
-            kept, lexicon, config.ai_ranked if ai else config.stock_ranked,
-            default_source_name="unknown" if ai else "news", default_source_type="news", exact=config.exact_dedup, by=RUN,
+            source, lexicon, config.ai_ranked if ai else config.stock_ranked,
+            default_source_name="unknown" if ai else "news", default_source_type="news", exact=config.exact_dedup,
+            relevant_only=ai, by=RUN,
         ).withColumn("fingerprint", hist.fingerprint_of_item())
         # from here on a run is a few dozen rows; cut the lineage so the raw tables are read once
         ranked = durable(ranked)
@@ -98,8 +98,9 @@ def build_reports(
             pool = dedup.merge_unique_items(recent, archive, order=("rank",), by=RUN)
             # archive rows follow the recent ones
             pool = pool.withColumn("rank", F.col("merge_order._part") * config.ai_ranked + F.col("rank"))
+            kept = it.keep_relevant(it.normalize_items(source), lexicon)
             metrics = aggregates.run_metrics(source, kept, ranked, recent, archive, fresh)
-        fresh = durable(fresh)
+        fresh = durable(joins.with_match_keys(fresh))
         news = _as_report(fresh, kind)
         heads = _as_report(runs, kind)
         own_quotes = None if quotes is None or ai else _as_report(quotes, kind)
