@@ -9,8 +9,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, functions as F
 
 from briefloom.functions import score
-from briefloom.functions.core import let
-from briefloom.functions.text import cut, holds, normalize_text, rstrip_text, strip_text, text_or_empty, truncate_text
+from briefloom.functions.core import let, let_sql, sql_holds, sql_string
+from briefloom.functions.text import cut, normalize_text, rstrip_text, strip_text, text_or_empty, truncate_text
 
 
 @dataclass(frozen=True)
@@ -177,21 +177,22 @@ _SENTENCE_END = ("。", ".", "!", "?")
 def compile_rules(rules: Sequence[Rule], fields: Mapping[str, Column], values: Mapping[str, Column]) -> Column:
     """First rule whose conditions hold gives the text. `fields` are lower-case texts, `values` fill the braces."""
 
-    def condition(rule: Rule, s: Column) -> Column:
-        out = F.lit(True)
-        for field, terms in rule.when:
-            test = s["f_" + field[1:]].isin(*terms) if field.startswith("=") else holds(s["f_" + field], terms)
-            out = out & test
-        return out
+    def condition(rule: Rule) -> str:
+        tests = [
+            f"s.f_{field[1:]} IN ({', '.join(map(sql_string, terms))})" if field.startswith("=") else sql_holds(f"s.f_{field}", terms)
+            for field, terms in rule.when
+        ]
+        return " AND ".join(tests) or "true"
 
-    def fill(template: str, s: Column) -> Column:
+    def fill(template: str) -> str:
         pieces = [p for p in re.split(r"(\{\w+\})", template) if p]
-        return F.concat(*[s["v_" + p[1:-1]] if re.fullmatch(r"\{\w+\}", p) else F.lit(p) for p in pieces])
+        return "concat(" + ", ".join(f"s.v_{p[1:-1]}" if re.fullmatch(r"\{\w+\}", p) else sql_string(p) for p in pieces) + ")"
 
     given = F.struct(
         *[c.alias("f_" + name) for name, c in fields.items()], *[c.alias("v_" + name) for name, c in values.items()]
     )
-    return let(given, lambda s: F.coalesce(*[F.when(condition(r, s), fill(r.text, s)) for r in rules]))
+    arms = " ".join(f"WHEN {condition(r)} THEN {fill(r.text)}" for r in rules)
+    return let_sql(given, f"s -> CASE {arms} END")
 
 
 def brief_title(title: Column) -> Column:

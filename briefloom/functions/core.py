@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, functions as F
 
@@ -16,5 +16,16 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def blank_to_null(c: Column) -> Column:
-    return F.nullif(c, F.lit(""))
+def let_sql(value: Column, body: str) -> Column:
+    """`let` with the body as SQL text (`x -> …`). Large bodies are parsed in one go instead of being put together
+    call by call from the driver."""
+    return F.get(F.call_function("transform", F.array(value), F.expr(body)), F.lit(0))
+
+
+def sql_string(value: str) -> str:
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def sql_holds(name: str, terms: Sequence[str]) -> str:
+    """SQL condition: the lower-case text `name` holds one of the terms."""
+    return "(" + (" OR ".join(f"contains({name}, {sql_string(t.lower())})" for t in terms) or "false") + ")"

@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, functions as F
 
-from briefloom.functions.core import let
+from briefloom.functions.core import let, let_sql
 from briefloom.functions.text import normalize_text, strip_text
 
 # Month names, and the zone names mail dates may carry with their fixed offsets.
@@ -37,82 +35,60 @@ _DATE_IN_TEXT = (
 )
 
 
-def _timestamp(text: Column) -> Column:
-    return text.try_cast("timestamp")
-
-
-def _month_number(name: Column) -> Column:
-    at = F.instr(F.lit(_MONTHS), F.lower(F.substring(name, 1, 3)))
-    return ((at + 2) / 3).cast("int").cast("string")
-
-
-def _rare_iso(c: Column) -> Column:
-    """ISO forms beyond the common ones, brought to `date T time zone` by one replacement after the other."""
-    steps = (
-        (r"^(\d{4})(\d{2})(\d{2})", "$1-$2-$3"),  # compact date
-        (r"^(.{10}).", "$1T"),  # any separator
-        (r"T(\d{2})(\d{2})(\d{2})?", "T$1:$2:$3"),  # compact time
-        (r":(?=$|[^\d])", ""),
-        (r",", "."),
-        (r"(\.\d{6})\d+", "$1"),
-        (r"T(\d{2})(?=$|[Z+-])", "T$1:00"),
-        (r"T(\d{2}:\d{2})(?=$|[Z+-])", "T$1:00"),
-        (r"(T.*[+-]\d{2})$", "$1:00"),
-        (r"(T.*[+-]\d{2})(\d{2})$", "$1:$2"),
-        (r"(T[\d:.]+)$", "$1Z"),
-        (r"^(.{10})$", "$1T00:00:00Z"),
-    )
-    for pattern, put in steps:
-        c = F.regexp_replace(c, pattern, put)
-    return c
-
-
-def _parse_mail(c: Column) -> Column:
-    plain = F.regexp_replace(c, _MAIL_HEAD, "$1 $2 $3 ")
+_REWRITES = (
+    # ISO forms beyond the common ones, brought to `date T time zone` by one replacement after the other
+    (r"^(\d{4})(\d{2})(\d{2})", "$1-$2-$3"),  # compact date
+    (r"^(.{10}).", "$1T"),  # any separator
+    (r"T(\d{2})(\d{2})(\d{2})?", "T$1:$2:$3"),  # compact time
+    (r":(?=$|[^\d])", ""),
+    (r",", "."),
+    (r"(\.\d{6})\d+", "$1"),
+    (r"T(\d{2})(?=$|[Z+-])", "T$1:00"),
+    (r"T(\d{2}:\d{2})(?=$|[Z+-])", "T$1:00"),
+    (r"(T.*[+-]\d{2})$", "$1:00"),
+    (r"(T.*[+-]\d{2})(\d{2})$", "$1:$2"),
+    (r"(T[\d:.]+)$", "$1Z"),
+    (r"^(.{10})$", "$1T00:00:00Z"),
+)
 
-    def read(t: Column) -> Column:
-        def part(i: int) -> Column:
-            return F.get(t, F.lit(i))
 
-        year = F.when(
-            F.length(part(2)) == 2, F.concat(F.when(part(2) > "68", F.lit("19")).otherwise("20"), part(2))
-        ).otherwise(part(2))
-        clock = F.when(F.length(part(3)) < 6, F.concat(part(3), F.lit(":00"))).otherwise(part(3))
-        zone = F.coalesce(F.lower(part(4)), F.lit(""))
-        named = reduce(lambda acc, z: acc.when(zone == z[0], F.lit(z[1])), _ZONES.items(), F.when(zone == "", F.lit("Z")))
-        offset = F.when(zone.rlike(r"^[+-]\d{4}$"), F.regexp_replace(zone, r"(\d{2})(\d{2})$", "$1:$2")).otherwise(
-            F.coalesce(named, F.lit("Z"))
-        )
-        return _timestamp(
-            F.concat(year, F.lit("-"), _month_number(part(1)), F.lit("-"), part(0), F.lit("T"), clock, offset)
-        )
+def _stamp(text: str) -> str:
+    return f"try_cast({text} AS TIMESTAMP)"
 
-    return F.when(c.rlike(_MAIL), let(F.split(plain, " "), read))
 
+def _month(name: str) -> str:
+    return f"cast(cast((instr('{_MONTHS}', lower(substr({name}, 1, 3))) + 2) / 3 AS INT) AS STRING)"
 
-def _parse_named(c: Column) -> Column:
-    def g(i: int) -> Column:
-        return F.regexp_extract(c, _NAMED, i)
 
-    text = F.concat(g(3), F.lit("-"), _month_number(g(1)), F.lit("-"), g(2), F.lit("T00:00:00Z"))
-    return F.when(c.rlike(_NAMED), _timestamp(text))
+def _rewritten(c: str) -> str:
+    for pattern, put in _REWRITES:
+        c = f"regexp_replace({c}, r'{pattern}', r'{put}')"
+    return c
 
 
-def _parse(c: Column) -> Column:
-    """Parse a normalised text; the common forms come first and need one pattern and one cast."""
-    slashes = F.replace(c, F.lit("/"), F.lit("-"))
-    return (
-        F.when(c.isNull() | (c == ""), None)
-        .when(c.rlike(_FULL), _timestamp(c))
-        .when(c.rlike(_PLAIN), _timestamp(F.concat(slashes, F.lit("T00:00:00Z"))))
-        .when(c.rlike(_ISO), _timestamp(_rare_iso(c)))
-        .otherwise(F.coalesce(_parse_mail(c), _parse_named(c)))
-    )
+# day, month, year, time, zone of a mail date
+_YEAR = "if(length(t[2]) = 2, concat(if(t[2] > '68', '19', '20'), t[2]), t[2])"
+_CLOCK = "if(length(t[3]) < 6, concat(t[3], ':00'), t[3])"
+_ZONE = (
+    r"CASE WHEN get(t, 4) RLIKE r'^[+-]\d{4}$' THEN regexp_replace(get(t, 4), r'(\d{2})(\d{2})$', r'$1:$2') "
+    + " ".join(f"WHEN lower(get(t, 4)) = '{name}' THEN '{offset}'" for name, offset in _ZONES.items())
+    + " ELSE 'Z' END"
+)
+_MAIL_SQL = rf"""if(c RLIKE r'{_MAIL}', transform(array(split(regexp_replace(c, r'{_MAIL_HEAD}', r'$1 $2 $3 '), ' ')),
+    t -> {_stamp(f"concat({_YEAR}, '-', {_month('t[1]')}, '-', t[0], 'T', {_CLOCK}, {_ZONE})")})[0], NULL)"""
+_PART = [f"regexp_extract(c, r'{_NAMED}', {i})" for i in range(4)]
+_NAMED_SQL = rf"""if(c RLIKE r'{_NAMED}', {_stamp(f"concat({_PART[3]}, '-', {_month(_PART[1])}, '-', {_PART[2]}, 'T00:00:00Z')")}, NULL)"""
+# the common forms come first and need one pattern and one cast
+_PARSE = rf"""c -> CASE WHEN c IS NULL OR c = '' THEN NULL
+    WHEN c RLIKE r'{_FULL}' THEN {_stamp('c')}
+    WHEN c RLIKE r'{_PLAIN}' THEN {_stamp("concat(replace(c, '/', '-'), 'T00:00:00Z')")}
+    WHEN c RLIKE r'{_ISO}' THEN {_stamp(_rewritten('c'))}
+    ELSE coalesce({_MAIL_SQL}, {_NAMED_SQL}) END"""
 
 
 def parse_published_at(c: Column, *, normalized: bool = False) -> Column:
     """ISO 8601, mail dates, `2026-4-7`, `2026/4/7`, `Apr 7, 2026`, `April 7, 2026`; NULL for all else."""
-    return let(c if normalized else normalize_text(c), _parse)
+    return let_sql(c if normalized else normalize_text(c), _PARSE)
 
 
 def iso_text(ts: Column) -> Column:
@@ -142,7 +118,7 @@ def extract_date(text: Column) -> Column:
 def feed_published_at(published: Column, updated: Column) -> Column:
     """Date text of a feed entry: `published`, else `updated`; mail dates become ISO, others stay as they are."""
     value = F.coalesce(F.nullif(published, F.lit("")), F.nullif(updated, F.lit("")))
-    return let(value, lambda v: F.coalesce(iso_text(let(normalize_text(v), _parse_mail)), v))
+    return let(value, lambda v: F.coalesce(iso_text(let_sql(normalize_text(v), f"c -> {_MAIL_SQL}")), v))
 
 
 def report_title(prefix: Column | str, ts: Column) -> Column:

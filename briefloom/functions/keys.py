@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from briefloom.functions.core import let
+from briefloom.functions.core import let, let_sql
 from briefloom.functions.text import normalize_text, title_key_ascii
 from briefloom.functions.urls import canonicalize_url
 
@@ -14,6 +14,17 @@ LONG_TITLE = 24
 INDEX_WIDTH = 96
 
 
+_CONTENT_KEY = rf"""g -> transform(array(named_struct(
+    'all', lower(concat_ws(' ', g.title, g.rest, g.url)),
+    'key', substr(regexp_replace(lower(g.title), '[^a-z0-9]+', ''), 1, 120))), k -> transform(array(
+    if(contains(k.all, 'openai'), regexp_extract(k.all, r'{_MODEL_VERSION}', 1), '')), version -> CASE
+    WHEN version <> '' THEN concat('release-family:openai-gpt-', version)
+    WHEN length(k.key) >= {LONG_TITLE} THEN concat('title:', k.key)
+    WHEN g.url <> '' THEN concat('url:', g.url)
+    WHEN k.key <> '' THEN concat('title:', k.key)
+    ELSE '' END)[0])[0]"""
+
+
 def _model_version(lowered: Column) -> Column:
     return F.nullif(F.regexp_extract(lowered, _MODEL_VERSION, 1), F.lit(""))
 
@@ -40,19 +51,7 @@ def content_dedupe_key(
         F.concat_ws(" ", *texts).alias("rest"),
     )
 
-    def build(g: Column) -> Column:
-        everything = F.lower(F.concat_ws(" ", g["title"], g["rest"], g["url"]))
-        version = let(everything, lambda h: F.when(F.contains(h, F.lit("openai")), _model_version(h)))
-        return let(
-            F.struct(version.alias("version"), title_key_ascii(g["title"], 120).alias("key")),
-            lambda k: F.when(k["version"].isNotNull(), F.concat(F.lit("release-family:openai-gpt-"), k["version"]))
-            .when(F.length(k["key"]) >= LONG_TITLE, F.concat(F.lit("title:"), k["key"]))
-            .when(g["url"] != "", F.concat(F.lit("url:"), g["url"]))
-            .when(k["key"] != "", F.concat(F.lit("title:"), k["key"]))
-            .otherwise(empty),
-        )
-
-    return let(given, build)
+    return let_sql(given, _CONTENT_KEY)
 
 
 def model_family_key(title: Column, source_name: Column, source_type: Column) -> Column:

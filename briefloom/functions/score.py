@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, functions as F
 
 from briefloom import lexicon as lx
-from briefloom.functions.core import let
+from briefloom.functions.core import let, let_sql, sql_holds, sql_string
 from briefloom.functions.text import contains_any, holds, normalize_text, text_or_empty
 
 
@@ -52,21 +52,20 @@ def provider_priority(lowered: Column, providers: Sequence[str] = lx.CORE_PROVID
 def impact_score(lowered: Column, source_type: Column, lexicon: lx.Lexicon = lx.AI) -> Column:
     """Weight of named events and of provider incidents; official and research rows get a bonus on top."""
 
-    def points(condition: Column, n: int) -> Column:
-        return F.when(condition, n).otherwise(0)
-
-    def build(v: Column) -> Column:
-        about_provider = (
-            points(holds(v, lexicon.high_impact), 35) + points(holds(v, lexicon.incident), 30)
-        )
-        return points(holds(v, lexicon.named_events), 80) + F.when(holds(v, lexicon.providers), about_provider).otherwise(0)
+    def points(terms: Sequence[str], n: int) -> str:
+        return f"if({sql_holds('v', terms)}, {n}, 0)"
 
+    weight = (
+        f"v -> {points(lexicon.named_events, 80)} + if({sql_holds('v', lexicon.providers)}, "
+        f"{points(lexicon.high_impact, 35)} + {points(lexicon.incident, 30)}, 0)"
+    )
     trusted = source_type.isin("official_news", "research")
-    return let(let(lowered, build), lambda n: n + points((n > 0) & trusted, 10))
+    return let(let_sql(lowered, weight), lambda n: n + F.when((n > 0) & trusted, 10).otherwise(0))
 
 
 def _first_class(lowered: Column, classes: Sequence[tuple[str, Sequence[str]]]) -> Column:
-    return let(lowered, lambda v: F.coalesce(*[F.when(holds(v, terms), F.lit(name)) for name, terms in classes]))
+    arms = " ".join(f"WHEN {sql_holds('v', terms)} THEN {sql_string(name)}" for name, terms in classes)
+    return let_sql(lowered, f"v -> CASE {arms} END")
 
 
 def provider_key(source_name: Column, title: Column, url: Column, classes=lx.PROVIDER_KEYS) -> Column:

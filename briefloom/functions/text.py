@@ -7,7 +7,7 @@ from functools import reduce
 
 from pyspark.sql import Column, functions as F
 
-from briefloom.functions.core import let
+from briefloom.functions.core import let, let_sql, sql_holds, sql_string
 
 # (?U) lets \s cover NBSP and ideographic space; the four separators below count as space for the source data too.
 _SPACE = r"(?U)[\s\x1C-\x1F]+"
@@ -66,25 +66,23 @@ def holds(lowered: Column, terms: Sequence[str], *, whole_words: bool = False) -
 
 def contains_any(lowered: Column, terms: Sequence[str], *, whole_words: bool = False) -> Column:
     """True when a lower-case text holds one of the terms; plain substring match unless `whole_words`."""
-    return let(lowered, lambda v: holds(v, terms, whole_words=whole_words))
+    if whole_words:
+        return let(lowered, lambda v: holds(v, terms, whole_words=True))
+    return let_sql(lowered, f"v -> {sql_holds('v', terms)}")
 
 
 def infer_tags(text: Column, terms: Sequence[str]) -> Column:
     """Terms found in the text, in list order."""
-    return let(
-        F.lower(normalize_text(text)),
-        lambda v: F.array_compact(F.array(*[F.when(F.contains(v, F.lit(t.lower())), F.lit(t)) for t in terms])),
-    )
+    found = ", ".join(f"if(contains(v, {sql_string(t.lower())}), {sql_string(t)}, NULL)" for t in terms)
+    return let_sql(F.lower(normalize_text(text)), f"v -> array_compact(array({found}))")
 
 
 def priority(text: Column, terms: Sequence[str]) -> Column:
     """Index of the first term in list order which the text holds, else 999."""
     if not terms:
         return F.lit(999)
-    return let(
-        F.lower(text),
-        lambda v: F.coalesce(*[F.when(F.contains(v, F.lit(t.lower())), F.lit(i)) for i, t in enumerate(terms)], F.lit(999)),
-    )
+    arms = " ".join(f"WHEN contains(v, {sql_string(t.lower())}) THEN {i}" for i, t in enumerate(terms))
+    return let_sql(F.lower(text), f"v -> CASE {arms} ELSE 999 END")
 
 
 def matches_keywords(title: Column, summary: Column, keywords: Sequence[str] | Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, functions as F, types as T
 
-from briefloom.functions.core import let
+from briefloom.functions.core import let, let_sql, sql_string
 from briefloom.functions.text import normalize_text, strip_text
 
 # Query keys which only track, and schemes which keep `//` even without a host.
@@ -25,26 +25,39 @@ def url_part(url: Column, part: int) -> Column:
     return F.regexp_extract(url, _PARTS, part)
 
 
-def _form_decode(c: Column) -> Column:
+def _decoded(x: str) -> str:
     # a stray percent sign is data, not an escape
-    return F.try_url_decode(F.regexp_replace(c, "%(?![0-9A-Fa-f]{2})", "%25"))
+    return f"try_url_decode(regexp_replace({x}, '%(?![0-9A-Fa-f]{{2}})', '%25'))"
+
+
+def _encoded(x: str) -> str:
+    return f"replace(replace(url_encode({x}), '*', '%2A'), '%7E', '~')"
+
+
+_KEY, _VALUE = "substring_index(p, '=', 1)", "substr(p, length(substring_index(p, '=', 1)) + 2)"
+_PAIRS = f"""transform(filter(split(h.query, '&'), p -> p <> ''),
+    p -> named_struct('k', {_decoded(_KEY)}, 'v', if(contains(p, '='), {_decoded(_VALUE)}, '')))"""
+_KEPT = f"""filter({_PAIRS}, p -> NOT startswith(p.k, '{TRACKING_PREFIX}') AND p.k NOT IN ({', '.join(map(sql_string, TRACKING_KEYS))}))"""
+_QUERY = f"if(h.query = '', '', array_join(transform({_KEPT}, p -> concat({_encoded('p.k')}, '=', {_encoded('p.v')})), '&'))"
+# cut the address at `#` and `?`, split what is left in head (scheme, authority) and path, and put it together again
+_CANONICAL = rf"""u -> if(u = '', '', transform(array(substring_index(u, '#', 1)), b -> transform(array(named_struct(
+    'base', substring_index(b, '?', 1),
+    'head', regexp_extract(substring_index(b, '?', 1), r'^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?(?://[^/]*)?', 0),
+    'query', substr(b, length(substring_index(b, '?', 1)) + 2),
+    'fragment', trim(substr(u, length(b) + 2)))), h -> transform(array(named_struct(
+    'scheme', lower(regexp_extract(h.head, '^[^:/]+', 0)),
+    'host', lower(regexp_extract(h.head, '//(.*)$', 1)),
+    'path', coalesce(nullif(trim(TRAILING '/' FROM substr(h.base, length(h.head) + 1)), ''), '/'),
+    'query', {_QUERY})), q -> concat(
+    if(q.scheme = '', 'https:', concat(q.scheme, ':')),
+    if(q.host <> '' OR startswith(q.path, '//') OR (startswith(q.path, '/')
+      AND q.scheme IN ('', {', '.join(map(sql_string, _SLASH_SCHEMES))})), '//', ''),
+    q.host, q.path, if(q.query = '', '', concat('?', q.query)), if(h.fragment = '', '', concat('#', h.fragment))))[0])[0])[0])"""
 
 
-def _form_encode(c: Column) -> Column:
-    return F.replace(F.replace(F.url_encode(c), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
-
-
-def _clean_query(query: Column) -> Column:
-    pairs = F.transform(
-        F.filter(F.split(query, "&"), lambda p: p != ""),
-        lambda p: F.struct(
-            _form_decode(F.substring_index(p, "=", 1)).alias("k"),
-            _form_decode(F.when(F.contains(p, F.lit("=")), F.regexp_replace(p, "^[^=]*=", "")).otherwise("")).alias("v"),
-        ),
-    )
-    kept = F.filter(pairs, lambda p: ~p["k"].startswith(TRACKING_PREFIX) & ~p["k"].isin(*TRACKING_KEYS))
-    encoded = F.transform(kept, lambda p: F.concat(_form_encode(p["k"]), F.lit("="), _form_encode(p["v"])))
-    return F.when(query == "", F.lit("")).otherwise(F.array_join(encoded, "&"))
+def canonicalize_url(url: Column, *, normalized: bool = False) -> Column:
+    """One spelling per address: lower-case scheme and host, no tracking keys, no slash at the end; fragment kept."""
+    return let_sql(url if normalized else normalize_text(url), _CANONICAL)
 
 
 def _tail(query: Column, fragment: Column) -> Column:
@@ -54,37 +67,6 @@ def _tail(query: Column, fragment: Column) -> Column:
     )
 
 
-def _canonical(u: Column) -> Column:
-    before = F.substring_index(u, "#", 1)
-    fragment = F.trim(F.substring(u, F.length(before) + 2, F.length(u)))
-
-    def split(b: Column) -> Column:
-        base = F.substring_index(b, "?", 1)
-        head = F.regexp_extract(base, r"^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?(?://[^/]*)?", 0)
-        path = F.rtrim(F.substring(base, F.length(head) + 1, F.length(base)), F.lit("/"))
-        return F.struct(
-            F.lower(F.regexp_extract(head, "^[^:/]+", 0)).alias("scheme"),
-            F.lower(F.regexp_extract(head, "//(.*)$", 1)).alias("host"),
-            F.coalesce(F.nullif(path, F.lit("")), F.lit("/")).alias("path"),
-            F.substring(b, F.length(base) + 2, F.length(b)).alias("query"),
-        )
-
-    def join(p: Column) -> Column:
-        bare = (p["scheme"] == "") | p["scheme"].isin(*_SLASH_SCHEMES)
-        slashes = (p["host"] != "") | p["path"].startswith("//") | (bare & p["path"].startswith("/"))
-        scheme = F.when(p["scheme"] == "", "https:").otherwise(F.concat(p["scheme"], F.lit(":")))
-        return F.concat(
-            scheme, F.when(slashes, "//").otherwise(""), p["host"], p["path"], _tail(let(p["query"], _clean_query), fragment)
-        )
-
-    return let(let(before, split), join)
-
-
-def canonicalize_url(url: Column, *, normalized: bool = False) -> Column:
-    """One spelling per address: lower-case scheme and host, no tracking keys, no slash at the end; fragment kept."""
-    return let(url if normalized else normalize_text(url), lambda u: F.when(u == "", F.lit("")).otherwise(_canonical(u)))
-
-
 def is_valid_source_url(url: Column) -> Column:
     """http(s) with a host."""
     return strip_text(url).rlike(r"^(?i)https?://[^/?#]+")
