@@ -20,9 +20,9 @@ def _reachable(items: DataFrame, quotas, limit: int, by: Sequence[str], rank: st
     taken = sum(q for _, q in quotas)
     cols = items.columns
     firsts = items.groupBy(*by, "source_type", "url").agg(F.min_by(F.struct(*cols), rank).alias("_row")).select("_row.*")
-    firsts = firsts.withColumn("_type_first", F.lit(True))
     per_type = top_k(firsts, max(q for _, q in quotas) + taken, [F.col(rank)], [*by, "source_type"], "_n").select(*cols)
-    overall = items.groupBy(*by, "url").agg(F.min_by(F.struct(*cols), rank).alias("_row")).select("_row.*")
+    # both branches start from the same shuffle, so the rows are made once
+    overall = firsts.groupBy(*by, "url").agg(F.min_by(F.struct(*cols), rank).alias("_row")).select("_row.*")
     fill = top_k(overall, limit + taken, [F.col(rank)], by, "_n").select(*cols)
     # a rank names one row of a group, so equal rows of both sides are one row
     return per_type.unionByName(fill).groupBy(*by, rank).agg(F.first(F.struct(*cols)).alias("_row")).select("_row.*")

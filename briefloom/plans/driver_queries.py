@@ -176,8 +176,11 @@ register("fingerprints", f"""WITH {ITEMS_SQL} SELECT seq, sha256(lower(title) ||
 )
 
 
+_PLAIN_BODY = r"regexp_replace(replace(regexp_replace(body, '```[\s\S]*?```', ' ', 'g'), '`', ''), '[*>#-]+', ' ', 'g')"
+
+
 @register("release_excerpts", rf"""WITH b AS (SELECT doc_id, '```x' || chr(10) || 'y```- **' || text || '** `z` # end' AS body FROM documents),
-t AS (SELECT doc_id, {norm("regexp_replace(replace(regexp_replace(body, '```[\s\S]*?```', ' ', 'g'), '`', ''), '[*>#-]+', ' ', 'g')")} AS x FROM b)
+t AS (SELECT doc_id, {norm(_PLAIN_BODY)} AS x FROM b)
 SELECT doc_id, CAST(length(x) AS BIGINT) AS n, md5(x) AS digest FROM t""")
 def release_excerpts(s, sf):
     body = F.concat(F.lit("```x\ny```- **"), "text", F.lit("** `z` # end"))
@@ -941,7 +944,7 @@ def quote_fallback(s, sf):
     return qt.quote_fallback(first, both.withColumn("source", F.lit("second"))).select("symbol", "source")
 
 
-@register("quote_lines", """SELECT event_id, '**' || event_id || '**' || chr(10) || '現:' || regexp_replace(printf('%.2f', value), '\.00$', '') || ' | 變:+' ||
+@register("quote_lines", r"""SELECT event_id, '**' || event_id || '**' || chr(10) || '現:' || regexp_replace(printf('%.2f', value), '\.00$', '') || ' | 變:+' ||
   regexp_replace(printf('%.2f', value), '\.00$', '') || chr(10) || '區:' || '0-' || regexp_replace(printf('%.2f', value), '\.00$', '') AS line FROM events""")
 def quote_lines(s, sf):
     v = c("value")

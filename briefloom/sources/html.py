@@ -20,6 +20,7 @@ NODES = (
     "heading STRUCT<node_pos: INT, id: STRING, text: STRING, dates: ARRAY<STRING>>, "
     "badge STRING, tags ARRAY<STRING>"
 )
+MAX_ROWS, MAX_CHARS = 5_000, 16_000_000
 KINDS = ("page", "a", "li", "p", "card")
 
 
@@ -38,11 +39,15 @@ def read_pages(df: DataFrame, kinds: Sequence[str] = KINDS) -> DataFrame:
         ]
         for batch in batches:
             rows: list[tuple] = []
+            size = 0
             for page_id, url, html in zip(batch["page_id"], batch["url"], batch["html"]):
-                rows.extend((page_id, url, *node) for node in page_nodes(html or "", wanted))
-                if len(rows) >= 5_000:
+                found = page_nodes(html or "", wanted)
+                rows.extend((page_id, url, *node) for node in found)
+                size += sum(len(node[2]) for node in found)
+                # hand over in small pieces, whatever the size of the pages
+                if len(rows) >= MAX_ROWS or size >= MAX_CHARS:
                     yield pd.DataFrame(rows, columns=columns)
-                    rows = []
+                    rows, size = [], 0
             if rows:
                 yield pd.DataFrame(rows, columns=columns)
 

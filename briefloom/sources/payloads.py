@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from briefloom.functions import dates, score, text
 from briefloom.functions.text import cut, strip_text, text_or_empty
@@ -138,14 +138,11 @@ def repo_search(raw: DataFrame, stars: DataFrame, since: Column, by: Sequence[st
         F.coalesce(-F.unix_micros(dates.parse_published_at(F.col("published_at_raw"))), F.lit(1 << 62)).alias("b"),
         (-F.col("n_stars")).alias("c"), F.col("arrival").alias("d"),
     )
-    # a run has a handful of search pages; their rows are ordered as one list
-    listed = rows.withColumn("title", title).groupBy(*by).agg(
-        F.array_sort(F.collect_list(F.struct(order.alias("o"), "title", "url", "desc", "published_at_raw"))).alias("l")
-    )
-    out = listed.select(*by, F.posexplode("l").alias("_pos", "e"))
+    # the rows of one run's search are few; the window spills where they are not
+    place = F.row_number().over(Window.partitionBy(*(by or [F.lit(0)])).orderBy(order)) - 1
     return _raw(
-        out, by, seq=F.col("_pos").cast("bigint"), title=e["title"], url=e["url"], desc=e["desc"], source_name="GitHub",
-        source_type="github_repo", published_at_raw=e["published_at_raw"],
+        rows.withColumns({"title": title, "_seq": place}), by, seq=F.col("_seq").cast("bigint"), title=F.col("title"), url=F.col("url"),
+        desc=F.col("desc"), source_name="GitHub", source_type="github_repo", published_at_raw=F.col("published_at_raw"),
     )
 
 

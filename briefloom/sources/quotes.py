@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window, functions as F
 
 from briefloom.functions.text import safe_float, text_or_empty
+from briefloom.operators.rank import top_k
 
 
 def _rounded(**cols) -> list:
@@ -34,15 +35,9 @@ def quotes_from_bars(
     valid = bars.filter(text_or_empty(F.col("symbol")) != "")
     numbers = {c: safe_float(F.col(c)) for c in ("open", "low", "high", "close")}
     days = daily_bars(valid.withColumns(numbers), last_bar=last_bar, by=by)
-    # of each symbol only the two latest days are kept before anything is ordered
-    latest = days.groupBy(*by, "symbol").agg(F.max("day").alias("day"))
-    before = (
-        days.join(latest.withColumnRenamed("day", "_latest"), [*by, "symbol"])
-        .filter(F.col("day") < F.col("_latest"))
-        .groupBy(*by, "symbol")
-        .agg(F.max_by("close", "day").alias("prev"))
-    )
-    rows = days.join(latest, [*by, "symbol", "day"]).join(before, [*by, "symbol"], "left")
+    # a symbol has one row per day here, so its window is short
+    in_time = Window.partitionBy(*by, "symbol").orderBy("day")
+    rows = top_k(days.withColumn("prev", F.lag("close").over(in_time)), 1, [F.col("day").desc()], [*by, "symbol"], "_n")
     change = F.col("close") - F.coalesce("prev", "close")
     return rows.select(
         *by, "symbol",

@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 from datetime import datetime, timezone
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql import types as T
 
 STATE_PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -36,12 +36,13 @@ class _FirstSight(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         state = self.seen.get() if self.seen.exists() else None
         last = state[0] if state else None
-        # only the moments of the batch are held, not its rows
-        moments: set[int] = set()
+        # of a batch only the distinct moments are held, eight bytes each; the source bounds a batch (maxBytesPerTrigger)
+        moments = np.empty(0, dtype="int64")
         for chunk in rows:
-            moments.update((chunk[self.ts].astype("int64") // self._unit(chunk[self.ts])).tolist())
+            column = chunk[self.ts]
+            moments = np.union1d(moments, column.astype("int64").to_numpy() // self._unit(column))
         passed = []
-        for us in sorted(moments):
+        for us in moments.tolist():
             if last is None or us - last > self.ttl_us:
                 last = us
                 passed.append(us)
