@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from briefloom import lexicon as lx
 from briefloom.functions import brief, dates, keys, score, text, urls
+from briefloom.functions.core import let
 from briefloom.operators import aggregates, items as it, joins, rank as rk, select as sel
 
 
@@ -199,6 +200,10 @@ def prompt_requests(items: DataFrame, style: Style, quotes: DataFrame | None = N
 
 def safe_text(v: Column, default: str = "", depth: int = 6) -> Column:
     """Readable text of any JSON value: text inside objects, joined lists, JSON text as last resort."""
+    return let(v, lambda bound: _safe_text(bound, default, depth))
+
+
+def _safe_text(v: Column, default: str, depth: int) -> Column:
     kind = F.schema_of_variant(v)
     as_text = text.strip_text(F.try_variant_get(v, "$", "string"))
 
@@ -214,7 +219,7 @@ def safe_text(v: Column, default: str = "", depth: int = 6) -> Column:
         .when(kind.startswith("OBJECT"), F.coalesce(inner("text"), inner("content"), inner("value"), F.to_json(v)))
     )
     if depth:
-        parts = F.transform(F.try_variant_get(v, "$", "array<variant>"), lambda x: safe_text(x, "", depth - 1))
+        parts = F.transform(F.try_variant_get(v, "$", "array<variant>"), lambda x: _safe_text(x, "", depth - 1))
         out = out.when(kind.startswith("ARRAY"), text.strip_text(F.array_join(F.filter(parts, lambda p: p != ""), " ")))
     else:
         out = out.when(kind.startswith("ARRAY"), F.to_json(v))

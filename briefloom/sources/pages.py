@@ -103,37 +103,30 @@ def _titled(prefix: Column, heading: Column) -> Column:
 
 def dated_sections(nodes: DataFrame, sources: DataFrame, limit: int = _DEFAULT_LIMIT) -> DataFrame:
     """Bullets under dated headings, then telling links with a date nearby; longest text per address."""
-    prefix = F.coalesce("title_prefix", "name")
-    bullets = _with_source(nodes, sources, ["li"]).withColumn("published", dates.normalize_datetime(F.col("heading.text")))
-    bullets = bullets.filter(
-        F.col("published").isNotNull() & (F.col("text") != "")
+    bullet = F.col("kind") == "li"
+    # one pass over the nodes for both kinds of row
+    rows = _with_source(nodes, sources, ["li", "a"]).filter(
+        (F.col("text") != "")
+        & (bullet | (F.length("text") >= 24))
         & text.matches_keywords(F.col("text"), F.lit(""), F.col("keywords"))
-    ).withColumns(
-        {
-            "link": F.when(F.col("href").isNotNull(), urls.resolve_url(F.col("url"), F.col("href"))).otherwise(_section_link()),
-            "title": _titled(prefix, F.col("heading.text")),
-            "desc": cut(F.col("text"), 220),
-            "pass": F.lit(1),
-        }
     )
-    links = _with_source(nodes, sources, ["a"]).filter(
-        (F.length("text") >= 24) & text.matches_keywords(F.col("text"), F.lit(""), F.col("keywords"))
+    heading = F.when(bullet, F.col("heading.text")).otherwise(F.coalesce("previous_heading", F.lit("Update")))
+    rows = rows.withColumn("shown_heading", heading)
+    nearby = F.coalesce(
+        html_published_at(F.col("near")), dates.normalize_datetime(F.get(F.col("near"), F.lit(1))["text_date"])
     )
-    parent_date = F.get(F.col("near"), F.lit(1))["text_date"]
-    links = links.withColumns(
+    rows = rows.withColumn(
+        "published", F.coalesce(dates.normalize_datetime(F.col("shown_heading")), F.when(~bullet, nearby))
+    ).filter(F.col("published").isNotNull())
+    rows = rows.withColumns(
         {
-            "published": F.coalesce(
-                dates.normalize_datetime(F.coalesce("previous_heading", F.lit("Update"))),
-                html_published_at(F.col("near")),
-                dates.normalize_datetime(parent_date),
-            ),
-            "link": urls.resolve_url(F.col("url"), F.col("href")),
-            "title": _titled(prefix, F.coalesce("previous_heading", F.lit("Update"))),
-            "desc": cut(F.coalesce(F.nullif("parent_text", F.lit("")), "text"), 220),
-            "pass": F.lit(2),
+            "link": F.when(F.col("href").isNotNull(), urls.resolve_url(F.col("url"), F.col("href"))).otherwise(_section_link()),
+            "title": _titled(F.coalesce("title_prefix", "name"), F.col("shown_heading")),
+            "desc": cut(F.when(bullet, F.col("text")).otherwise(F.coalesce(F.nullif("parent_text", F.lit("")), "text")), 220),
+            "pass": F.when(bullet, 1).otherwise(2),
         }
-    ).filter(F.col("published").isNotNull())
-    rows = _newest(_longest(bullets.select(*_SECTION).unionByName(links.select(*_SECTION))), limit)
+    )
+    rows = _newest(_longest(rows.select(*_SECTION)), limit)
     return _official(rows, F.col("_n").cast("bigint"), F.col("title"), F.col("link"), F.col("desc"))
 
 
