@@ -12,7 +12,7 @@ from briefloom.functions import brief, dates, keys, score, text, urls
 from briefloom.operators import aggregates, dedup, history as hist, items as it, joins, rank as rk, render, report
 from briefloom.operators import select as sel
 from briefloom.plans.driver_views import (
-    ITEMS_SQL, RAW_SQL, TERMS, TRIM, TYPES, canon, events, has, in_case, items, norm, q, raw_items, rstrip, stamp, table,
+    ITEMS_SQL, RAW_SQL, TERMS, TRIM, TYPES, canon, events, has, in_case, items, norm, q, raw_items, rstrip, spread, stamp, table,
 )
 from briefloom.session import checkpoint_root
 from briefloom.sources import html, pages, payloads, quotes as qt
@@ -800,7 +800,7 @@ def parsed_responses(s, sf):
     )
     bad = F.struct(F.struct(F.lit("no link").alias("text")).alias("title"), F.lit("N/A").alias("url"), F.array(F.lit("x"), F.lit("y")).alias("insight"), c("turn").alias("summary"))
     body = F.to_json(F.struct(F.struct(c("text").alias("content")).alias("summary"), F.array(item, bad).alias("items"), F.lit("o").alias("outlook")))
-    rows = table(s, sf, "conversations").select(
+    rows = spread(table(s, sf, "conversations"), "conv_id").select(
         F.concat(c("conv_id").cast("string"), F.lit("-"), c("turn").cast("string")).alias("report_id"),
         F.concat(F.lit("```json\n"), body, F.lit("\n```")).alias("response"),
     )
@@ -965,15 +965,19 @@ _TEXT_SQL = r"""pt AS (SELECT page_id, url, replace(replace(replace(replace(arra
   IF trim(x, ' ' || chr(10) || chr(9) || chr(13)) <> ''], ' '), '&quot;', '"'), '&middot;', '·'), '&copy;', '©'), '&amp;', '&') AS body FROM pages)"""
 
 
+def _pages(s, sf):
+    return spread(table(s, sf, "pages"), "page_id")
+
+
 @register("page_texts", f"WITH {_TEXT_SQL} SELECT page_id, CAST(length(body) AS BIGINT) AS n, md5(body) AS digest FROM pt")
 def page_texts(s, sf):
-    nodes = html.read_pages(table(s, sf, "pages"), ("page",))
+    nodes = html.read_pages(_pages(s, sf), ("page",))
     return nodes.select("page_id", F.length("text").alias("n"), F.md5("text").alias("digest"))
 
 
 @register("static_pages", f"WITH {_TEXT_SQL} SELECT page_id, url, '[Official] note on ' || url AS title FROM pt WHERE {has("lower('note on ' || url || ' ' || substr(body, 1, 2000))", ('license', 'ungs', 'thble'))}")
 def static_pages(s, sf):
-    web = table(s, sf, "pages")
+    web = _pages(s, sf)
     curated = web.select("url").distinct().select(
         "url", F.lit("curated").alias("name"), F.concat(F.lit("note on "), c("url")).alias("title"), F.lit("d").alias("desc"),
         F.lit("2026-04-07").alias("published_at_raw"), F.array(F.lit("license"), F.lit("ungs"), F.lit("thble")).alias("keywords"),
@@ -984,7 +988,7 @@ def static_pages(s, sf):
 @register("resolved_links", """SELECT page_id, link, count(*) AS n FROM (SELECT page_id, regexp_extract(url, '^[A-Za-z]+://[^/?#]+') || h AS link FROM (
   SELECT page_id, url, unnest(regexp_extract_all(html, '<a [^>]*href="([^"]*)"', 1)) AS h FROM pages)) GROUP BY 1, 2""")
 def resolved_links(s, sf):
-    nodes = html.read_pages(table(s, sf, "pages"), ("a",))
+    nodes = html.read_pages(_pages(s, sf), ("a",))
     return nodes.groupBy("page_id", urls.resolve_url(c("url"), c("href")).alias("link")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -993,7 +997,8 @@ _EVENT_PAGE = "https://notes.example.com/log"
 
 def _event_pages(s, sf, body):
     """One small page per event, all at one address as versions of one page."""
-    return events(s, sf).select(c("event_id").alias("page_id"), F.lit(_EVENT_PAGE).alias("url"), body.alias("html"), "ts", "event_type")
+    rows = spread(events(s, sf).select("event_id", "ts", "event_type"), "event_id")
+    return rows.select(c("event_id").alias("page_id"), F.lit(_EVENT_PAGE).alias("url"), body.alias("html"), "ts", "event_type")
 
 
 def _sources(s, **more):
@@ -1170,7 +1175,8 @@ def _feed(s, sf, atom: bool = False):
 
     entries = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(6)), entry), "")
     body = _text('<feed xmlns="http://www.w3.org/2005/Atom">', entries, "</feed>") if atom else _text("<rss><channel>", entries, "</channel></rss>")
-    return events(s, sf).select(n.alias("payload_order"), kind.alias("subreddit"), kind.alias("query"), kind.alias("source_id"), body.alias("payload"))
+    rows = spread(events(s, sf).select("event_id", "ts", "event_type"), "event_id")
+    return rows.select(n.alias("payload_order"), kind.alias("subreddit"), kind.alias("query"), kind.alias("source_id"), body.alias("payload"))
 
 
 _FEED_ROWS = "SELECT event_id, event_type AS kind, ts, i FROM events, (SELECT unnest([1, 2, 3, 4, 5, 6]) AS i)"

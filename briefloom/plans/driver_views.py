@@ -27,13 +27,22 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Row-heavy text work over a table which comes in fewer pieces than there are cores is worth one shuffle.
+
+    The driver tables are single small files. A table with more splits than cores is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
 def events(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def raw_items(spark: SparkSession, sf: str) -> DataFrame:
     """Documents as raw items: first line is the title, the rest the description; dates come in several formats."""
-    docs = table(spark, sf, "documents")
+    docs = spread(table(spark, sf, "documents").select("doc_id", "text", "lang", "source"), "doc_id")
     times = events(spark, sf).select((F.col("event_id") / 5).alias("at"), "ts").filter(F.col("at") == F.floor("at"))
     times = times.select(F.col("at").cast("bigint").alias("doc_id"), "ts")
     kind = F.pmod(F.col("doc_id"), F.lit(5))
