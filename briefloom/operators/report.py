@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from briefloom import lexicon as lx
 from briefloom.functions import brief, dates, keys, score, text, urls
-from briefloom.functions.core import let
+from briefloom.functions.core import let_sql, sql_string
 from briefloom.operators import aggregates, items as it, joins, rank as rk, select as sel
 
 
@@ -198,32 +198,33 @@ def prompt_requests(items: DataFrame, style: Style, quotes: DataFrame | None = N
 # --- landed responses -------------------------------------------------------------------------------------------
 
 
-def safe_text(v: Column, default: str = "", depth: int = 6) -> Column:
-    """Readable text of any JSON value: text inside objects, joined lists, JSON text as last resort."""
-    return let(v, lambda bound: _safe_text(bound, default, depth))
+def _stripped_sql(x: str) -> str:
+    return rf"regexp_replace(coalesce({x}, ''), r'(?U)^[\s\x1C-\x1F]+|[\s\x1C-\x1F]+$', '')"
 
 
-def _safe_text(v: Column, default: str, depth: int) -> Column:
-    kind = F.schema_of_variant(v)
-    as_text = text.strip_text(F.try_variant_get(v, "$", "string"))
+def _safe_text_sql(v: str, default: str, depth: int) -> str:
+    kind, as_text = f"schema_of_variant({v})", _stripped_sql(f"try_variant_get({v}, '$', 'string')")
 
-    def inner(key: str) -> Column:
-        field = F.try_variant_get(v, f"$.{key}", "variant")
-        return F.when(
-            F.schema_of_variant(field) == "STRING", F.nullif(text.strip_text(F.try_variant_get(v, f"$.{key}", "string")), F.lit(""))
-        )
+    def inner(key: str) -> str:
+        kind_of = f"schema_of_variant(try_variant_get({v}, '$.{key}', 'variant'))"
+        return f"if({kind_of} = 'STRING', nullif({_stripped_sql(f"try_variant_get({v}, '$.{key}', 'string')")}, ''), NULL)"
 
-    out = (
-        F.when(v.isNull() | F.is_variant_null(v), F.lit(default))
-        .when(kind == "BOOLEAN", F.initcap(as_text))
-        .when(kind.startswith("OBJECT"), F.coalesce(inner("text"), inner("content"), inner("value"), F.to_json(v)))
-    )
     if depth:
-        parts = F.transform(F.try_variant_get(v, "$", "array<variant>"), lambda x: _safe_text(x, "", depth - 1))
-        out = out.when(kind.startswith("ARRAY"), text.strip_text(F.array_join(F.filter(parts, lambda p: p != ""), " ")))
+        x = f"x{depth}"
+        parts = f"transform(try_variant_get({v}, '$', 'array<variant>'), {x} -> {_safe_text_sql(x, '', depth - 1)})"
+        joined = _stripped_sql(f"array_join(filter({parts}, p -> p <> ''), ' ')")
     else:
-        out = out.when(kind.startswith("ARRAY"), F.to_json(v))
-    return out.otherwise(as_text)
+        joined = f"to_json({v})"
+    return f"""CASE WHEN {v} IS NULL OR is_variant_null({v}) THEN {sql_string(default)}
+        WHEN {kind} = 'BOOLEAN' THEN initcap({as_text})
+        WHEN startswith({kind}, 'OBJECT') THEN coalesce({inner('text')}, {inner('content')}, {inner('value')}, to_json({v}))
+        WHEN startswith({kind}, 'ARRAY') THEN {joined}
+        ELSE {as_text} END"""
+
+
+def safe_text(v: Column, default: str = "", depth: int = 6) -> Column:
+    """Readable text of any JSON value: text inside objects, joined lists, JSON text as last resort."""
+    return let_sql(v, f"v -> {_safe_text_sql('v', default, depth)}")
 
 
 def _json_body(response: Column) -> Column:
