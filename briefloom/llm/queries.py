@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from briefloom.llm import chat, langid, shard, url_filter
+from briefloom.llm import chat, decontam, langid, shard, toxicity, url_filter
 from briefloom.llm.common import held_out, stored, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,6 +24,18 @@ def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+# --- 1: toxicity --------------------------------------------------------------------------------------------------
+
+
+@register("op1_toxicity")
+def op1(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "text", "lang")
+    learned = docs.filter(~held_out(3, 1))
+    model = toxicity.train(learned, table(spark, sf, "labels").filter(~held_out(3, 1)))
+    scored = toxicity.score(docs.drop("lang").withColumn("held_out", held_out(3, 1)), model)
+    return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 # --- 3: URL filters -----------------------------------------------------------------------------------------------
 
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
@@ -82,6 +94,33 @@ def op6(spark, sf):
     )
 
 
+# --- 8: benchmark decontamination ---------------------------------------------------------------------------------
+
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+
+@register("op8_decontamination", f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents),
+i AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
+win AS (SELECT DISTINCT item_id, least(13, len(w)) AS n, array_to_string(w[s:s + 12], ' ') AS p
+  FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 12, 1) + 1)) AS s FROM i WHERE len(w) > 0)),
+sizes AS (SELECT DISTINCT n FROM win),
+pos AS (SELECT r, n, unnest(range(1, len(w) - n + 2)) AS s, unnest(list_transform(range(1, len(w) - n + 2), lambda x: array_to_string(w[x:x + n - 1], ' '))) AS p
+  FROM d, sizes WHERE len(w) >= n),
+occ AS (SELECT r, s, n, item_id FROM pos JOIN win USING (n, p)),
+hit AS (SELECT r, count(*) AS n_hit FROM (SELECT DISTINCT r, unnest(range(s, s + n)) AS at FROM occ) GROUP BY r),
+its AS (SELECT r, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids
+  FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS item_id FROM occ) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN hit USING (r) LEFT JOIN its USING (r)""")
+def op8(spark, sf):
+    found = decontam.contamination(table(spark, sf, "documents").select("doc_id", "text"), table(spark, sf, "benchmark"))
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), "contaminated"
+    )
+
+
 # --- 9: sharding --------------------------------------------------------------------------------------------------
 
 
