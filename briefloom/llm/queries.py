@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from briefloom.llm import chat, decontam, langid, shard, toxicity, url_filter
+from briefloom.llm import bpe, chat, decontam, langid, shard, toxicity, url_filter
 from briefloom.llm.common import held_out, stored, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -94,6 +95,22 @@ def op6(spark, sf):
     )
 
 
+# --- 7: byte-level BPE --------------------------------------------------------------------------------------------
+
+RANK_FILE = "byte_bpe_50k.tiktoken"
+
+
+@register("op7_byte_bpe")
+def op7(spark, sf):
+    ranks = bpe.read_ranks(public_tokenizers.path(RANK_FILE))
+    tokens = bpe.encode(table(spark, sf, "documents").select("doc_id", "text"), ranks, public_tokenizers.PATTERN)
+    read = bpe.decode(tokens.select("doc_id", "ids"), ranks)
+    return read.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 # --- 8: benchmark decontamination ---------------------------------------------------------------------------------
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
