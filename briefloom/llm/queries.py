@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from briefloom.llm import bpe, chat, decontam, langid, shard, toxicity, url_filter
+from briefloom.llm import bpe, chat, decontam, jaccard, langid, shard, toxicity, url_filter
 from briefloom.llm.common import held_out, stored, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -148,3 +148,11 @@ def op9(spark, sf):
     return placed.select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
     )
+
+
+# --- 10: n-gram Jaccard join --------------------------------------------------------------------------------------
+
+
+@register("op10_jaccard_join")
+def op10(spark, sf):
+    return jaccard.classes(table(spark, sf, "documents").select("doc_id", "text"))
