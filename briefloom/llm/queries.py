@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from briefloom.llm import bpe, chat, decontam, jaccard, langid, shard, toxicity, url_filter
+from briefloom.llm import bpe, chat, decontam, embed_dedup, jaccard, langid, shard, toxicity, url_filter
 from briefloom.llm.common import held_out, stored, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -55,6 +55,21 @@ def op3(spark, sf):
     return url_filter.judge(table(spark, sf, "pages"), rules)
 
 
+# --- 4: embedding near-dedup --------------------------------------------------------------------------------------
+
+
+@register("op4_embedding_dedup", """
+WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
+  AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+l AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.93),
+reach(a, b) AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM reach r JOIN l ON r.b = l.a)
+SELECT vec_id, coalesce(n, 0) AS n_links, least(vec_id, coalesce(low, vec_id)) AS component_id, vec_id <= coalesce(low, vec_id) AS kept
+FROM embeddings LEFT JOIN (SELECT a AS vec_id, count(*) AS n FROM l GROUP BY a) USING (vec_id)
+LEFT JOIN (SELECT a AS vec_id, min(b) AS low FROM reach GROUP BY a) USING (vec_id)""")
+def op4(spark, sf):
+    return embed_dedup.near_duplicates(table(spark, sf, "embeddings"))
+
+
 # --- 5: language ID -----------------------------------------------------------------------------------------------
 
 
