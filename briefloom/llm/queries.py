@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from briefloom.llm import bpe, chat, decontam, embed_dedup, jaccard, langid, shard, toxicity, url_filter
+from briefloom.llm import bpe, chat, decontam, embed_dedup, jaccard, langid, lm_score, shard, toxicity, url_filter
 from briefloom.llm.common import held_out, stored, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -37,6 +37,15 @@ def op1(spark, sf):
     return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+# --- 2: language-model scores -------------------------------------------------------------------------------------
+
+
+@register("op2_lm_score")
+def op2(spark, sf):
+    scored = lm_score.score(table(spark, sf, "documents").select("doc_id", "text"), ~held_out(10, 0))
+    return scored.select("doc_id", held_out(10, 0).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 # --- 3: URL filters -----------------------------------------------------------------------------------------------
 
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
