@@ -17,7 +17,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from briefloom.llm.common import mix, stored
 from briefloom.llm.components import connected, local_roots
@@ -53,7 +53,7 @@ def signatures(x: np.ndarray, settings: Settings) -> np.ndarray:
     directions = rng.normal(size=(x.shape[1], settings.tables * settings.projections))
     shifts = rng.uniform(0, settings.width, directions.shape[1])
     cells = np.floor((x @ directions + shifts) / settings.width).astype(np.int64).reshape(len(x), settings.tables, -1)
-    out = np.zeros(cells.shape[:2], np.uint64) + np.arange(1, settings.tables + 1, dtype=np.uint64)
+    out = np.zeros(cells.shape[:2], np.uint64) + mix(np.arange(1, settings.tables + 1, dtype=np.uint64))
     for k in range(cells.shape[2]):
         out = mix(out + cells[:, :, k].astype(np.uint64))
     return out
@@ -154,7 +154,7 @@ def near_duplicates(vectors: DataFrame, settings: Settings = Settings()) -> Data
     not zero. Rows that repeat a vec_id count as vectors of their own. component_id: the smallest vec_id reachable, itself included.
     """
     keyed = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "label", "embedding")
-    keyed = stored(keyed.mapInArrow(_keys, keyed.withColumn("key", F.lit(b"")).schema))
+    keyed = stored(keyed.mapInArrow(_keys, T.StructType([*keyed.schema.fields, T.StructField("key", T.BinaryType())])))
     valid = keyed.filter("key is not null")
     repeated = valid.groupBy("key").agg(F.count(F.lit(1)).alias("copies")).filter("copies > 1")
     counted = valid.join(repeated, "key", "left").withColumn("copies", F.coalesce("copies", F.lit(1)))
