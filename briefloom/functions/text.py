@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 from functools import reduce
+from html.entities import html5
 
 from pyspark.sql import Column, functions as F
 
@@ -12,13 +14,12 @@ from briefloom.functions.core import let, let_sql, sql_holds, sql_string
 # (?U) lets \s cover NBSP and ideographic space; the four separators below count as space for the source data too.
 _SPACE = r"(?U)[\s\x1C-\x1F]+"
 
-# Named character references which occur in feeds and pages. `&amp;` is resolved last.
-_ENTITIES = (
-    ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&nbsp;", " "), ("&hellip;", "…"),
-    ("&mdash;", "—"), ("&ndash;", "–"), ("&lsquo;", "‘"), ("&rsquo;", "’"),
-    ("&ldquo;", "“"), ("&rdquo;", "”"), ("&bull;", "•"), ("&middot;", "·"), ("&copy;", "©"),
-    ("&reg;", "®"), ("&trade;", "™"), ("&euro;", "€"), ("&pound;", "£"), ("&amp;", "&"),
-)
+# A character reference: numeric, or a name; the semicolon may be missing. Then plain text up to the next ampersand.
+_PIECES = r"(?s)&(?:#[xX][0-9a-fA-F]+;?|#[0-9]+;?|[^\t\n\f <&#;]{1,32};?)|&|[^&]+"
+# Names which were allowed without a semicolon may be followed by other letters.
+_OPEN_NAMES = tuple(sorted(k for k in html5 if not k.endswith(";")))
+# Code points 80 to 9F stand for the characters of code page 1252 where it has one.
+_PAGE_1252 = tuple(bytes([n]).decode("cp1252", "replace").replace("\ufffd", chr(n)) for n in range(0x80, 0xA0))
 
 
 def text_or_empty(c: Column) -> Column:
@@ -103,26 +104,47 @@ def title_key_alnum(c: Column) -> Column:
     return cut(F.regexp_replace(F.lower(text_or_empty(c)), r"[^\p{L}\p{N}]+", ""), 120)
 
 
-def _unescape(c: Column) -> Column:
-    numeric = F.array_distinct(F.regexp_extract_all(c, F.lit(r"&#(?:[xX][0-9a-fA-F]{1,6}|[0-9]{1,7});"), F.lit(0)))
-
-    def char(ref: Column) -> Column:
-        is_hex = F.lower(F.substring(ref, 3, 1)) == "x"
-        digits = F.regexp_replace(ref, "[&#xX;]", "")
-        code = F.when(is_hex, F.conv(digits, 16, 16)).otherwise(F.conv(digits, 10, 16))
-        return F.decode(F.unhex(F.lpad(code, 8, "0")), "UTF-32")
-
-    out = F.when(
-        F.size(numeric) > 0, F.aggregate(numeric, c, lambda acc, ref: F.replace(acc, ref, char(ref)))
-    ).otherwise(c)
-    for name, value in _ENTITIES:
-        out = F.replace(out, F.lit(name), F.lit(value))
-    return F.when(F.contains(c, F.lit("&")), out).otherwise(c)
+def _char(code: Column) -> Column:
+    """The character of a numeric reference; outside Unicode, surrogates and 0 give U+FFFD, controls and non-characters nothing."""
+    valid = F.greatest(F.least(code, F.lit(0x10FFFF)), F.lit(1))
+    plain = F.decode(F.unhex(F.lpad(F.hex(F.when(valid.between(0xD800, 0xDFFF), 1).otherwise(valid)), 8, "0")), "UTF-32")
+    dropped = code.between(1, 8) | (code == 0xB) | code.between(0xE, 0x1F) | (code == 0x7F) | code.between(0xFDD0, 0xFDEF) | (code.bitwiseAND(0xFFFE) == 0xFFFE)
+    return (
+        F.when((code <= 0) | (code > 0x10FFFF) | code.between(0xD800, 0xDFFF), F.lit("\ufffd"))
+        .when(code.between(0x80, 0x9F), F.get(F.array(*[F.lit(c) for c in _PAGE_1252]), (code - 0x80).cast("int")))
+        .when(dropped, F.lit("")).otherwise(plain)
+    )
+
+
+def _resolved(piece: Column) -> Column:
+    hexadecimal = F.lower(F.substring(piece, 3, 1)) == "x"
+    digits = F.regexp_replace(F.regexp_replace(piece, "[&#xX;]", ""), "^0+", "")
+    # eight digits are beyond Unicode in either base
+    code = F.when(F.length(digits) > 7, F.lit(0x110000)).when(digits == "", F.lit(0)).otherwise(
+        F.when(hexadecimal, F.conv(digits, 16, 10)).otherwise(digits).cast("long")
+    )
+    names = F.from_json(F.lit(json.dumps(html5)), "map<string,string>")
+    name = F.substring(piece, F.lit(2), F.length(piece))
+    opens = F.from_json(F.lit(json.dumps({k: html5[k] for k in _OPEN_NAMES})), "map<string,string>")
+
+    def longest_open(n: Column) -> Column:
+        sizes = F.filter(F.sequence(F.length(n), F.lit(1), F.lit(-1)), lambda i: F.element_at(opens, F.substring(n, F.lit(1), i)).isNotNull())
+        size = F.get(sizes, F.lit(0))
+        return F.concat(F.element_at(opens, F.substring(n, F.lit(1), size)), F.substring(n, size + 1, F.length(n)))
+
+    return (
+        F.when(~F.startswith(piece, F.lit("&")) | (piece == "&"), piece)
+        .when(F.startswith(piece, F.lit("&#")), _char(code))
+        .otherwise(F.coalesce(F.element_at(names, name), longest_open(name), piece))
+    )
 
 
 def unescape_entities(c: Column) -> Column:
-    """Character references to characters: numeric ones by code point, then the common named ones."""
-    return let(c, _unescape)
+    """Character references to characters, in one pass from left to right: nothing is resolved twice and no reference stops a job.
+
+    Numeric references follow the HTML rules for bad code points; names are those of HTML5. What is no reference stays as it is.
+    """
+    return let(c, lambda v: F.when(F.contains(v, F.lit("&")), F.array_join(F.transform(F.regexp_extract_all(v, F.lit(_PIECES), F.lit(0)), _resolved), "")).otherwise(v))
 
 
 def strip_tags(c: Column) -> Column:
@@ -144,6 +166,7 @@ def release_excerpt(body: Column) -> Column:
 
 
 def safe_float(c: Column, default: Column | float = 0.0) -> Column:
-    """Cast to double, or the default where the value is no number."""
+    """Cast to double, or the default where the value is no number; number suffixes such as `1d` are none."""
     default = default if isinstance(default, Column) else F.lit(default)
-    return F.coalesce(c.try_cast("double"), default)
+    suffixed = F.coalesce(c.cast("string").rlike(r"^\s*[+-]?[0-9.]+(?:[eE][+-]?[0-9]+)?[dDfF]\s*$"), F.lit(False))
+    return F.coalesce(F.when(~suffixed, c.try_cast("double")), default)

@@ -75,6 +75,17 @@ def url_hosts(s, sf):
     )
 
 
+# the references are bad, doubly escaped, rare, without a semicolon, and no references at all
+_REFERENCES = " &#9999999; &#xD800; &#38;lt; &amp;lt; &eacute;&rarr;&zwnj; &copy2 &#x80;&#0; &nosuch; & &#x1F600;"
+
+
+@register("entity_texts", """SELECT doc_id, substr(text, 1, 40) || ' ' || chr(65533) || ' ' || chr(65533) || ' &lt; &lt; ' || chr(233) || chr(8594) || chr(8204)
+    || ' ' || chr(169) || '2 ' || chr(8364) || chr(65533) || ' &nosuch; & ' || chr(128512) AS text FROM documents""")
+def entity_texts(s, sf):
+    raw = F.concat(F.substring("text", 1, 40), F.lit(_REFERENCES))
+    return spread(table(s, sf, "documents").select("doc_id", "text"), "doc_id").select("doc_id", text.unescape_entities(raw).alias("text"))
+
+
 @register("link_encoding", """SELECT page_id, replace(url, ' ', '%20') || '/%C3%A9%20x?q=%C3%BC' AS link FROM (
     SELECT page_id, regexp_extract(url, '^[^?#]*') AS url FROM pages)""")
 def link_encoding(s, sf):

@@ -69,6 +69,7 @@ def build_reports(
     trimmed = it.trim_descriptions(raw, config.max_desc)
     runs = raw.select(*RUN).distinct()
     out: dict[str, list[DataFrame]] = {k: [] for k in ("report", "report_item", "message", "block", "fresh", "skipped")}
+    seen: list[DataFrame] = []
     metrics = None
     for kind, category in (("stock", "stock_news"), ("ai", "ai_news")):
         ai = kind == "ai"
@@ -91,6 +92,8 @@ def build_reports(
             )
             known = active.select("category", "fingerprint")
         fresh, skipped = _fresh(ranked, recent, known, config.ai_fresh if ai else config.stock_fresh)
+        # every fresh row counts as seen, also those which are not selected below
+        seen.append(fresh.select(*RUN, "category", "rank", "seq", "fingerprint"))
         pool = recent
         if ai:
             fresh = sel.select_with_quotas(fresh, config.ai_selected, by=RUN).withColumn("rank", F.col("selected_position"))
@@ -123,5 +126,5 @@ def build_reports(
         tables[name] = table
     tables["metrics"] = metrics
     if history is not None:
-        tables["history"] = hist.remember(history, tables["fresh"], now, config.history_cap, config.history_ttl_hours)
+        tables["history"] = hist.remember(history, seen[0].unionByName(seen[1]), now, config.history_cap, config.history_ttl_hours)
     return tables

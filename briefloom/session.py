@@ -37,9 +37,14 @@ _fallback: dict[str, str] = {}
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """Shared folder for checkpoints; a temporary folder only where the cluster names none (tests)."""
+    """Shared folder for checkpoints; a temporary folder only where none is named and the master is local (tests).
+
+    On a cluster every executor would write to its own disk, so there the setting is asked for.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("spark.checkpoint.dir names no folder which all executors share")
         app = spark.sparkContext.applicationId
         root = _fallback.setdefault(app, "") or tempfile.mkdtemp(prefix="briefloom-")
         _fallback[app] = root

@@ -17,8 +17,9 @@ _DATES = (
 )
 # the rules show this much of the surrounding text
 SHOWN = 220
-# no date in any accepted format is longer
-_LONGEST_DATE = 64
+# A date with text behind it (mail form) has six words at most, any other must be the whole text and has three: the words
+# which follow cannot change what is read.
+_DATE_WORDS = 7
 
 
 def date_in(text: str) -> str | None:
@@ -30,12 +31,12 @@ def date_in(text: str) -> str | None:
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "parent", "children", "pos", "_text", "_date")
+    __slots__ = ("tag", "attrs", "parent", "children", "pos", "first_time", "_text", "_date", "_elements", "_at")
 
     def __init__(self, tag, attrs, parent, pos):
         self.tag, self.attrs, self.parent, self.pos = tag, attrs, parent, pos
         self.children: list = []
-        self._text = self._date = None
+        self.first_time = self._text = self._date = self._elements = self._at = None
 
     def walk(self) -> Iterator["Node"]:
         """Elements below, in document order; no recursion, so depth is no limit."""
@@ -70,10 +71,16 @@ class Node:
         return self._date[0]
 
     @property
-    def later_siblings(self) -> list["Node"]:
-        siblings = [c for c in self.parent.children if isinstance(c, Node)]
-        at = next(i for i, c in enumerate(siblings) if c is self)
-        return siblings[at + 1 :]
+    def elements(self) -> list["Node"]:
+        if self._elements is None:
+            self._elements = [c for c in self.children if isinstance(c, Node)]
+            for i, child in enumerate(self._elements):
+                child._at = i
+        return self._elements
+
+    def later_siblings(self, most: int) -> list["Node"]:
+        siblings = self.parent.elements
+        return siblings[self._at + 1 : self._at + 1 + most]
 
 
 class _Builder(HTMLParser):
@@ -83,6 +90,7 @@ class _Builder(HTMLParser):
         self.open = [self.root]
         self.count = 0
         self.joinable = False
+        self.nodes: list[Node] = []
 
     def handle_starttag(self, tag, attrs):
         self.count += 1
@@ -91,6 +99,7 @@ class _Builder(HTMLParser):
             values[name] = value or ""
         node = Node(tag, values, self.open[-1], self.count)
         self.open[-1].children.append(node)
+        self.nodes.append(node)
         self.joinable = False
         if tag not in VOID:
             self.open.append(node)
@@ -123,6 +132,11 @@ def build(html: str) -> Node:
     builder = _Builder()
     builder.feed(html)
     builder.close()
+    # from the last element to the first: what is found earlier in the page replaces what was found later
+    for node in reversed(builder.nodes):
+        found = node if node.tag == "time" else node.first_time
+        if found is not None:
+            node.parent.first_time = found
     return builder.root
 
 
@@ -136,7 +150,7 @@ def _near(node: Node) -> list[tuple]:
         values = [at.attrs[a] for a in DATE_ATTRIBUTES if at.attrs.get(a)]
         for name, value in at.attrs.items():
             values.extend(value.split() if name == "class" else [value])
-        time = at.find("time")
+        time = at.first_time
         out.append((values, time.attrs.get("datetime") if time else None, time.text if time else None, at.date))
         at = at.parent
     return out
@@ -145,10 +159,10 @@ def _near(node: Node) -> list[tuple]:
 def _heading(node: Node, cache: dict[int, tuple]) -> tuple:
     if node.pos not in cache:
         dates = []
-        for sibling in node.later_siblings[:3]:
+        for sibling in node.later_siblings(3):
             if sibling.tag in HEADINGS:
                 break
-            dates.append(sibling.date or (sibling.text if len(sibling.text) <= _LONGEST_DATE else ""))
+            dates.append(sibling.date or " ".join(sibling.text.split(None, _DATE_WORDS)[:_DATE_WORDS]))
         cache[node.pos] = (node.pos, node.attrs.get("id"), node.text, dates)
     return cache[node.pos]
 

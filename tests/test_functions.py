@@ -113,3 +113,23 @@ def test_briefs(spark):
     stock = one("stock", "TSMC expands", "short", "Wire", "news")
     assert stock.summary == "市場新聞焦點：TSMC expands。" and stock.insight.startswith("這類消息的重點")
     assert apply(spark, brief.needs_follow_up, ["", "一句。", "一" * 40 + "。" + "二" * 40 + "。"]) == [False, True, False]
+
+
+def test_references_follow_the_html_rules(spark):
+    import html
+    import random
+
+    from briefloom.functions import text as tx
+
+    rng = random.Random(5)
+    bits = ["&#9999999;", "&#xD800;", "&#38;lt;", "&eacute;", "&notit;", "&ampx", "&", "&&", "&#0;", "&#x80;", "&#128", "&#xFFFE;", "&#1;", "&#", "x", "&#99999999999999999999;", "&none;", "&#x;", "\n"]
+    rows = [("".join(rng.choice(bits) for _ in range(rng.randint(1, 7))),) for _ in range(400)]
+    for r in spark.createDataFrame(rows, "t string").select("t", tx.unescape_entities(F.col("t")).alias("u")).collect():
+        assert r.u == html.unescape(r.t), r.t
+
+
+def test_number_suffixes_are_no_numbers(spark):
+    from briefloom.functions import text as tx
+
+    rows = spark.createDataFrame([("1d",), ("1.5f",), ("2",), ("x",), (None,)], "v string").select(tx.safe_float(F.col("v"), -1.0).alias("n")).collect()
+    assert [r.n for r in rows] == [-1.0, -1.0, 2.0, -1.0, -1.0]
