@@ -30,8 +30,8 @@ from briefloom.llm.common import WHITE, WordHasher, mix, powers, slices, stored,
 from briefloom.llm.components import connected, local_roots
 
 WIDTH, PERCENT = 5, 80
-BUCKET_BYTES = 24 << 20  # text behind one bucket of n-grams
-SLICE_BYTES = 6 << 20
+BUCKET_BYTES = 12 << 20  # text behind one bucket of n-grams
+SLICE_BYTES = 4 << 20
 BLOCK = 1024  # documents of a candidate group which are verified against each other at once
 _STRIDE = 0x9E3779B97F4A7C15
 
@@ -111,26 +111,34 @@ def _count(key: tuple, table: pa.Table) -> pa.Table:
         rows = sorted(table.to_pylist(), key=lambda r: r["slice"])
         heads = [np.frombuffer(r["sizes"], "<u4").reshape(-1, 2) for r in rows]
         grams = np.concatenate([_unpack48(r["body"]) for r in rows])
-        doc = np.concatenate([np.repeat(h[:, 0], h[:, 1]) for h in heads])
-        set_key = np.concatenate([np.repeat(np.frombuffer(r["keys"], "<u8"), h[:, 1]) for r, h in zip(rows, heads)])
-        place = np.repeat(np.arange(len(rows)), [int(h[:, 1].sum()) for h in heads])
-        order = np.argsort(grams, kind="stable")
-        same = grams[order][1:] == grams[order][:-1]
-        shared = order[np.concatenate([[False], same]) | np.concatenate([same, [False]])]
+        # what stands twice; only that is looked at further
+        ordered = np.sort(grams)
+        twice = np.unique(ordered[1:][ordered[1:] == ordered[:-1]])
+        del ordered
+        near = np.minimum(np.searchsorted(twice, grams), max(0, len(twice) - 1))
+        shared = np.flatnonzero(twice[near] == grams) if len(twice) else np.empty(0, np.int64)
+        del near
+        # the slice row, document and set of a position: documents stand one after the other
+        ends = np.cumsum(np.concatenate([h[:, 1] for h in heads]).astype(np.int64))
+        run = np.searchsorted(ends, shared, "right")
+        place = np.repeat(np.arange(len(rows)), [len(h) for h in heads])[run]
+        doc = np.concatenate([h[:, 0] for h in heads])[run]
+        set_key = np.concatenate([np.frombuffer(r["keys"], "<u8") for r in rows])[run]
+        grams = grams[shared]
         # copies of a set: the first keeps its place in slice order
-        shared = shared[np.lexsort((shared, set_key[shared], grams[shared]))]
-        g, k = grams[shared], set_key[shared]
-        shared = shared[np.concatenate([[True], (g[1:] != g[:-1]) | (k[1:] != k[:-1])])] if len(shared) else shared
-        _, run, sizes = np.unique(grams[shared], return_inverse=True, return_counts=True)
+        order = np.lexsort((shared, set_key, grams))
+        g, k = grams[order], set_key[order]
+        order = order[np.concatenate([[True], (g[1:] != g[:-1]) | (k[1:] != k[:-1])])] if len(order) else order
+        _, run, sizes = np.unique(grams[order], return_inverse=True, return_counts=True)
         sets = sizes[run]
-        shared, sets = shared[sets > 1], sets[sets > 1]
-        order = np.argsort(place[shared], kind="stable")
-        shared, sets = shared[order], sets[order]
-        ids = mix(grams[shared] + np.uint64(bucket * _STRIDE % (1 << 64)))
-        cuts = np.searchsorted(place[shared], np.arange(len(rows) + 1))
+        order, sets = order[sets > 1], sets[sets > 1]
+        by_place = np.argsort(place[order], kind="stable")
+        order, sets = order[by_place], sets[by_place]
+        ids = mix(grams[order] + np.uint64(bucket * _STRIDE % (1 << 64)))
+        cuts = np.searchsorted(place[order], np.arange(len(rows) + 1))
         for i, (a, b) in enumerate(zip(cuts, cuts[1:])):
             if b > a:
-                out.append((rows[i]["slice"], doc[shared[a:b]].astype("<u4").tobytes(), ids[a:b].astype("<u8").tobytes(), sets[a:b].astype("<u4").tobytes(), None))
+                out.append((rows[i]["slice"], doc[order[a:b]].astype("<u4").tobytes(), ids[a:b].astype("<u8").tobytes(), sets[a:b].astype("<u4").tobytes(), None))
     columns = list(zip(*out)) or [()] * 5
     return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.int64()] + [pa.binary()] * 4)], names=["slice", "first", "second", "third", "nulls"])
 
