@@ -101,12 +101,13 @@ def _running_best(rows: DataFrame, by: Sequence[str]) -> DataFrame:
     return joined.withColumn("_before", F.when(carry_wins, F.col("_carry")).otherwise(F.col("_local")))
 
 
-def dedup_items_exact(items: DataFrame, by: Sequence[str] = (), max_rounds: int = 1000) -> DataFrame:
+def dedup_items_exact(items: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Keep the best row per story, replaying arrival order exactly.
 
     A long title joins the group of its first row *that wins*. Only titles whose rows carry several keys can differ
     from the set-based form. Their index entry depends on earlier rows alone, so repeating "assign, find winners,
-    re-index" reaches the one fixed point; each round is a few distributed jobs and cuts lineage by checkpoint.
+    re-index" reaches the one fixed point: a round settles at least the earliest open title, mostly all of them. Each
+    round is a few distributed jobs and cuts lineage by checkpoint.
     """
     by = list(by)
     columns = items.columns
@@ -125,7 +126,8 @@ def dedup_items_exact(items: DataFrame, by: Sequence[str] = (), max_rounds: int
     open_rows, fixed = durable(open_rows), durable(fixed)
 
     index = durable(open_rows.groupBy(*by, "title_index").agg(F.min("seq").alias("i_seq"), F.min_by("key0", "seq").alias("i_key")))
-    for _ in range(max_rounds):
+    settled = False
+    while not settled:
         placed = open_rows.join(index, [*by, "title_index"], "left").withColumn(
             "key", F.when(F.col("seq") > F.col("i_seq"), F.col("i_key")).otherwise(F.col("key0"))
         )
@@ -142,10 +144,6 @@ def dedup_items_exact(items: DataFrame, by: Sequence[str] = (), max_rounds: int
         )
         settled = nxt.exceptAll(index).isEmpty() and index.exceptAll(nxt).isEmpty()
         index = nxt
-        if settled:
-            break
-    else:
-        raise RuntimeError("title index did not settle")
 
     final = keyed.join(index, [*by, "title_index"], "left").withColumns(
         {

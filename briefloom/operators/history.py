@@ -23,10 +23,11 @@ def _newest(history: DataFrame, cap: int) -> DataFrame:
     return top_k(history, cap, order, ["category"], "_n", spread=["fingerprint"]).drop("_n")
 
 
-def active_history(history: DataFrame, now: Column, ttl_hours: float = TTL_HOURS, cap: int = CAP) -> DataFrame:
-    """Entries not older than the time to live (equal age is active), the newest `cap` per category."""
+def active_history(history: DataFrame, now: Column, ttl_hours: float = TTL_HOURS, cap: int | None = CAP) -> DataFrame:
+    """Entries not older than the time to live (equal age is active), the newest `cap` per category; None: all of them, unsorted."""
     age = F.unix_micros(now) - F.unix_micros("seen_at")
-    return _newest(history.filter(age <= F.lit(int(ttl_hours * 3_600_000_000))), cap)
+    active = history.filter(age <= F.lit(int(ttl_hours * 3_600_000_000)))
+    return active if cap is None else _newest(active, cap)
 
 
 def filter_new(

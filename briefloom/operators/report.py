@@ -202,29 +202,37 @@ def _stripped_sql(x: str) -> str:
     return rf"regexp_replace(coalesce({x}, ''), r'(?U)^[\s\x1C-\x1F]+|[\s\x1C-\x1F]+$', '')"
 
 
-def _safe_text_sql(v: str, default: str, depth: int) -> str:
+def _leaf_text_sql(v: str, default: str) -> str:
     kind, as_text = f"schema_of_variant({v})", _stripped_sql(f"try_variant_get({v}, '$', 'string')")
 
     def inner(key: str) -> str:
         kind_of = f"schema_of_variant(try_variant_get({v}, '$.{key}', 'variant'))"
         return f"if({kind_of} = 'STRING', nullif({_stripped_sql(f"try_variant_get({v}, '$.{key}', 'string')")}, ''), NULL)"
 
-    if depth:
-        x = f"x{depth}"
-        parts = f"transform(try_variant_get({v}, '$', 'array<variant>'), {x} -> {_safe_text_sql(x, '', depth - 1)})"
-        joined = _stripped_sql(f"array_join(filter({parts}, p -> p <> ''), ' ')")
-    else:
-        joined = f"to_json({v})"
     return f"""CASE WHEN {v} IS NULL OR is_variant_null({v}) THEN {sql_string(default)}
         WHEN {kind} = 'BOOLEAN' THEN initcap({as_text})
         WHEN startswith({kind}, 'OBJECT') THEN coalesce({inner('text')}, {inner('content')}, {inner('value')}, to_json({v}))
-        WHEN startswith({kind}, 'ARRAY') THEN {joined}
         ELSE {as_text} END"""
 
 
-def safe_text(v: Column, default: str = "", depth: int = 6) -> Column:
-    """Readable text of any JSON value: text inside objects, joined lists, JSON text as last resort."""
-    return let_sql(v, f"v -> {_safe_text_sql('v', default, depth)}")
+def _list_text_sql(v: str) -> str:
+    """Lists in lists read like one list, as joins of joins are one join: they are unpacked level by level, as deep as they go."""
+    brackets = rf"""regexp_replace(regexp_replace(to_json({v}), r'"(?:[^"\\]|\\.)*"', ''), r'[^\[\]]', '')"""
+    depth = (
+        f"aggregate(split({brackets}, ''), named_struct('now', 0, 'most', 0), (a, c) -> named_struct('now', a.now + if(c = '[', 1, if(c = ']', -1, 0)), "
+        "'most', greatest(a.most, a.now + if(c = '[', 1, 0))), a -> a.most)"
+    )
+    is_list = "startswith(schema_of_variant(y), 'ARRAY')"
+    flat = (
+        f"aggregate(sequence(1, {depth}), array({v}), (acc, i) -> flatten(transform(acc, y -> "
+        f"if(y IS NOT NULL AND {is_list}, try_variant_get(y, '$', 'array<variant>'), array(y)))))"
+    )
+    return _stripped_sql(f"array_join(filter(transform({flat}, z -> {_leaf_text_sql('z', '')}), p -> p <> ''), ' ')")
+
+
+def safe_text(v: Column, default: str = "") -> Column:
+    """Readable text of any JSON value: text inside objects, joined lists of any depth, JSON text as last resort."""
+    return let_sql(v, f"v -> CASE WHEN startswith(schema_of_variant(v), 'ARRAY') THEN {_list_text_sql('v')} ELSE {_leaf_text_sql('v', default)} END")
 
 
 def _json_body(response: Column) -> Column:

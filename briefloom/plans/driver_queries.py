@@ -629,7 +629,7 @@ def history_active(s, sf):
 @register("history_fresh", f"WITH {_FRESH} SELECT category, fingerprint, rank, fresh_position FROM fr WHERE fresh_position <= 25")
 def history_fresh(s, sf):
     now = _clock(s, sf)
-    active = hist.active_history(_history(s, sf, now), now, cap=1 << 30)
+    active = hist.active_history(_history(s, sf, now), now, cap=None)
     return hist.filter_new(_event_items(s, sf), active, 25)[0].select("category", "fingerprint", "rank", "fresh_position")
 
 
@@ -639,7 +639,7 @@ SELECT i.category, coalesce(max(k.fresh), 0) AS fresh, count(*) - coalesce(max(k
 WHERE i.rank <= coalesce(k.last, 9e18) GROUP BY 1""")
 def history_skipped(s, sf):
     now = _clock(s, sf)
-    active = hist.active_history(_history(s, sf, now), now, cap=1 << 30)
+    active = hist.active_history(_history(s, sf, now), now, cap=None)
     return hist.filter_new(_event_items(s, sf), active, 25)[1]
 
 
@@ -648,7 +648,7 @@ SELECT category, rank FROM f UNION ALL SELECT category, rank FROM (SELECT *, row
   WHERE NOT EXISTS (SELECT 1 FROM f WHERE f.category = i.category)) WHERE n <= 25""")
 def history_fallback(s, sf):
     now = _clock(s, sf)
-    active = hist.active_history(_history(s, sf, now), now, cap=1 << 30)
+    active = hist.active_history(_history(s, sf, now), now, cap=None)
     recent = _event_items(s, sf)
     fresh = hist.filter_new(recent, active, 25)[0].filter("category <> 'view'")
     return hist.all_seen_fallback(fresh, recent, 25).select("category", "rank")
@@ -665,7 +665,7 @@ def history_remember(s, sf):
 
 register("anti_history", f"WITH {_FRESH} SELECT category, rank FROM z WHERE NOT known")(
     lambda s, sf: hist.anti_history(
-        _event_items(s, sf), hist.active_history(_history(s, sf, _clock(s, sf)), _clock(s, sf), cap=1 << 30)
+        _event_items(s, sf), hist.active_history(_history(s, sf, _clock(s, sf)), _clock(s, sf), cap=None)
     ).select("category", "rank")
 )
 
@@ -1281,8 +1281,10 @@ def _all_runs(s, sf):
     raw = raw_items(s, sf).withColumns(
         {"run_id": c("category"), "category": F.when(c("source_type") == "news", "stock_news").otherwise("ai_news")}
     )
-    bars = qt.quotes_from_bars(_bars(s, sf)).withColumn("run_id", F.lit("en")).withColumn("market", F.lit("us"))
-    bars = rk.top_k(bars, 5, [c("symbol")], ["run_id"], "seq")
+    # every symbol, dealt over the runs; a run's quotes are those of one market watch list
+    deal = F.get(F.array(*[F.lit(x) for x in ("en", "de", "fr", "es")]), F.pmod(F.xxhash64("symbol"), F.lit(4)).cast("int"))
+    bars = qt.quotes_from_bars(_bars(s, sf)).withColumn("run_id", deal).withColumn("market", F.lit("us"))
+    bars = bars.withColumn("seq", F.xxhash64("symbol"))
     config = Config(stock_lexicon=L, ai_lexicon=L, stock_days=20, ai_days=20)
     return build_reports(raw, bars, _clock(s, sf), config)
 

@@ -37,15 +37,15 @@ class _FirstSight(StatefulProcessor):
         state = self.seen.get() if self.seen.exists() else None
         last = state[0] if state else None
         # of a batch only the distinct moments are held, eight bytes each; the source bounds a batch (maxBytesPerTrigger)
-        moments = np.empty(0, dtype="int64")
-        for chunk in rows:
-            column = chunk[self.ts]
-            moments = np.union1d(moments, column.astype("int64").to_numpy() // self._unit(column))
+        parts = [np.unique(chunk[self.ts].astype("int64").to_numpy() // self._unit(chunk[self.ts])) for chunk in rows]
+        moments = np.unique(np.concatenate(parts)) if parts else np.empty(0, dtype="int64")
         passed = []
-        for us in moments.tolist():
-            if last is None or us - last > self.ttl_us:
-                last = us
-                passed.append(us)
+        # from one moment that passes straight to the first one beyond its time to live
+        at = 0 if last is None else int(np.searchsorted(moments, last + self.ttl_us, "right"))
+        while at < len(moments):
+            last = int(moments[at])
+            passed.append(last)
+            at = int(np.searchsorted(moments, last + self.ttl_us, "right"))
         if passed:
             self.seen.update((last,))
             for timer in list(self.handle.listTimers()):
