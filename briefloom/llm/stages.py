@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from briefloom.llm import bpe, decontam, jaccard, langid, toxicity
 from briefloom.llm.common import stored, table
@@ -13,21 +15,24 @@ RANK_FILE = "byte_bpe_50k.tiktoken"
 BROADCAST_IDS = 2_000_000
 
 
-def _columns(names: list[str]) -> list:
-    return [F.col(f"`{n}`") for n in names]
+def _kept(docs: DataFrame, judge: Callable[[DataFrame], DataFrame], condition: Column) -> DataFrame:
+    """Rows of docs for which the condition holds on what `judge` adds; columns of docs keep their names and values, also where an
+    operator adds one of the same name: all but those which are judged travel under other names."""
+    own = [n if n in ("doc_id", "text", "lang") else f"_column_{i}" for i, n in enumerate(docs.columns)]
+    rows = judge(docs.toDF(*own)).filter(condition)
+    return rows.select(*(F.col(x).alias(n) for x, n in zip(own, docs.columns)))
 
 
 def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Learn from all labelled rows of docs, reject those at or over the threshold of their language. Null texts stay."""
+    """Learn from all labelled rows of docs, reject those at or over the threshold of their language."""
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model).filter("not toxic_flag").select(*_columns(docs.columns))
+    return _kept(docs, lambda rows: toxicity.score(rows, model), ~F.col("toxic_flag"))
 
 
 def language_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Reject rows in which no language is found: no letters, or no language with half of the posterior."""
     model = langid.train(docs)
-    found = langid.predict(docs, model)
-    return found.filter(~langid.rejects(F.col("score"), F.col("lang_pred"))).select(*_columns(docs.columns))
+    return _kept(docs, lambda rows: langid.predict(rows, model), ~langid.rejects(F.col("score"), F.col("lang_pred")))
 
 
 def one_of_each_class(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,13 +40,13 @@ def one_of_each_class(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     classes = jaccard.classes(docs)
     dropped = stored(classes.filter("component_id <> doc_id").select("doc_id").distinct())
     few = dropped.count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(dropped) if few else dropped, "doc_id", "left_anti").select(*_columns(docs.columns))
+    return docs.join(F.broadcast(dropped) if few else dropped, "doc_id", "left_anti").select(*(F.col(f"`{n}`") for n in docs.columns))
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Contaminated rows go; rows below the limit stay as they are."""
-    found = decontam.contamination(docs, table(spark, sf_dir, "benchmark"))
-    return found.filter("not contaminated").select(*_columns(docs.columns))
+    benchmark = table(spark, sf_dir, "benchmark")
+    return _kept(docs, lambda rows: decontam.contamination(rows, benchmark), ~F.col("contaminated"))
 
 
 def tokenised(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

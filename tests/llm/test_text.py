@@ -323,11 +323,12 @@ def test_pipeline_stages(spark):
 
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     odd = spark.createDataFrame([(10_000 + i, t, "en", None, 0) for i, t in enumerate(ODD)], docs.schema)
-    now = docs.unionByName(odd)
-    columns = now.columns
+    # extra columns whose names the operators use themselves
+    now = docs.unionByName(odd).withColumns({n: F.col("doc_id").cast("string") for n in ("score", "n_hit", "lang_pred", "component_id", "toxic_flag", "ids")})
+    columns, schema = now.columns, now.schema
     sizes = [now.count()]
     for name, stage in corpus_pipeline.STAGES[:-1]:
-        before, now = now, spark.createDataFrame(stage(spark, now, SF).toPandas(), docs.schema)
+        before, now = now, spark.createDataFrame(stage(spark, now, SF).toArrow(), schema)
         assert now.columns == columns and now.exceptAll(before).count() == 0, name
         sizes.append(now.count())
     assert sizes == sorted(sizes, reverse=True) and sizes[-1] > 0.6 * sizes[0]
@@ -337,3 +338,6 @@ def test_pipeline_stages(spark):
     assert not any(x[4] for x in plain_contamination([(r.doc_id, r.text) for r in now.collect()], items))
     kept = [(r.doc_id, r.text) for r in now.collect()]
     assert all(c == k for k, n, c in plain_classes(kept) if n)
+    assert now.filter("score <> string(doc_id) or ids <> string(doc_id)").count() == 0
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), SF).count() == 0, name
