@@ -14,6 +14,7 @@ import json
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -154,28 +155,39 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, share: float
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split = regex.compile(pattern)
         table, often = shared.value
-        rare: dict[str, tuple[int, ...]] = {}
 
-        def look(word: str) -> tuple[int, ...]:
-            ids = often.get(word) or rare.get(word)
-            if ids is None:
-                if len(rare) >= _KEPT:
-                    rare.clear()
-                ids = rare[word] = fold_bytes(word.encode("utf-8", "surrogateescape"), table)
-            return ids
+        class Known(dict):
+            """Ids by word; what is neither frequent nor remembered is folded."""
 
+            def __missing__(self, word: str) -> tuple[int, ...]:
+                if len(self) >= limit:
+                    self.clear()
+                    self.update(often)
+                ids = self[word] = fold_bytes(word.encode("utf-8", "surrogateescape"), table)
+                return ids
+
+        known, limit = Known(often), len(often) + _KEPT
         for part, texts in slices(batches):
-            ends, flat = [0], []
+            ends, arrays = [0], []
             for text in texts:
-                for word in split.findall(text.decode("utf-8", "surrogateescape")):
-                    flat += look(word)
-                ends.append(len(flat))
-            ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.array(flat, np.int32)))
+                ids = [known[w] for w in split.findall(text.decode("utf-8", "surrogateescape"))]
+                arrays.append(np.fromiter(chain.from_iterable(ids), np.int32))
+                ends.append(ends[-1] + len(arrays[-1]))
+            ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(arrays)))
             yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), ids], names=[*names, "ids"])
 
     return docs.mapInArrow(run, schema)
 
 
+def _stretches(starts: np.ndarray, limit: int = 1 << 18) -> Iterator[tuple[int, int]]:
+    """Rows [low, high) with about `limit` ids, one row at least."""
+    low = 0
+    while low < len(starts) - 1:
+        high = max(low + 1, int(np.searchsorted(starts, starts[low] + limit, "right")) - 1)
+        yield low, high
+        low = high
+
+
 def decode(tokens: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
     """All columns and `decoded`, the bytes of `ids`. A null array decodes to no bytes; an id without a piece is an error."""
     tokens = tokens.drop("decoded")
@@ -184,9 +196,27 @@ def decode(tokens: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
     schema = T.StructType([*tokens.schema.fields, T.StructField("decoded", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = {rank: piece for piece, rank in shared.value.items()}
+        size = max(shared.value.values()) + 1
+        pieces = [b""] * size
+        for piece, rank in shared.value.items():
+            pieces[rank] = piece
+        lengths = np.array([len(p) for p in pieces], np.int64)
+        begins, letters = np.cumsum(lengths) - lengths, np.frombuffer(b"".join(pieces), np.uint8)
         for batch in batches:
-            out = [b"".join([pieces[i] for i in ids]) if ids is not None else b"" for ids in (x.as_py() if x.is_valid else None for x in batch.column("ids"))]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(out, pa.binary())], names=[*names, "decoded"])
+            column = batch.column("ids")
+            starts = column.offsets.to_numpy().astype(np.int64)
+            flat = column.values.to_numpy()[starts[0]:starts[-1]]
+            starts -= starts[0]
+            for low, high in _stretches(starts):
+                ids = flat[starts[low]:starts[high]]
+                n = lengths[ids]
+                if not n.all():
+                    raise ValueError("an id has no piece")
+                ends = np.concatenate([[0], np.cumsum(n)])
+                out = letters[np.repeat(begins[ids] - ends[:-1], n) + np.arange(ends[-1])]
+                bounds = ends[starts[low:high + 1] - starts[low]].astype(np.int32)
+                decoded = pa.Array.from_buffers(pa.binary(), high - low, [None, pa.py_buffer(bounds), pa.py_buffer(out)])
+                part = batch.slice(low, high - low)
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), decoded], names=[*names, "decoded"])
 
     return tokens.mapInArrow(run, schema)
