@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from briefloom import schemas
@@ -74,18 +73,20 @@ class HistoryTable:
         return sorted(found)
 
     def read(self, version: int | None = None, on_error: str = "raise") -> DataFrame:
-        """Newest version, or the newest one below `version`. A missing table is empty; an unreadable one raises
-        unless `on_error="empty"`."""
+        """Newest version, or the newest one below `version`, repaired (`repair_history`). A missing table is empty.
+
+        The footers of all files of a version are read first. If that fails it raises, or with `on_error="empty"` the version
+        before is taken, and without any the table is empty.
+        """
         known = [v for v in self.versions() if version is None or v < version]
-        empty = self.spark.createDataFrame([], schemas.HISTORY)
-        if not known:
-            return empty
-        try:
-            return self.spark.read.schema(schemas.HISTORY).parquet(f"{self.path}/version={known[-1]}")
-        except AnalysisException:
-            if on_error == "empty":
-                return empty
-            raise
+        for v in reversed(known):
+            try:
+                found = self.spark.read.option("mergeSchema", "true").parquet(f"{self.path}/version={v}")
+                return repair_history(found, F.current_timestamp())
+            except Exception:
+                if on_error != "empty":
+                    raise
+        return self.spark.createDataFrame([], schemas.HISTORY)
 
     def write(self, history: DataFrame, version: int | None = None) -> int:
         known = self.versions()

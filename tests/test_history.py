@@ -1,5 +1,6 @@
 from datetime import datetime, timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
 from briefloom import schemas
@@ -49,3 +50,19 @@ def test_table_versions_and_repair(spark, tmp_path):
     assert table.versions() == [0, 1] and table.read().count() == 2 and table.read(version=1).count() == 1
     rough = spark.createDataFrame([("c", "a", "2026-04-12T00:00:00"), ("c", "b", "junk"), ("c", "", "x"), (None, "q", None)], "category string, fingerprint string, seen_at string")
     assert {(r.fingerprint, r.seen_at) for r in repair_history(rough, now()).collect()} == {("a", datetime(2026, 4, 12)), ("b", NOW)}
+
+
+def test_a_broken_version_falls_back_to_the_one_before(spark, tmp_path):
+    table = HistoryTable(spark, str(tmp_path / "history"))
+    rows = spark.sql("SELECT 'ai_news' AS category, 'f1' AS fingerprint, timestamp'2025-11-20 09:00:00' AS seen_at, 1L AS pos UNION ALL SELECT NULL, 'f2', NULL, 2L")
+    assert table.read().count() == 0
+    table.write(rows)
+    table.write(rows)
+    assert table.read().count() == 1  # the row without a category is repaired away
+    for part in (tmp_path / "history" / "version=1").glob("part-*"):
+        part.write_bytes(b"no parquet")
+    for crc in (tmp_path / "history" / "version=1").glob(".part-*.crc"):
+        crc.unlink()
+    with pytest.raises(Exception):
+        table.read().count()
+    assert [r.fingerprint for r in table.read(on_error="empty").collect()] == ["f1"]
