@@ -16,7 +16,7 @@ from briefloom.plans.driver_views import (
 )
 from briefloom.session import checkpoint_root
 from briefloom.sources import html, pages, payloads, quotes as qt
-from briefloom.sources.tables import HistoryTable
+from briefloom.sources.tables import HistoryTable, write_run
 from briefloom.streaming import dedup as sd, runs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -619,6 +619,27 @@ def _event_items(s, sf):
     return events(s, sf).select(c("event_type").alias("category"), c("user_id").cast("string").alias("fingerprint"), c("event_id").alias("rank"))
 
 
+@register("history_table", """SELECT event_type AS category, CAST(user_id AS VARCHAR) AS fingerprint, max(event_id) AS pos FROM events
+WHERE ts <= (SELECT max(ts) FROM events) - INTERVAL 12 HOURS GROUP BY 1, 2""")
+def history_table(s, sf):
+    """Two versions are written to the shared folder, the first with rows to repair; the newest is read."""
+    store = HistoryTable(s, f"{checkpoint_root(s)}/history-{uuid.uuid4().hex}")
+    rows = _history(s, sf, _clock(s, sf))
+    store.write(rows.withColumn("category", F.lit(None).cast("string")))
+    store.write(rows)
+    return store.read().select("category", "fingerprint", "pos")
+
+
+@register("run_output", f"""WITH {ITEMS_SQL} SELECT category, count(*) AS n, count(DISTINCT title) AS titles FROM items GROUP BY 1""")
+def run_output(s, sf):
+    """Items written as the output of a run, a repeated run replacing its own date, and read back."""
+    path = f"{checkpoint_root(s)}/run-{uuid.uuid4().hex}"
+    for day in ("2025-11-20", "2025-11-21", "2025-11-20"):
+        write_run({"item": items(s, sf).select("category", "seq", "title")}, path, day)
+    found = s.read.parquet(f"{path}/item").filter("run_date = '2025-11-20'")
+    return found.groupBy("category").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("title").alias("titles"))
+
+
 @register("history_active", f"""WITH {_EV} SELECT category, fingerprint, pos FROM (SELECT *, row_number() OVER (PARTITION BY category
   ORDER BY seen_at DESC, pos DESC, fingerprint) AS n FROM a) WHERE n <= 2000""")
 def history_active(s, sf):
