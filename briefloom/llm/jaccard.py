@@ -246,7 +246,8 @@ def classes(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH, block:
     """docs(doc_id, text) to doc_id, n_shingles, component_id: a row per row, component_id the smallest doc_id reachable by links.
 
     Null, empty and blank texts have no n-grams and link with nothing, not even each other. Rows with equal sets are linked. A null
-    doc_id stays null and is never a component's id unless all are null.
+    doc_id stays null and is never a component's id unless all are null. A lost task is run again over the same rows in the same
+    order: docs should be read from a table, or be stored before.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0

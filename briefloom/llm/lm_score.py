@@ -264,7 +264,8 @@ def traverse(model: Automaton, numbers: list[int]) -> float:
 def score(docs: DataFrame, train_on: Column, settings: Settings = Settings()) -> DataFrame:
     """docs(doc_id, text) to doc_id, n_tokens, n_known, train_tokens, base_score, score; a row per row. train_on: which rows are learned from.
 
-    Null and empty texts are one end. Where nothing is learned from, N and V are 0 and every token has the same probability.
+    Null and empty texts are one end. Where nothing is learned from, N and V are 0 and every token has the same probability. A lost
+    task is run again over the same rows in the same order: docs should be read from a table, or be stored before.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", train_on.alias("_train"))
     total_bytes = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
