@@ -1182,8 +1182,7 @@ def repo_search(s, sf):
     rows = table(s, sf, "documents").select(
         c("doc_id").alias("payload_order"), c("lang").alias("run"), F.to_json(F.struct(F.array(found).alias("items"))).alias("payload")
     )
-    langs = rows.select("run").distinct()
-    stars = events(s, sf).select(_text("r", c("user_id")).alias("repo"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("starred_at")).crossJoin(langs)
+    stars = events(s, sf).select(_text("r", c("user_id")).alias("repo"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("starred_at"))
     since = F.date_trunc("second", _clock(s, sf)) - F.expr("INTERVAL 7 DAYS")
     return payloads.repo_search(rows, stars, since, ["run"]).select("run", "title", "seq")
 

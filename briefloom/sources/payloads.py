@@ -125,8 +125,10 @@ def repo_search(raw: DataFrame, stars: DataFrame, since: Column, by: Sequence[st
     )
     best = longest_per_url(found, ("seq",), by)
     arrival = found.groupBy(*by, "url").agg(F.min("seq").alias("arrival"))
-    grown = star_delta(stars, since, [*by, "repo"])
-    rows = best.join(arrival, [*by, "url"]).join(grown, [*by, "repo"], "left")
+    # stars may be those of one run or common to all
+    keys = [k for k in (*by, "repo") if k in stars.columns]
+    grown = star_delta(stars, since, keys)
+    rows = best.join(arrival, [*by, "url"]).join(grown, keys, "left")
     total = F.concat(F.col("n_stars").cast("string"), F.lit(" stars)"))
     title = F.concat(
         F.lit("[GitHub] "), "repo", F.lit(" ("),
