@@ -1228,7 +1228,7 @@ def subreddit_search(s, sf):
 @register("paper_entries", f"""SELECT (event_id << 20) + i - 1 AS seq, '[arXiv] ' || CASE WHEN i = 2 THEN '' ELSE kind || ' story ' || i END AS title,
   'Authors: A' || i || ', B | Published: ' || strftime(ts, '%Y-%m-%d') || ' | Abstract: sum ' || kind || ' line...' AS "desc" FROM ({_FEED_ROWS}) WHERE i <> 2""")
 def paper_entries(s, sf):
-    return payloads.arxiv_atom(_feed(s, sf, atom=True)).filter("title <> '[arXiv] '").select("seq", "title", "desc")
+    return payloads.arxiv_atom(_feed(s, sf, atom=True)).select("seq", "title", "desc")
 
 
 @register("official_feed", f"""WITH f AS (SELECT *, (event_id << 20) + i - 1 AS seq FROM ({_FEED_ROWS}) WHERE i <> 2 AND kind IN ('click', 'view'))

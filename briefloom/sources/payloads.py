@@ -7,6 +7,7 @@ the place of the entry inside the response, so arrival order survives any partit
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
@@ -270,7 +271,7 @@ def arxiv_atom(raw: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     rows = (
         raw.select(*keep, F.posexplode(F.from_xml("payload", _ATOM)["entry"]).alias("_pos", "e"))
         .withColumn("seq", sequence(F.col("payload_order"), F.col("_pos")))
-        .filter(e["title"].isNotNull() & e["summary"].isNotNull() & e["id"].isNotNull() & e["published"].isNotNull())
+        .filter(reduce(lambda a, b: a & b, (text_or_empty(e[x]) != "" for x in ("title", "summary", "id", "published"))))
     )
     authors = F.array_join(F.filter(F.slice(e["author"], 1, 3)["name"], lambda n: n.isNotNull()), ", ")
 
