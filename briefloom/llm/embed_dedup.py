@@ -23,6 +23,10 @@ from briefloom.llm.common import mix, stored
 from briefloom.llm.components import connected, local_roots
 
 
+# hot buckets are broadcast up to so many; beyond, the join is shuffled
+BROADCAST_BUCKETS = 1_000_000
+
+
 @dataclass(frozen=True)
 class Settings:
     threshold: float = 0.93
@@ -43,8 +47,13 @@ def unit(rows: list) -> tuple[np.ndarray, list[int]]:
     x = np.array([rows[i] for i in at], np.float64) if at else np.zeros((0, 1))
     top = np.abs(x).max(1, initial=0)
     fine = np.isfinite(top) & (top > 0)
-    x = x[fine] / top[fine, None]  # squares of huge or tiny components stay in range
-    return x / np.linalg.norm(x, axis=1, keepdims=True), [i for i, ok in zip(at, fine) if ok]
+    return _unit_rows(x[fine]) if fine.any() else x[fine], [i for i, ok in zip(at, fine) if ok]
+
+
+def _unit_rows(x: np.ndarray) -> np.ndarray:
+    x = x.astype(np.float64)
+    x /= np.abs(x).max(1, keepdims=True)  # squares of huge or tiny components stay in range
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
 def signatures(x: np.ndarray, settings: Settings) -> np.ndarray:
@@ -70,7 +79,7 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("label"), batch.column("embedding"), pa.array(keys, pa.binary())], names=["vec_id", "label", "embedding", "key"])
 
 
-def _hashed(settings: Settings, with_vectors: bool):
+def _hashed(settings: Settings, with_vectors: bool, kind: str):
     """Rows of every table: its bucket, and what comparing needs. A key which the task has seen is not hashed again."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -95,13 +104,13 @@ def _hashed(settings: Settings, with_vectors: bool):
                 for t in range(settings.tables):
                     yield pa.RecordBatch.from_arrays([
                         pa.array(buckets[:, t]), pa.array([t] * len(own), pa.int32()), pa.array([keys[i] for i in own], pa.binary()), pa.array([copies[i] for i in own], pa.int64()),
-                        pa.array([r.tobytes() for r in sigs], pa.binary()), pa.array([r.tobytes() for r in x], pa.binary()),
+                        pa.array([r.tobytes() for r in sigs], pa.binary()), pa.array([np.array(vectors[i], kind).tobytes() for i in own], pa.binary()),
                     ], names=["bucket", "t", "key", "copies", "sigs", "vector"])
 
     return run
 
 
-def _compare(settings: Settings):
+def _compare(settings: Settings, kind: str):
     """All buckets (or pairs of blocks of one) of a part; links are sums per key, edges a star per group."""
 
     def run(table: pa.Table) -> pa.Table:
@@ -118,7 +127,7 @@ def _compare(settings: Settings):
             own = own[np.concatenate([[True], keys[own][1:] != keys[own][:-1]])] if b - a > 1 else own  # copies from other tasks
             if len(own) < 2:
                 continue
-            x = np.stack([np.frombuffer(raw[int(k)].as_py(), np.float64) for k in own])
+            x = _unit_rows(np.stack([np.frombuffer(raw[int(k)].as_py(), kind) for k in own]))
             near = x @ x.T >= settings.threshold
             np.fill_diagonal(near, False)
             if i[own[0]] != j[own[0]]:
@@ -154,21 +163,24 @@ def near_duplicates(vectors: DataFrame, settings: Settings = Settings()) -> Data
     not zero. Rows that repeat a vec_id count as vectors of their own. component_id: the smallest vec_id reachable, itself included.
     """
     keyed = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "label", "embedding")
+    # vectors travel as they are given; they are normalised, in double precision, where they are compared
+    kind = "f4" if dict(keyed.dtypes)["embedding"] == "array<float>" else "f8"
     keyed = stored(keyed.mapInArrow(_keys, T.StructType([*keyed.schema.fields, T.StructField("key", T.BinaryType())])))
     valid = keyed.filter("key is not null")
     repeated = valid.groupBy("key").agg(F.count(F.lit(1)).alias("copies")).filter("copies > 1")
     counted = valid.join(repeated, "key", "left").withColumn("copies", F.coalesce("copies", F.lit(1)))
 
-    sizes = valid.mapInArrow(_hashed(settings, False), "bucket long, key binary").groupBy("bucket").agg(F.count(F.lit(1)).alias("m"))
-    hot = sizes.filter(F.col("m") > settings.block).select("bucket", F.ceil(F.col("m") / settings.block).cast("int").alias("blocks"))
-    rows = counted.mapInArrow(_hashed(settings, True), "bucket long, t int, key binary, copies long, sigs binary, vector binary").join(hot, "bucket", "left")
+    sizes = valid.mapInArrow(_hashed(settings, False, kind), "bucket long, key binary").groupBy("bucket").agg(F.count(F.lit(1)).alias("m"))
+    hot = stored(sizes.filter(F.col("m") > settings.block).select("bucket", F.ceil(F.col("m") / settings.block).cast("int").alias("blocks")))
+    hot = F.broadcast(hot) if hot.count() <= BROADCAST_BUCKETS else hot
+    rows = counted.mapInArrow(_hashed(settings, True, kind), "bucket long, t int, key binary, copies long, sigs binary, vector binary").join(hot, "bucket", "left")
     blocks = F.coalesce("blocks", F.lit(1))
     rows = rows.withColumn("block", F.pmod(F.xxhash64("key"), blocks).cast("int"))
     pairs = F.transform(F.sequence(F.lit(0), blocks - 1), lambda x: F.struct(F.least(x, F.col("block")).alias("i"), F.greatest(x, F.col("block")).alias("j")))
     parts = max(8, -(-keyed.count() * settings.tables // settings.rows_per_task))
     rows = rows.withColumn("p", F.explode(pairs)).select("bucket", "t", "p.i", "p.j", "block", "key", "copies", "sigs", "vector")
     part = F.pmod(F.xxhash64("bucket", "i", "j"), F.lit(parts))
-    found = stored(rows.groupBy(part.alias("part")).applyInArrow(_compare(settings), "a binary, b binary, links long"))
+    found = stored(rows.groupBy(part.alias("part")).applyInArrow(_compare(settings, kind), "a binary, b binary, links long"))
 
     links = found.filter("links is not null").groupBy(F.col("a").alias("key")).agg(F.sum("links").alias("links"))
     roots = connected(found.filter("b is not null").select("a", "b")).select(F.col("node").alias("key"), "root")

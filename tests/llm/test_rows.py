@@ -1,6 +1,5 @@
 """URL filter, chat formatting, sharding, components: small cases beside plain Python."""
 
-import hashlib
 import random
 import zlib
 
@@ -117,7 +116,3 @@ def test_components_equal_union_find(spark, kind):
     assert set(got) == set(parent)
     assert len({(got[x], find(x)) for x in got}) == len(set(got.values())) == len({find(x) for x in got})
     assert connected(spark.createDataFrame([], "a long, b long")).count() == 0
-
-
-def test_sha_of_query_columns(spark):
-    assert spark.range(1).select(F.sha2(F.lit("é"), 256).alias("h")).first().h == hashlib.sha256("é".encode()).hexdigest()
