@@ -26,7 +26,7 @@ from briefloom.llm.common import slices, stored
 SHARE = 1e-6
 _MAP_BUCKETS = 1 << 15
 _FOLDED_BYTES = 64  # longer words are folded in the tasks, with a heap
-_KEPT = 1 << 18  # words remembered by a task
+_KEPT = 1 << 17  # words remembered by a task
 _SHORT, _NONE = 40, 1 << 40
 
 
@@ -141,7 +141,9 @@ def frequent_words(docs: DataFrame, ranks: dict[bytes, int], pattern: str, share
     total = counts.agg(F.sum("n")).first()[0] or 0
     often = counts.filter((F.col("n") >= share * total) & (F.octet_length("word") <= _FOLDED_BYTES)).select("word")
     spread = often.repartition(docs.sparkSession.sparkContext.defaultParallelism, "word")
-    rows = spread.select("word", fold(F.col("word"), rank_literal(ranks)).alias("ids")).collect()
+    # bound once: a plan with a copy of the literal at each use is a burden to the driver
+    ids = _let(rank_literal(ranks), lambda r: fold(F.col("word"), r))
+    rows = spread.select("word", ids.alias("ids")).collect()
     return {bytes(r.word).decode("utf-8", "surrogateescape"): tuple(r.ids) for r in rows}
 
 

@@ -23,7 +23,12 @@ _BASE = 0x9E3779B97F4A7C15
 _folders: set[str] = set()
 
 
+# Rows of texts which Spark hands to a task at once. The default of 10,000 is made for rows of numbers.
+BATCH_ROWS = 1000
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     return spark.read.parquet(f"{sf.rstrip('/')}/{name}.parquet")
 
 
@@ -135,9 +140,3 @@ class WordHasher:
             out[at:to] = mix((sums[e] - sums[s]) * self.down[s] + (e - s).astype(np.uint64))
             at = to
         return out
-
-
-def text_hash(buffer_part: bytes) -> bytes:
-    import xxhash
-
-    return xxhash.xxh3_128_digest(buffer_part)
