@@ -1,6 +1,7 @@
 """Toxicity, language ID, BPE, decontamination, Jaccard join, embeddings and language-model scores beside brute force."""
 
 import collections
+import functools
 import math
 import random
 import zlib
@@ -308,6 +309,40 @@ def test_language_model_sums_to_one_and_base_is_exact(spark):
     assert sum(r.score for r in out) > sum(r.base_score for r in out)
 
 
+@pytest.mark.parametrize("shares", [(1e-6, 1e-5), (0.02, 0.05), (2.0, 2.0)])
+def test_language_model_uses_all_ngrams_whatever_the_shares(spark, shares):
+    rng = random.Random(11)
+    words = [f"w{i}" for i in range(60)]
+    docs = [(i, " ".join(rng.choices(words, [1 / (k + 1) for k in range(60)], k=rng.randint(0, 50)) + [f"rare{i // 2}"])) for i in range(200)]
+    docs += [(1000 + i, t) for i, t in enumerate(ODD)] + [docs[0], (None, "null id w1 w2")]
+    c = collections.Counter()
+    cut = lambda t: (*(t or "").encode().translate(LOWER).split(), None)
+    for i, t in docs:
+        if i is None or crc(i, 10) != 0:
+            w = cut(t)
+            c.update(w[k:k + n] for n in (1, 2, 3) for k in range(len(w) - n + 1))
+    n, v = sum(k for g, k in c.items() if len(g) == 1), sum(len(g) == 1 for g in c)
+    after = collections.defaultdict(list)
+    for g, k in c.items():
+        if len(g) > 1 and k >= 2:
+            after[g[:-1]].append(g[-1])
+
+    @functools.cache
+    def chance(h, w):
+        if not h:
+            return (c[(w,)] + 0.1) / (n + 0.1 * (v + 1))
+        if w in after[h]:
+            return (c[(*h, w)] - 0.5) / c[h]
+        rest = (1 - sum(chance(h, x) for x in after[h])) / (1 - sum(chance(h[1:], x) for x in after[h])) if after[h] else 1
+        return rest * chance(h[1:], w)
+
+    out = lm_score.score(spark.createDataFrame(docs, "doc_id long, text string").repartition(5), ~held_out(10, 0), lm_score.Settings(*shares)).collect()
+    want = [(-1 if i is None else i, sum(math.log10(chance(w[max(0, k - 2):k], w[k])) for k in range(len(w)))) for i, t in docs for w in [cut(t)]]
+    got = sorted((-1 if r.doc_id is None else r.doc_id, r.score) for r in out)
+    assert [g[0] for g in got] == [x[0] for x in sorted(want)] and np.allclose([g[1] for g in got], [x[1] for x in sorted(want)], rtol=1e-6)
+    assert all(chance(h, x) < 1 for h in [("x",), ("y",)] for x in after[h])
+
+
 def test_language_model_of_nothing(spark):
     df = odd_docs(spark).select("doc_id", "text")
     out = lm_score.score(df, F.lit(False)).collect()
