@@ -86,6 +86,14 @@ def entity_texts(s, sf):
     return spread(table(s, sf, "documents").select("doc_id", "text"), "doc_id").select("doc_id", text.unescape_entities(raw).alias("text"))
 
 
+# entity_texts keeps to its SQL, the first 40 characters; this one reads whole texts. The documents hold no references of their own
+@register("entity_texts_whole", """SELECT doc_id, text || ' ' || chr(65533) || ' ' || chr(65533) || ' &lt; &lt; ' || chr(233) || chr(8594) || chr(8204)
+    || ' ' || chr(169) || '2 ' || chr(8364) || chr(65533) || ' &nosuch; & ' || chr(128512) AS text FROM documents""")
+def entity_texts_whole(s, sf):
+    raw = F.concat("text", F.lit(_REFERENCES))
+    return spread(table(s, sf, "documents").select("doc_id", "text"), "doc_id").select("doc_id", text.unescape_entities(raw).alias("text"))
+
+
 @register("link_encoding", """SELECT page_id, replace(url, ' ', '%20') || '/%C3%A9%20x?q=%C3%BC' AS link FROM (
     SELECT page_id, regexp_extract(url, '^[^?#]*') AS url FROM pages)""")
 def link_encoding(s, sf):

@@ -1,3 +1,4 @@
+import html
 from datetime import datetime, timezone
 
 import pytest
@@ -5,6 +6,7 @@ from pyspark.sql import functions as F
 
 from briefloom.functions import brief, dates, keys, score, text, urls
 from briefloom.operators import render
+from briefloom.plans import driver_queries
 
 
 def apply(spark, fn, values):
@@ -133,3 +135,11 @@ def test_number_suffixes_are_no_numbers(spark):
 
     rows = spark.createDataFrame([("1d",), ("1.5f",), ("2",), ("x",), (None,)], "v string").select(tx.safe_float(F.col("v"), -1.0).alias("n")).collect()
     assert [r.n for r in rows] == [-1.0, -1.0, 2.0, -1.0, -1.0]
+
+
+def test_entity_query_reads_whole_texts(spark, tmp_path):
+    texts = ["", "x" * 50 + " &amp;lt; &eacute", "&#233; " * 3000, "no reference " * 9000 + "&rarr;", "&&& &a &#; &#x;" * 20, None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    out = driver_queries.QUERIES["entity_texts_whole"](spark, str(tmp_path)).collect()
+    want = [None if t is None else html.unescape(t + driver_queries._REFERENCES) for t in texts]
+    assert [r.text for r in sorted(out)] == want
