@@ -140,3 +140,17 @@ class WordHasher:
             out[at:to] = mix((sums[e] - sums[s]) * self.down[s] + (e - s).astype(np.uint64))
             at = to
         return out
+
+
+def table_bytes(rows: DataFrame, column: str) -> int:
+    """UTF-8 bytes of a column of texts."""
+    return int(rows.agg(F.sum(F.octet_length(column).cast("long"))).first()[0] or 0)
+
+
+def folder(spark: SparkSession) -> str:
+    """A new folder in the shared place, removed like those of `stored`."""
+    path = f"{checkpoint_root(spark)}/briefloom-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    if not _folders:
+        atexit.register(_remove_folders, spark)
+    _folders.add(path)
+    return path

@@ -7,8 +7,9 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from briefloom.llm import bpe, chat, decontam, embed_dedup, jaccard, langid, lm_score, shard, toxicity, url_filter
-from briefloom.llm.common import held_out, stored, table
+from briefloom.llm import bpe, chat, decontam, embed_dedup, jaccard, langid, lm_score, merkle, prefix_trie, shard, token_files, toxicity, url_filter
+from briefloom.llm.common import folder, held_out, stored, table
+from briefloom.llm.ordering import lookup
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -180,3 +181,114 @@ def op9(spark, sf):
 @register("op10_jaccard_join")
 def op10(spark, sf):
     return jaccard.classes(table(spark, sf, "documents").select("doc_id", "text"))
+
+
+# --- 11: Merkle manifest ------------------------------------------------------------------------------------------
+
+# crc32 of a text of ASCII characters, by its table
+_CRC_TABLE = """crc_table AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)),
+  lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t)"""
+_CRC = """xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split({0}::VARCHAR, ''), lambda ch: ascii(ch)::BIGINT)),
+  lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295)"""
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def _fields(text: str) -> str:
+    return " || ".join(f"coalesce(strlen({x}::VARCHAR) || ':' || {x}::VARCHAR, '-')" for x in ("doc_id", "source", "lang", "n_chars", text))
+
+
+@register("op11_merkle_manifest", f"""
+WITH RECURSIVE {_CRC_TABLE},
+f AS (SELECT row_number() OVER () AS r, doc_id, lang, sha256({_fields('text')}) AS leaf, sha256({_fields(f"translate(text, '{_UPPER}', '{_LOWER}')")}) AS low,
+  coalesce({_CRC.format('doc_id')} % 3 = 0, false) AS bad FROM documents, crc_table),
+p AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY lang) AS n FROM f),
+lv(g, h, pos, n, d) AS (SELECT lang, 0, pos, n, leaf FROM p
+  UNION ALL SELECT g, h + 1, pos // 8, (n + 7) // 8, sha256(string_agg(d, '' ORDER BY pos)) FROM lv WHERE n > 1 GROUP BY g, h, pos // 8, n),
+sub AS (SELECT g, d, row_number() OVER (ORDER BY g NULLS FIRST) - 1 AS j, count(*) OVER () AS m FROM lv WHERE n = 1),
+tp(h, pos, n, d) AS (SELECT 0, j, m, d FROM sub
+  UNION ALL SELECT h + 1, pos // 8, (n + 7) // 8, sha256(string_agg(d, '' ORDER BY pos)) FROM tp WHERE n > 1 GROUP BY h, pos // 8, n),
+q AS (SELECT p.*, sub.d AS subroot, j FROM p JOIN sub ON sub.g IS NOT DISTINCT FROM p.lang),
+beside AS (
+  SELECT r, h, coalesce(string_agg(d, '' ORDER BY o.pos) FILTER (o.pos < q.pos >> (3 * h)), '') AS b, coalesce(string_agg(d, '' ORDER BY o.pos) FILTER (o.pos > q.pos >> (3 * h)), '') AS a
+  FROM q JOIN lv o ON o.g IS NOT DISTINCT FROM q.lang AND o.n > 1 AND o.pos // 8 = q.pos >> (3 * h + 3) GROUP BY r, h, q.pos
+  UNION ALL
+  SELECT r, 100 + h, coalesce(string_agg(d, '' ORDER BY o.pos) FILTER (o.pos < j >> (3 * h)), ''), coalesce(string_agg(d, '' ORDER BY o.pos) FILTER (o.pos > j >> (3 * h)), '')
+  FROM q JOIN tp o ON o.n > 1 AND o.pos // 8 = j >> (3 * h + 3) GROUP BY r, h, j),
+way AS (SELECT r, list(b ORDER BY h) AS bs, list(a ORDER BY h) AS bfs, string_agg(b || a, '' ORDER BY h) AS proof FROM beside GROUP BY r),
+fold(r, i, d) AS (SELECT r, 1, CASE WHEN bad THEN low ELSE leaf END FROM q
+  UNION ALL SELECT fold.r, i + 1, sha256(bs[i] || d || bfs[i]) FROM fold JOIN way USING (r) WHERE i <= len(bs)),
+done AS (SELECT r, arg_max(d, i) AS folded FROM fold GROUP BY r)
+SELECT doc_id, leaf, subroot, (SELECT d FROM tp WHERE n = 1) AS root, sha256(coalesce(proof, '')) AS proof_sha256, folded AS folded_root,
+  folded = (SELECT d FROM tp WHERE n = 1) AS verified FROM q JOIN done USING (r) LEFT JOIN way USING (r)""")
+def op11(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "source", "lang", "n_chars", "text")
+
+    def leaf(text):
+        return F.unhex(merkle.leaf([F.col("doc_id"), F.col("source"), F.col("lang"), F.col("n_chars"), text]))
+
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0
+    forged = F.when(tampered, leaf(F.translate("text", _UPPER, _LOWER)))
+    leaves = docs.select(F.col("lang").alias("g"), F.col("doc_id").alias("key"), leaf(F.col("text")).alias("digest"), F.struct("doc_id", forged.alias("forged")).alias("tag"))
+    shown = [F.lower(F.hex(c)).alias(c) for c in ("subroot", "root")]
+    folded = merkle.fold(F.lower(F.hex(F.coalesce("tag.forged", "digest"))), F.col("proof"))
+    out = merkle.proofs(leaves).select(
+        "tag.doc_id", F.lower(F.hex("digest")).alias("leaf"), *shown, merkle.proof_digest(F.col("proof")).alias("proof_sha256"), folded.alias("folded_root")
+    )
+    return out.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+# --- 12: binary token files ---------------------------------------------------------------------------------------
+
+JSON_FILE, VOCABULARY = "byte_bpe_50k.json", 50_257
+
+
+@register("op12_token_files")
+def op12(spark, sf):
+    place = folder(spark)
+    token_files.write_tokens(table(spark, sf, "documents"), place, public_tokenizers.path(JSON_FILE), VOCABULARY)
+    return token_files.read_tokens(spark, place).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+# --- 13: conversation prefix trie ---------------------------------------------------------------------------------
+
+
+def _rebuilt(turns: DataFrame, conversations: DataFrame) -> DataFrame:
+    """Conversation c with the first turns of c - c % 5 in place of its own: as many as `head` says."""
+    def head(c):
+        return F.crc32(c.cast("string").cast("binary")) % 9
+
+    c = F.col("conv_id")
+    target = F.explode(F.sequence(c - 4, c + 4))
+    lent = turns.filter((F.col("place") <= 8) & (c % 5 == 0)).select(c.alias("from"), target.alias("conv_id"), "place", "content", "bytes")
+    lent = lent.filter((c - c % 5 == F.col("from")) & (F.col("place") <= head(c))).drop("from").join(conversations, "conv_id", "left_semi")
+    lent = stored(lent)
+    counts = lent.groupBy("conv_id").agg(F.count(F.lit(1)).alias("_lent"))
+    own = lookup(turns.filter(F.col("place") > head(c)), "conv_id", counts)
+    moved = F.col("place") - head(c) + F.coalesce("_lent", F.lit(0))
+    return lent.unionByName(own.select("conv_id", moved.alias("place"), "content", "bytes"))
+
+
+@register("op13_prefix_trie", f"""
+WITH {_CRC_TABLE},
+t AS (SELECT conv_id AS c, md5(coalesce(role, '') || chr(1) || coalesce(text, '')) AS x, strlen(coalesce(text, '')) AS b,
+  row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS p FROM conversations WHERE conv_id IS NOT NULL),
+cs AS (SELECT c, {_CRC.format('c')} % 9 AS h FROM (SELECT DISTINCT c FROM t), crc_table),
+r AS (SELECT cs.c, 0 AS k, p, x, b FROM cs JOIN t ON t.c = cs.c - cs.c % 5 AND p <= h UNION ALL SELECT cs.c, 1, p, x, b FROM cs JOIN t ON t.c = cs.c AND p > h),
+n AS (SELECT c, row_number() OVER (PARTITION BY c ORDER BY k, p) AS d, x, b FROM r),
+s AS (SELECT c, d, b, md5(string_agg(x, ',') OVER (PARTITION BY c ORDER BY d ROWS UNBOUNDED PRECEDING)) AS key FROM n UNION ALL SELECT c, 0, 0, '' FROM cs),
+nodes AS (SELECT key, d, min(c) AS c, count(*) AS n, max(b) AS b FROM s GROUP BY key, d),
+up AS (SELECT a.c, a.d, p.key AS pkey FROM nodes a JOIN s p ON p.c = a.c AND p.d = a.d - 1),
+e AS (SELECT key, d, c FROM s QUALIFY row_number() OVER (PARTITION BY c ORDER BY d DESC) = 1),
+ids AS (SELECT key, d, sha256(string_agg(c::VARCHAR, ',' ORDER BY c)) AS ends FROM e GROUP BY key, d),
+kids AS (SELECT pkey AS key, d - 1 AS d, count(*) AS n_children FROM up GROUP BY ALL),
+w AS (SELECT nodes.*, n_children, CASE WHEN n_children IS NULL THEN 1 ELSE 0 END AS leaf FROM nodes LEFT JOIN kids USING (key, d)),
+tot AS (SELECT s.key, s.d, sum(w.leaf) AS n_leaves, sum((w.n - 1) * w.b) AS saved FROM w JOIN s ON s.c = w.c AND s.d <= w.d GROUP BY s.key, s.d)
+SELECT w.c AS conv_id, w.d AS depth, pn.c AS parent_conv_id, w.n AS n_convs, coalesce(w.n_children, 0) AS n_children, CAST(n_leaves AS BIGINT) AS n_leaves,
+  CAST(saved AS BIGINT) AS saved_tokens, coalesce(ends, sha256('')) AS ends_sha256
+FROM w JOIN tot USING (key, d) LEFT JOIN ids USING (key, d) LEFT JOIN up ON up.c = w.c AND up.d = w.d LEFT JOIN nodes pn ON pn.key = up.pkey AND pn.d = w.d - 1""")
+def op13(spark, sf):
+    rows = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
+    turns = stored(prefix_trie.numbered_turns(rows))
+    ids = stored(turns.select("conv_id").distinct())
+    nodes = prefix_trie.trie(_rebuilt(turns, ids), ids)
+    return nodes.select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
