@@ -17,6 +17,7 @@ from __future__ import annotations
 import io
 import os
 import uuid
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,7 +33,7 @@ BLOCK = 1 << 14  # ids, a multiple of 64
 FILE_IDS = 1 << 24
 PART_BYTES = 64 << 20  # of text to a task
 _SLICE = 8 << 20
-_KNOWN = 1 << 17  # pieces remembered by a task
+_KNOWN = 1 << 19  # pieces remembered by a task
 _READ_IDS = 1 << 20
 _LIST = "part int, number int, name string, bits int, docs long, ids long, size long"
 
@@ -82,12 +83,23 @@ def place(path: str) -> tuple[pafs.FileSystem, str]:
 
 
 def piece_starts(data: np.ndarray) -> np.ndarray:
-    """Where texts may be cut without a change of their ids: before a blank between two visible ASCII characters.
+    """Where texts may be cut without a change of their ids: before a blank, and before and after a line feed, between two visible
+    characters.
 
-    The pre-tokenizer gives a blank before a word to that word, and no piece it makes has a blank after something else.
+    The pre-tokenizer gives a blank before a word to that word, makes a lone line feed a piece, and has no piece with either after
+    something else. Visible are ASCII characters from `!` to `~` and code points whose first byte in UTF-8 starts no white space.
     """
-    visible = (data > 32) & (data < 127)
-    return np.flatnonzero((data[1:-1] == 32) & visible[:-2] & visible[2:]) + 1
+    if len(data) < 3:
+        return np.empty(0, np.int64)
+    ascii_, more = (data > 32) & (data < 127), (data & 0xC0) == 0x80
+    two, three = (data >= 0xC3) & (data <= 0xDF), (data >= 0xE4) & (data <= 0xEF)
+    before = ascii_.copy()  # this byte ends a visible character
+    before[1:] |= more[1:] & two[:-1]
+    before[2:] |= more[2:] & more[1:-1] & three[:-2]
+    after = ascii_ | two | three  # this byte starts one
+    alone = before[:-2] & after[2:]
+    blank, line = np.flatnonzero(alone & (data[1:-1] == 32)) + 1, np.flatnonzero(alone & (data[1:-1] == 10)) + 1
+    return np.sort(np.concatenate([blank, line, line + 1]), kind="stable")
 
 
 class Encoder:
@@ -99,33 +111,37 @@ class Encoder:
 
         self.model = Tokenizer.from_file(tokenizer)
         self.by_pieces = by_pieces
-        self.known: dict[bytes, np.ndarray] = {}
+        self.known: dict[bytes, bytes] = {}
 
-    def _library(self, texts: list[bytes]) -> list[np.ndarray]:
-        found = self.model.encode_batch([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)
-        return [np.array(e.ids, np.uint32) for e in found]
+    def _library(self, texts: list[bytes]) -> list[bytes]:
+        """Ids of each text, four bytes an id."""
+        found = self.model.encode_batch_fast([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)
+        return [array("I", e.ids).tobytes() for e in found]
 
     def __call__(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, number of ids of each)."""
         if not self.by_pieces:
             ids = self._library(texts)
-            return np.concatenate([np.empty(0, np.uint32), *ids]), np.array([len(i) for i in ids], np.int64)
+            return np.frombuffer(b"".join(ids), np.uint32), np.array([len(i) // 4 for i in ids], np.int64)
         buffer = b"".join(texts)
-        ends = np.cumsum([0, *map(len, texts)])
-        cuts = np.unique(np.concatenate([ends, piece_starts(np.frombuffer(buffer, np.uint8))])) if buffer else ends[:1]
         if len(buffer) >= 1 << 31:
             raise ValueError("a slice of texts holds over 2 GB")
+        ends = np.cumsum([0, *map(len, texts)])
+        # blanks and line feeds at the seam of two texts are no harm: a seam is a cut anyway
+        cuts = np.sort(np.concatenate([ends, piece_starts(np.frombuffer(buffer, np.uint8))]), kind="stable")
+        cuts = cuts[np.append(True, cuts[1:] > cuts[:-1])]
         pieces = pa.Array.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer(cuts.astype(np.int32)), pa.py_buffer(buffer)])
         coded = pieces.dictionary_encode()
         distinct = coded.dictionary.to_pylist()
-        new = [p for p in distinct if p not in self.known]
-        fresh = dict(zip(new, self._library(new)))
-        values = [fresh[p] if p in fresh else self.known[p] for p in distinct]
-        if len(self.known) + len(fresh) > _KNOWN:
+        values = [self.known.get(p) for p in distinct]
+        unseen = [i for i, v in enumerate(values) if v is None]
+        for i, ids in zip(unseen, self._library([distinct[i] for i in unseen])):
+            values[i] = ids
+        if len(self.known) + len(unseen) > _KNOWN:
             self.known = {}
-        self.known.update((p, v) for p, v in list(fresh.items())[:_KNOWN] if len(p) <= 64)
-        sizes = np.array([len(v) for v in values], np.int64)
-        flat, first = np.concatenate([np.empty(0, np.uint32), *values]), np.cumsum(sizes) - sizes
+        self.known.update((distinct[i], values[i]) for i in unseen[:_KNOWN] if len(distinct[i]) <= 64)
+        sizes = np.fromiter(map(len, values), np.int64, len(values)) // 4
+        flat, first = np.frombuffer(b"".join(values), np.uint32), np.cumsum(sizes) - sizes
         which = coded.indices.to_numpy()
         many = sizes[which]
         after = np.cumsum(many)
