@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Observation, functions as F
 
@@ -54,29 +55,33 @@ def star_delta(stars: DataFrame, since: Column, by: Sequence[str] = ("repo",)) -
 
 
 def run_metrics(
-    raw: DataFrame, relevant: DataFrame, ranked: DataFrame, recent: DataFrame, archive: DataFrame, chosen: DataFrame,
-    by: Sequence[str] = ("run_id",),
+    raw: DataFrame, ranked: DataFrame, chosen: DataFrame | Column, by: Sequence[str] = ("run_id",), *, relevant: Column, recent: Column,
+    archive: Column,
 ) -> DataFrame:
-    """Counters of one run. `older_than_window`: dated ranked rows whose address is not among the recent ones."""
-    by = list(by)
-
-    def count(df: DataFrame, name: str) -> DataFrame:
-        return df.groupBy(*by).agg(F.count(F.lit(1)).alias(name))
+    """Counters of one run, a row per group of `raw`.
 
-    dropped = ranked.join(recent.select(*by, "url").distinct().withColumn("_in", F.lit(True)), [*by, "url"], "left")
-    dropped = dropped.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("ranked_count"),
-        F.count_if(F.col("published_at").isNull()).alias("undated"),
-        F.count_if(F.col("published_at").isNotNull() & F.col("_in").isNull()).alias("older_than_window"),
+    `relevant` is a condition on raw rows; `recent` and `archive` are conditions on ranked rows, and `chosen` is one too or a frame of
+    its own. `older_than_window`: dated ranked rows whose address is not among the recent ones. Each frame is read once: flags are
+    counted, ranked rows per address first, so that no row is looked up among others.
+    """
+    by = list(by)
+    dated = F.col("published_at").isNotNull()
+    flags = {"_recent": recent, "_archive": archive, "_chosen": chosen if isinstance(chosen, Column) else F.lit(False)}
+    per_address = ranked.select(*by, "url", dated.alias("_dated"), *[c.alias(n) for n, c in flags.items()]).groupBy(*by, "url").agg(
+        F.count(F.lit(1)).alias("ranked_count"), F.count_if("_recent").alias("recent_count"), F.count_if("_archive").alias("high_impact_archive_count"),
+        F.count_if("_chosen").alias("_by_flag"), F.count_if(~F.col("_dated")).alias("undated"), F.count_if("_dated").alias("_dated"),
     )
-    out = count(raw, "raw_count")
-    for part in (
-        count(relevant, "relevant_count"), dropped, count(recent, "recent_count"),
-        count(archive, "high_impact_archive_count"), count(chosen, "history_or_limit_count"),
-    ):
-        out = out.join(part, by, "left")
-    out = out.na.fill(0).withColumn("irrelevant_dropped", F.col("raw_count") - F.col("relevant_count"))
-    return out.drop("relevant_count").withColumn("trimmed_count", F.col("raw_count"))
+    older = F.when((F.col("recent_count") == 0) | F.col("url").isNull(), F.col("_dated")).otherwise(0)
+    counts = ("raw_count", "_relevant", "ranked_count", "recent_count", "high_impact_archive_count", "history_or_limit_count", "undated", "older_than_window")
+    parts = [
+        raw.groupBy(*by).agg(F.count(F.lit(1)).alias("raw_count"), F.count_if(relevant).alias("_relevant")),
+        per_address.withColumns({"older_than_window": older, "history_or_limit_count": F.col("_by_flag")}).drop("url", "_dated", "_by_flag"),
+    ]
+    if not isinstance(chosen, Column):
+        parts.append(chosen.groupBy(*by).agg(F.count(F.lit(1)).alias("history_or_limit_count")))
+    every = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    out = every.groupBy(*by).agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in counts]).filter("raw_count > 0")
+    return out.withColumns({"irrelevant_dropped": F.col("raw_count") - F.col("_relevant"), "trimmed_count": F.col("raw_count")}).drop("_relevant")
 
 
 def observe_counts(df: DataFrame, name: str, lexicon: lx.Lexicon = lx.AI) -> tuple[DataFrame, Observation]:

@@ -10,11 +10,9 @@ from briefloom import lexicon as lx
 from briefloom.functions import keys, score
 from briefloom.functions.text import text_or_empty
 from briefloom.operators import items as it
-from briefloom.operators import rank as rk
+from briefloom.operators import order as order_, rank as rk
 from briefloom.session import durable
 
-_BUCKET = 100_000
-
 
 def quality() -> Column:
     """What makes one row of a group better: release rank, source score, longer description, later raw date."""
@@ -63,11 +61,11 @@ def dedup_items(items: DataFrame, by: Sequence[str] = (), keep: str | None = Non
     columns = [col for col in items.columns if col != keep]
     keyed = with_keys(items)
     unit = F.coalesce(F.concat(F.lit("t:"), F.col("title_index")), F.concat(F.lit("k:"), F.col("key0")))
-    order = F.struct(quality().alias("q"), (-F.col("seq")).alias("s"))
+    best = F.struct(quality().alias("q"), order_.first_most(items).alias("s"))
     if keep is not None:
-        unit, order = F.when(F.col(keep), unit), F.when(F.col(keep), order)
+        unit, best = F.when(F.col(keep), unit), F.when(F.col(keep), best)
     titles = (
-        keyed.withColumns({"_unit": unit, "_order": order})
+        keyed.withColumns({"_unit": unit, "_order": best})
         .groupBy(*by, "_unit")
         .agg(
             F.max_by(F.struct(*columns), "_order").alias("_row"),
@@ -82,23 +80,9 @@ def dedup_items(items: DataFrame, by: Sequence[str] = (), keep: str | None = Non
 
 
 def _running_best(rows: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Per row the best quality among earlier members of its group (`_before`).
-
-    Prefix maximum in two levels: within ranges of `seq`, then over the ranges, so no task holds a whole group.
-    """
-    rows = rows.withColumn("_bucket", F.floor(F.col("seq") / _BUCKET))
+    """Per row the best quality among earlier members of its group (`_before`); a group of any size is many tasks."""
     # a probe looks at the rows before its own
-    order = [F.col("seq"), F.col("probe").desc()]
-    inner = Window.partitionBy(*by, "key", "_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    outer = Window.partitionBy(*by, "key").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    member = F.when(~F.col("probe"), F.col("q"))
-    carried = (
-        rows.groupBy(*by, "key", "_bucket").agg(F.max(member).alias("_m")).withColumn("_carry", F.max("_m").over(outer)).drop("_m")
-    )
-    local = rows.withColumn("_local", F.max(member).over(inner))
-    joined = local.join(carried, [*by, "key", "_bucket"], "left")
-    carry_wins = F.col("_local").isNull() | (F.col("_carry") > F.col("_local"))
-    return joined.withColumn("_before", F.when(carry_wins, F.col("_carry")).otherwise(F.col("_local")))
+    return order_.running_max(rows, F.when(~F.col("probe"), F.col("q")), [F.col("seq"), F.col("probe").desc()], "_before", [*by, "key"])
 
 
 def dedup_items_exact(items: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -148,7 +132,7 @@ def dedup_items_exact(items: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     final = keyed.join(index, [*by, "title_index"], "left").withColumns(
         {
             "group_key": F.when(F.col("seq") > F.col("i_seq"), F.col("i_key")).otherwise(F.col("key0")),
-            "_order": F.struct("q", (-F.col("seq")).alias("s")),
+            "_order": F.struct("q", order_.first_most(items).alias("s")),
             "_first": F.col("seq"),
         }
     )
@@ -198,7 +182,7 @@ def first_per_key(df: DataFrame, key: str | Column, position: str, by: Sequence[
 
 def longest_per_url(df: DataFrame, order: Sequence[str] = ("seq",), by: Sequence[str] = ()) -> DataFrame:
     """Longest description of each address; the earliest (by `order`) on ties."""
-    best = F.struct(F.length("desc").alias("n"), *[(-F.col(c)).alias(f"o{i}") for i, c in enumerate(order)])
+    best = F.struct(F.length("desc").alias("n"), *[order_.first_most(df, c).alias(f"o{i}") for i, c in enumerate(order)])
     return df.groupBy(*by, "url").agg(F.max_by(F.struct(*df.columns), best).alias("_row")).select("_row.*")
 
 

@@ -133,6 +133,10 @@ def impact(lexicon: lx.Lexicon = lx.AI) -> Column:
     return score.impact_score(_whole_text(), F.col("source_type"), lexicon)
 
 
+def is_high_impact(now: Column, days: int = 30, lexicon: lx.Lexicon = lx.AI) -> Column:
+    return (impact(lexicon) > 0) & is_recent(days, now, require_date=True)
+
+
 def is_appendix_eligible() -> Column:
     signal = F.coalesce(F.col("recent_feature_signal"), F.lit(False)) | (F.coalesce(F.col("keyword_match"), F.lit("")) != "")
     return (F.col("source_type") != "community") | signal
@@ -169,7 +173,7 @@ def keep_recent(items: DataFrame, max_age_days: int, now: Column, *, require_dat
 
 
 def high_impact_archive(items: DataFrame, now: Column, days: int = 30, lexicon: lx.Lexicon = lx.AI) -> DataFrame:
-    return items.filter((impact(lexicon) > 0) & is_recent(days, now, require_date=True))
+    return items.filter(is_high_impact(now, days, lexicon))
 
 
 def drop_invalid_urls(report_items: DataFrame) -> DataFrame:

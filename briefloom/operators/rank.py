@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from briefloom import lexicon as lx
 from briefloom.functions import score
-from briefloom.operators import items as it
+from briefloom.operators import items as it, order as order_
 
 # Spark prunes `row_number <= k` before the shuffle up to this k (spark.sql.optimizer.windowGroupLimitThreshold).
 _PRUNED_K = 1000
@@ -98,7 +98,7 @@ def distinct_source_officials(items: DataFrame, n: int = 2, by: Sequence[str] =
     """Newest official row of each of the n publishers with the newest rows."""
     publisher = F.lower(F.trim(F.col("source_name")))
     newest = F.struct(
-        F.coalesce(F.unix_micros("published_at"), F.lit(-(1 << 62))).alias("ts"), (-F.col(tie)).alias("tie")
+        F.coalesce(F.unix_micros("published_at"), F.lit(-(1 << 62))).alias("ts"), order_.first_most(items, tie).alias("tie")
     )
     best = (
         items.filter((F.col("source_type") == "official_news") & (publisher != ""))

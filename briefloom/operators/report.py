@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from briefloom import lexicon as lx
 from briefloom.functions import brief, dates, keys, score, text, urls
-from briefloom.functions.core import let_sql, sql_string
+from briefloom.functions.core import sql_string
 from briefloom.operators import aggregates, items as it, joins, rank as rk, select as sel
 
 
@@ -215,8 +215,9 @@ def _leaf_text_sql(v: str, default: str) -> str:
         ELSE {as_text} END"""
 
 
-def _list_text_sql(v: str) -> str:
-    """Lists in lists read like one list, as joins of joins are one join: they are unpacked level by level, as deep as they go."""
+def _text_sql(v: str) -> str:
+    """Any value as one list of leaves. Lists in lists read like one list, as joins of joins are one join: they are unpacked level by
+    level, as deep as they go; what is no list is a list of one."""
     brackets = rf"""regexp_replace(regexp_replace(to_json({v}), r'"(?:[^"\\]|\\.)*"', ''), r'[^\[\]]', '')"""
     depth = (
         f"aggregate(split({brackets}, ''), named_struct('now', 0, 'most', 0), (a, c) -> named_struct('now', a.now + if(c = '[', 1, if(c = ']', -1, 0)), "
@@ -227,12 +228,19 @@ def _list_text_sql(v: str) -> str:
         f"aggregate(sequence(1, {depth}), array({v}), (acc, i) -> flatten(transform(acc, y -> "
         f"if(y IS NOT NULL AND {is_list}, try_variant_get(y, '$', 'array<variant>'), array(y)))))"
     )
-    return _stripped_sql(f"array_join(filter(transform({flat}, z -> {_leaf_text_sql('z', '')}), p -> p <> ''), ' ')")
+    leaves = f"if(startswith(schema_of_variant({v}), 'ARRAY'), {flat}, array({v}))"
+    return _stripped_sql(f"array_join(filter(transform({leaves}, z -> {_leaf_text_sql('z', '')}), p -> p <> ''), ' ')")
 
 
 def safe_text(v: Column, default: str = "") -> Column:
     """Readable text of any JSON value: text inside objects, joined lists of any depth, JSON text as last resort."""
-    return let_sql(v, f"v -> CASE WHEN startswith(schema_of_variant(v), 'ARRAY') THEN {_list_text_sql('v')} ELSE {_leaf_text_sql('v', default)} END")
+    return F.get(safe_texts([v], default), F.lit(0))
+
+
+def safe_texts(values: Sequence[Column], default: str = "") -> Column:
+    """`safe_text` of many values as one array: the walk is in the plan once, however many fields are read."""
+    walk = f"v -> CASE WHEN v IS NULL OR is_variant_null(v) THEN {sql_string(default)} ELSE {_text_sql('v')} END"
+    return F.call_function("transform", F.array(*values), F.expr(walk))
 
 
 def _json_body(response: Column) -> Column:
@@ -250,28 +258,28 @@ def parse_responses(responses: DataFrame, style: Style) -> tuple[DataFrame, Data
     )
     entries = F.slice(F.try_variant_get("_p", "$.items", "array<variant>"), 1, style.item_limit)
 
-    def field(name: str, default: str = "") -> Column:
-        return safe_text(F.try_variant_get("_i", f"$.{name}", "variant"), default)
-
-    def known(name: str) -> Column:
-        return F.coalesce(F.nullif(field(name, "unknown"), F.lit("")), F.lit("unknown"))
+    def texts(of: str, names: Sequence[str]) -> Column:
+        # behind a generator, so that filters on a text do not compute all of them again below it
+        return F.explode(F.array(safe_texts([F.try_variant_get(of, f"$.{n}", "variant") for n in names]))).alias("t")
 
+    fields = ("title", "url", "summary", "insight", "source_name", "source_type", "published_at")
+    read = {name: F.col("t")[i] for i, name in enumerate(fields)}
+    known = {name: F.coalesce(F.nullif(read[name], F.lit("")), F.lit("unknown")).alias(name) for name in ("source_name", "source_type")}
     rows = (
         parsed.select(*BY, F.posexplode(entries).alias("_pos", "_i"))
         .filter(F.schema_of_variant("_i").startswith("OBJECT"))
+        .select(*BY, "_pos", texts("_i", fields))
         .select(
-            *BY, (F.col("_pos") + 1).alias("position"), F.lit(True).alias("is_primary"), field("title").alias("title"),
-            field("url").alias("url"), field("summary").alias("summary"), field("insight").alias("insight"),
-            known("source_name").alias("source_name"), known("source_type").alias("source_type"),
-            F.nullif(field("published_at"), F.lit("")).alias("published_at_raw"),
+            *BY, (F.col("_pos") + 1).alias("position"), F.lit(True).alias("is_primary"), *[read[n].alias(n) for n in fields[:4]],
+            *known.values(), F.nullif(read["published_at"], F.lit("")).alias("published_at_raw"),
         )
         .filter((F.col("title") != "") & urls.is_valid_source_url(F.col("url")))
         .withColumn("published_at", dates.parse_published_at(F.col("published_at_raw")))
         .select(*ITEM_COLUMNS)
     )
-    header = parsed.join(rows.select(*BY).distinct(), BY, "left_semi").select(
-        *BY, F.lit(style.title).alias("title"), safe_text(F.try_variant_get("_p", "$.summary", "variant")).alias("summary"),
-        safe_text(F.try_variant_get("_p", "$.outlook", "variant")).alias("outlook"),
+    said = parsed.select(*BY, texts("_p", ("summary", "outlook")))
+    header = said.join(rows.select(*BY).distinct(), BY, "left_semi").select(
+        *BY, F.lit(style.title).alias("title"), F.col("t")[0].alias("summary"), F.col("t")[1].alias("outlook"),
         F.lit(style.outlook_label).alias("outlook_label"), F.lit(None).cast("string").alias("mode"),
     )
     return header, rows

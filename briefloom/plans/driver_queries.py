@@ -79,17 +79,14 @@ def url_hosts(s, sf):
 _REFERENCES = " &#9999999; &#xD800; &#38;lt; &amp;lt; &eacute;&rarr;&zwnj; &copy2 &#x80;&#0; &nosuch; & &#x1F600;"
 
 
-@register("entity_texts", """SELECT doc_id, substr(text, 1, 40) || ' ' || chr(65533) || ' ' || chr(65533) || ' &lt; &lt; ' || chr(233) || chr(8594) || chr(8204)
-    || ' ' || chr(169) || '2 ' || chr(8364) || chr(65533) || ' &nosuch; & ' || chr(128512) AS text FROM documents""")
-def entity_texts(s, sf):
-    raw = F.concat(F.substring("text", 1, 40), F.lit(_REFERENCES))
-    return spread(table(s, sf, "documents").select("doc_id", "text"), "doc_id").select("doc_id", text.unescape_entities(raw).alias("text"))
+# the documents hold no references of their own
+_ENTITY_SQL = """SELECT doc_id, text || ' ' || chr(65533) || ' ' || chr(65533) || ' &lt; &lt; ' || chr(233) || chr(8594) || chr(8204)
+    || ' ' || chr(169) || '2 ' || chr(8364) || chr(65533) || ' &nosuch; & ' || chr(128512) AS text FROM documents"""
 
 
-# entity_texts keeps to its SQL, the first 40 characters; this one reads whole texts. The documents hold no references of their own
-@register("entity_texts_whole", """SELECT doc_id, text || ' ' || chr(65533) || ' ' || chr(65533) || ' &lt; &lt; ' || chr(233) || chr(8594) || chr(8204)
-    || ' ' || chr(169) || '2 ' || chr(8364) || chr(65533) || ' &nosuch; & ' || chr(128512) AS text FROM documents""")
-def entity_texts_whole(s, sf):
+@register("entity_texts_whole", _ENTITY_SQL)
+@register("entity_texts", _ENTITY_SQL)
+def entity_texts(s, sf):
     raw = F.concat("text", F.lit(_REFERENCES))
     return spread(table(s, sf, "documents").select("doc_id", "text"), "doc_id").select("doc_id", text.unescape_entities(raw).alias("text"))
 
@@ -546,7 +543,8 @@ def merge_unique(s, sf):
 def union_sources(s, sf):
     docs = table(s, sf, "documents").select(c("doc_id").alias("seq"), F.lit("documents").alias("origin"))
     web = table(s, sf, "pages").select(c("page_id").alias("seq"), F.lit("pages").alias("origin"))
-    return payloads.union_sources(docs, web)
+    out = payloads.union_sources(docs, web)
+    return out.select((F.shiftleft(c("seq.source")[0].cast("bigint"), 56) + c("seq.pos")).alias("seq"), "origin")
 
 
 # === aggregates ===================================================================================================
@@ -591,11 +589,11 @@ SELECT category, (SELECT count(*) FROM items i WHERE i.category = z.category) AS
  (SELECT count(*) FROM rec i WHERE i.category = z.category) AS history_or_limit_count
 FROM (SELECT DISTINCT category FROM items) z""")
 def run_metrics(s, sf):
-    raw = items(s, sf)
-    ranked = _with_now(dedup.dedup_items(it.drop_low_signal(it.require_title_url(raw), L), ["category"]), s, sf)
-    recent = it.keep_recent(ranked, 7, c("now"), require_date=True)
-    archive = it.high_impact_archive(ranked, c("now"), 20, L)
-    return aggregates.run_metrics(raw, it.keep_relevant(raw, L), ranked, recent, archive, recent, ["category"])
+    raw, now = items(s, sf), _clock(s, sf)
+    ranked = dedup.dedup_items(it.drop_low_signal(it.require_title_url(raw), L), ["category"])
+    recent = it.is_recent(7, now, require_date=True)
+    archive = it.is_high_impact(now, 20, L)
+    return aggregates.run_metrics(raw, ranked, recent, ["category"], relevant=it.is_relevant(L), recent=recent, archive=archive)
 
 
 # === history ======================================================================================================
@@ -1131,6 +1129,11 @@ def _line():
     return F.substring_index("text", "\n", 1)
 
 
+def _shown(df, *columns):
+    """Columns of a reader with the order key as one number, which SQL can write down; the driver tables hold no long responses."""
+    return df.withColumn("seq", F.shiftleft("seq.payload", 20) + c("seq.pos")).select(*columns)
+
+
 @register("news_articles", f"""SELECT doc_id << 20 AS seq, {_FIRST} AS title, 'https://n.example.com/' || doc_id AS url, text AS "desc", source AS source_name, 'news' AS source_type
   FROM documents WHERE {_FIRST} <> ''""")
 def news_articles(s, sf):
@@ -1140,14 +1143,14 @@ def news_articles(s, sf):
     )
     bad = F.struct(F.lit("").alias("title"), F.lit("https://n.example.com/").alias("url"), F.lit("").alias("description"), F.struct(F.lit("").alias("name")).alias("source"))
     out = payloads.news_articles(_responses(s, sf, F.struct(F.array(good, bad).alias("articles"))))
-    return out.select("seq", "title", "url", "desc", "source_name", "source_type")
+    return _shown(out, "seq", "title", "url", "desc", "source_name", "source_type")
 
 
 @register("story_hits", f"""SELECT doc_id << 20 AS seq, '[HN] ' || {_FIRST} AS title, 'https://news.ycombinator.com/item?id=' || doc_id AS url, 'Points: ' || n_chars || ' | Comments: 0' AS "desc"
   FROM documents WHERE {_FIRST} <> ''""")
 def story_hits(s, sf):
     hit = F.struct(_line().alias("title"), F.lit("").alias("url"), c("doc_id").cast("string").alias("objectID"), c("n_chars").alias("points"))
-    return payloads.hn_hits(_responses(s, sf, F.struct(F.array(hit).alias("hits")))).select("seq", "title", "url", "desc")
+    return _shown(payloads.hn_hits(_responses(s, sf, F.struct(F.array(hit).alias("hits")))), "seq", "title", "url", "desc")
 
 
 @register("trending_models", """SELECT doc_id << 20 AS seq, '[HF Model] ' || source || '/' || doc_id || ' (' || n_chars || ' likes)' AS title, 'Downloads: 0 | Task: ' || lang AS "desc",
@@ -1155,13 +1158,13 @@ def story_hits(s, sf):
 def trending_models(s, sf):
     data = F.struct(_text(c("source"), "/", c("doc_id")).alias("id"), c("n_chars").alias("likes"), c("lang").alias("pipeline_tag"))
     out = payloads.hf_models(_responses(s, sf, F.struct(F.array(F.struct(data.alias("repoData"))).alias("recentlyTrending"))))
-    return out.select("seq", "title", "desc", "source_type")
+    return _shown(out, "seq", "title", "desc", "source_type")
 
 
 @register("daily_papers", f"""SELECT doc_id << 20 AS seq, '[HF Paper] ' || {_FIRST} AS title, 'Published: N/A | Summary: ' || substr(text, 1, 180) || '...' AS "desc" FROM documents WHERE {_FIRST} <> ''""")
 def daily_papers(s, sf):
     paper = F.struct(c("doc_id").cast("string").alias("id"), _line().alias("title"), c("text").alias("summary"))
-    return payloads.hf_papers(_responses(s, sf, F.array(F.struct(paper.alias("paper"))))).select("seq", "title", "desc")
+    return _shown(payloads.hf_papers(_responses(s, sf, F.array(F.struct(paper.alias("paper"))))), "seq", "title", "desc")
 
 
 @register("repo_releases", f"""SELECT doc_id << 20 AS seq, '[GitHub Release] ' || source || ' r' || doc_id AS title, 'Tag: v1.' || (doc_id % 3) || CASE WHEN doc_id % 2 = 0 THEN '.1' ELSE '' END || ' | Published: N/A | ' ||
@@ -1173,7 +1176,7 @@ def repo_releases(s, sf):
     good = F.struct(_text("r", n).alias("name"), tag.alias("tag_name"), F.concat(F.lit("hotfix "), "text").alias("body"))
     later = F.struct(F.lit("old").alias("name"), F.lit("v0").alias("tag_name"), F.lit("old release").alias("body"))
     rows = table(s, sf, "documents").select(n.alias("payload_order"), c("source").alias("repo"), F.to_json(F.array(good, later)).alias("payload"))
-    return payloads.repo_releases(rows).select("seq", "title", "desc")
+    return _shown(payloads.repo_releases(rows), "seq", "title", "desc")
 
 
 @register("repo_search", """WITH m AS (SELECT max(ts) - INTERVAL 7 DAY AS since FROM events), st AS (SELECT 'r' || user_id AS repo, count(*) FILTER (WHERE date_trunc('second', ts) >= date_trunc('second', since)) AS d FROM events, m GROUP BY 1),
@@ -1192,7 +1195,7 @@ def repo_search(s, sf):
     )
     stars = events(s, sf).select(_text("r", c("user_id")).alias("repo"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("starred_at"))
     since = F.date_trunc("second", _clock(s, sf)) - F.expr("INTERVAL 7 DAYS")
-    return payloads.repo_search(rows, stars, since, ["run"]).select("run", "title", "seq")
+    return _shown(payloads.repo_search(rows, stars, since, ["run"]), "run", "title", "seq")
 
 
 def _feed(s, sf, atom: bool = False):
@@ -1224,19 +1227,19 @@ _FEED_ROWS = "SELECT event_id, event_type AS kind, ts, i FROM events, (SELECT un
 @register("subreddit_top", f"""SELECT (event_id << 20) + i - 1 AS seq, '[Reddit r/' || kind || '] ' || kind || ' story ' || i AS title, 'RSS fallback | <b>sum</b> ' || kind || '...' AS "desc",
   strftime(ts, '%a, %d %b %Y %H:%M:%S GMT') AS published_at_raw FROM ({_FEED_ROWS}) WHERE i <= 5 AND i <> 2""")
 def subreddit_top(s, sf):
-    return payloads.subreddit_top(_feed(s, sf)).select("seq", "title", "desc", "published_at_raw")
+    return _shown(payloads.subreddit_top(_feed(s, sf)), "seq", "title", "desc", "published_at_raw")
 
 
 @register("subreddit_search", f"""WITH f AS (SELECT *, 'https://f.example.com/' || (event_id % 500) || '/' || i AS url, (event_id << 20) + i - 1 AS seq FROM ({_FEED_ROWS}) WHERE i <= 3 AND i <> 2)
 SELECT seq, url, kind AS keyword_match, 'Search match for ' || kind || ' | sum ' || kind || chr(10) || 'line...' AS "desc" FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY seq) AS rn FROM f) WHERE rn = 1""")
 def subreddit_search(s, sf):
-    return payloads.subreddit_search(_feed(s, sf, atom=True)).select("seq", "url", "keyword_match", "desc")
+    return _shown(payloads.subreddit_search(_feed(s, sf, atom=True)), "seq", "url", "keyword_match", "desc")
 
 
 @register("paper_entries", f"""SELECT (event_id << 20) + i - 1 AS seq, '[arXiv] ' || CASE WHEN i = 2 THEN '' ELSE kind || ' story ' || i END AS title,
   'Authors: A' || i || ', B | Published: ' || strftime(ts, '%Y-%m-%d') || ' | Abstract: sum ' || kind || ' line...' AS "desc" FROM ({_FEED_ROWS}) WHERE i <> 2""")
 def paper_entries(s, sf):
-    return payloads.arxiv_atom(_feed(s, sf, atom=True)).select("seq", "title", "desc")
+    return _shown(payloads.arxiv_atom(_feed(s, sf, atom=True)), "seq", "title", "desc")
 
 
 @register("official_feed", f"""WITH f AS (SELECT *, (event_id << 20) + i - 1 AS seq FROM ({_FEED_ROWS}) WHERE i <> 2 AND kind IN ('click', 'view'))
@@ -1247,7 +1250,7 @@ def official_feed(s, sf):
         c("event_type").alias("source_id"), F.concat(F.lit("Feed "), "event_type").alias("name"), F.array(F.lit("CLICK story"), F.lit("view story")).alias("keywords")
     )
     out = payloads.official_feed(_feed(s, sf), dim, 40)
-    return out.select("seq", "title", "desc", "source_name", "published_at_raw")
+    return _shown(out, "seq", "title", "desc", "source_name", "published_at_raw")
 
 
 # === streams ======================================================================================================

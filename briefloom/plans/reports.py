@@ -7,6 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, functions as F
 
 from briefloom import lexicon as lx
+from briefloom.functions import dates
 from briefloom.operators import aggregates, dedup, history as hist, items as it, joins, rank as rk, render, report
 from briefloom.operators import select as sel
 from briefloom.session import durable
@@ -29,6 +30,7 @@ class Config:
     archive_days: int = 30
     history_ttl_hours: float = 26
     history_cap: int = 2000
+    not_selected_sample: int = 12
     exact_dedup: bool = False
     stock_lexicon: lx.Lexicon = field(default=lx.STOCK)
     ai_lexicon: lx.Lexicon = field(default=lx.AI)
@@ -63,12 +65,13 @@ def build_reports(
 
     raw_items: run_id, category (`stock_news` or `ai_news`), raw item columns. quotes: run_id, market, seq, quote
     columns. history: HISTORY shared by all runs, or None for no cross-run de-dup. responses: report_id, response.
-    links: report_id, link. Tables: report, report_item, message, block, fresh, history, metrics.
+    links: report_id, link. Tables: report, report_item, message, block, fresh, skipped, history, metrics; prompt (the request texts
+    for an external model), not_selected (the best recent rows which were not chosen), document (the titles of the block documents).
     """
     raw = it.with_optional_columns(raw_items)
     trimmed = it.trim_descriptions(raw, config.max_desc)
     runs = raw.select(*RUN).distinct()
-    out: dict[str, list[DataFrame]] = {k: [] for k in ("report", "report_item", "message", "block", "fresh", "skipped")}
+    out: dict[str, list[DataFrame]] = {k: [] for k in ("report", "report_item", "message", "block", "fresh", "skipped", "prompt", "not_selected", "document")}
     seen: list[DataFrame] = []
     metrics = None
     for kind, category in (("stock", "stock_news"), ("ai", "ai_news")):
@@ -101,8 +104,12 @@ def build_reports(
             pool = dedup.merge_unique_items(recent, archive, order=("rank",), by=RUN)
             # archive rows follow the recent ones
             pool = pool.withColumn("rank", F.col("merge_order._part") * config.ai_ranked + F.col("rank"))
-            kept = it.keep_relevant(it.normalize_items(source), lexicon)
-            metrics = aggregates.run_metrics(source, kept, ranked, recent, archive, fresh)
+            # of the raw rows only what the relevance rule looks at is normalised
+            judged = it.normalize_items(source).select(*RUN, it.is_relevant(lexicon).alias("_relevant"))
+            metrics = aggregates.run_metrics(
+                judged, ranked, fresh, relevant=F.col("_relevant"), recent=it.is_recent(config.ai_days, now, require_date=True),
+                archive=it.is_high_impact(now, config.archive_days, lexicon),
+            )
         fresh = durable(joins.with_match_keys(fresh))
         news = _as_report(fresh, kind)
         heads = _as_report(runs, kind)
@@ -117,6 +124,11 @@ def build_reports(
         out["message"].append(render.render_message(header, rows, style, own_quotes, links))
         out["block"].append(render.render_blocks(header, every, style))
         out["fresh"].append(fresh.select(*RUN, "category", "rank", "seq", "title", "url", "source_name", "source_type", "fingerprint"))
+        prompts = news if "tags" in news.columns else it.with_tags(news, lexicon.priority)
+        out["prompt"].append(report.prompt_requests(prompts, style, own_quotes))
+        missed = sel.not_selected(recent, fresh, config.not_selected_sample, RUN)
+        out["not_selected"].append(missed.select(*RUN, F.lit(category).alias("category"), "sample_position", "title", "url"))
+        out["document"].append(heads.select("report_id", dates.report_title(style.prefix, now).alias("title")))
         out["skipped"].append(skipped.select(*RUN, F.lit(category).alias("category"), "skipped"))
     tables = {}
     for name, parts in out.items():

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from briefloom.operators.order import KEY
+
+# `seq` may also be a plain number, the place in one response
 RAW_ITEM = (
-    "category STRING, seq BIGINT, title STRING, url STRING, `desc` STRING, source_name STRING, "
+    f"category STRING, seq {KEY}, title STRING, url STRING, `desc` STRING, source_name STRING, "
     "source_type STRING, published_at_raw STRING, tags ARRAY<STRING>, keyword_match STRING, "
     "recent_feature_signal BOOLEAN"
 )
 
 ITEM = (
-    "category STRING, seq BIGINT, title STRING, url STRING, `desc` STRING, source_name STRING, "
+    f"category STRING, seq {KEY}, title STRING, url STRING, `desc` STRING, source_name STRING, "
     "source_type STRING, published_at_raw STRING, published_at TIMESTAMP, tags ARRAY<STRING>, "
     "model_family_key STRING, release_family_key STRING, keyword_match STRING, "
     "recent_feature_signal BOOLEAN, priority INT"

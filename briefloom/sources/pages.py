@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from briefloom.functions import dates, text, urls
 from briefloom.functions.text import cut
 from briefloom.operators.dedup import first_per_key
+from briefloom.operators.order import sequence
 from briefloom.sources.payloads import _raw
 
 PAGE = ["page_id"]
@@ -63,9 +64,9 @@ def _newest(rows: DataFrame, limit: int) -> DataFrame:
     return rows.withColumn("_n", F.row_number().over(ranked)).filter(F.col("_n") <= bound)
 
 
-def _official(rows: DataFrame, seq: Column, title: Column, link: Column, desc: Column) -> DataFrame:
+def _official(rows: DataFrame, place: Column, title: Column, link: Column, desc: Column) -> DataFrame:
     return _raw(
-        rows, ["page_id"], seq=seq, title=F.concat(F.lit("[Official] "), title), url=link, desc=desc, source_name=F.col("name"),
+        rows, ["page_id"], seq=sequence(F.col("page_id"), place), title=F.concat(F.lit("[Official] "), title), url=link, desc=desc, source_name=F.col("name"),
         source_type="official_news", published_at_raw=F.col("published"),
     )
 
@@ -75,7 +76,7 @@ def listing_anchors(nodes: DataFrame, sources: DataFrame, limit: int = _DEFAULT_
     rows = listing_links(nodes, sources).withColumn("published", html_published_at(F.col("near")))
     rows = _newest(rows.filter(F.col("published").isNotNull()).withColumn("first", F.col("node_pos")), limit)
     desc = F.concat(F.lit("Collected from "), "name", F.lit(" listing page."))
-    return _official(rows, F.col("_n").cast("bigint"), F.col("text"), F.col("link"), desc)
+    return _official(rows, F.col("_n"), F.col("text"), F.col("link"), desc)
 
 
 def _longest(rows: DataFrame) -> DataFrame:
@@ -127,7 +128,7 @@ def dated_sections(nodes: DataFrame, sources: DataFrame, limit: int = _DEFAULT_L
         }
     )
     rows = _newest(_longest(rows.select(*_SECTION)), limit)
-    return _official(rows, F.col("_n").cast("bigint"), F.col("title"), F.col("link"), F.col("desc"))
+    return _official(rows, F.col("_n"), F.col("title"), F.col("link"), F.col("desc"))
 
 
 def docs_release_notes(nodes: DataFrame, sources: DataFrame, limit: int = _DEFAULT_LIMIT) -> DataFrame:
@@ -155,7 +156,7 @@ def docs_release_notes(nodes: DataFrame, sources: DataFrame, limit: int = _DEFAU
         )
     )
     rows = _newest(_longest(rows.select(*_SECTION)), limit)
-    return _official(rows, F.col("_n").cast("bigint"), F.col("title"), F.col("link"), F.col("desc"))
+    return _official(rows, F.col("_n"), F.col("title"), F.col("link"), F.col("desc"))
 
 
 def with_year(rows: DataFrame, month: str, now: Column, by: list[str], order: str) -> DataFrame:
@@ -202,7 +203,7 @@ def changelog_cards(nodes: DataFrame, sources: DataFrame, now: Column, limit: in
     labels = F.nullif(F.array_join(F.slice("tags", 1, 3), " / "), F.lit(""))
     lead = F.when(F.col("text") != "", cut(F.col("text"), 96)).otherwise("Update")
     title = F.concat(F.concat_ws(" | ", "name", badge, labels), F.lit(": "), lead)
-    return _official(rows, F.col("_n").cast("bigint"), title, F.col("link"), F.when(F.col("text") != "", cut(F.col("text"), 220)).otherwise(lead))
+    return _official(rows, F.col("_n"), title, F.col("link"), F.when(F.col("text") != "", cut(F.col("text"), 220)).otherwise(lead))
 
 
 def release_notes(nodes: DataFrame, sources: DataFrame, now: Column, limit: int = _DEFAULT_LIMIT) -> DataFrame:
@@ -217,5 +218,5 @@ def static_pages(nodes: DataFrame, curated: DataFrame, shown: int = 2000) -> Dat
     rows = nodes.filter("kind = 'page'").select("page_id", "url", F.col("text").alias("body")).join(curated, "url")
     rows = rows.filter(text.matches_keywords(F.col("title"), cut(F.col("body"), shown), F.col("keywords")))
     return _official(
-        rows.withColumn("published", F.col("published_at_raw")), F.col("page_id"), F.col("title"), F.col("url"), F.col("desc")
+        rows.withColumn("published", F.col("published_at_raw")), F.lit(0), F.col("title"), F.col("url"), F.col("desc")
     )

@@ -1,7 +1,7 @@
 """Landed responses (`payload` text, one row per response) to raw items.
 
-Every frame carries `payload_order`, the place of the response among those of its source. `seq` is built from it and
-the place of the entry inside the response, so arrival order survives any partitioning.
+Every frame carries `payload_order`, the place of the response among those of its source. `seq`, an order key (operators.order), is made
+of it and the place of the entry inside the response, so arrival order survives any partitioning.
 """
 
 from __future__ import annotations
@@ -9,16 +9,15 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from briefloom.functions import dates, score, text
 from briefloom.functions.text import cut, strip_text, text_or_empty
 from briefloom.operators.aggregates import star_delta
 from briefloom.operators.dedup import first_per_key, longest_per_url
+from briefloom.operators.order import KEY, numbered, sequence, under, with_order
 from briefloom.operators.rank import top_k_per_source
 
-_POS_BITS, _SOURCE_BITS = 20, 56
-
 RAW_COLUMNS = [
     "seq", "title", "url", "desc", "source_name", "source_type", "published_at_raw", "tags", "keyword_match",
     "recent_feature_signal",
@@ -26,26 +25,22 @@ RAW_COLUMNS = [
 
 
 def read_payloads(spark: SparkSession, path: str) -> DataFrame:
-    """Files of one source as `(path, payload)` rows; `payload_order` comes from the landing table or `with_order`."""
-    return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.col("value").alias("payload"))
-
-
-def sequence(payload_order: Column, pos: Column) -> Column:
-    return F.shiftleft(payload_order.cast("bigint"), _POS_BITS) + pos
+    """Files of one source as (path, payload, payload_order) rows, in the order of their names."""
+    return with_order(spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.col("value").alias("payload")))
 
 
 def union_sources(*parts: DataFrame) -> DataFrame:
-    """Concatenate in the given order: `seq` of a later part is above any `seq` of an earlier one."""
+    """Concatenate in the given order: `seq` of a later part is above any `seq` of an earlier one. Parts may be unions themselves."""
     out = None
     for i, part in enumerate(parts):
-        part = part.withColumn("seq", F.shiftleft(F.lit(i).cast("bigint"), _SOURCE_BITS) + F.col("seq"))
+        part = part.withColumn("seq", under(i, F.col("seq"), part.schema["seq"].dataType))
         out = part if out is None else out.unionByName(part, allowMissingColumns=True)
     return out
 
 
 def _raw(df: DataFrame, by: Sequence[str] = (), **cols: Column | str) -> DataFrame:
     """Select the raw item columns; those a source lacks are NULL."""
-    types = {"tags": "array<string>", "recent_feature_signal": "boolean", "seq": "bigint"}
+    types = {"tags": "array<string>", "recent_feature_signal": "boolean", "seq": KEY}
     out = []
     for name in RAW_COLUMNS:
         value = cols.get(name)
@@ -136,16 +131,14 @@ def repo_search(raw: DataFrame, stars: DataFrame, since: Column, by: Sequence[st
         F.when(F.col("star_delta") > 0, F.concat(F.lit("+"), F.col("star_delta").cast("string"), F.lit("★/7d, "))).otherwise(""),
         total,
     )
-    order = F.struct(
+    rows = rows.select(*by, "url", "desc", "published_at_raw", title.alias("title"), F.struct(
         (-F.coalesce("star_delta", F.lit(-1))).alias("a"),
         F.coalesce(-F.unix_micros(dates.parse_published_at(F.col("published_at_raw"))), F.lit(1 << 62)).alias("b"),
         (-F.col("n_stars")).alias("c"), F.col("arrival").alias("d"),
-    )
-    # the rows of one run's search are few; the window spills where they are not
-    place = F.row_number().over(Window.partitionBy(*(by or [F.lit(0)])).orderBy(order)) - 1
+    ).alias("_order"))
+    rows = numbered(rows, [F.col("_order")], "_place", by)
     return _raw(
-        rows.withColumns({"title": title, "_seq": place}), by, seq=F.col("_seq").cast("bigint"), title=F.col("title"), url=F.col("url"),
-        desc=F.col("desc"), source_name="GitHub", source_type="github_repo", published_at_raw=F.col("published_at_raw"),
+        rows, by, seq=sequence(F.lit(0), F.col("_place")), title=F.col("title"), url=F.col("url"), desc=F.col("desc"), source_name="GitHub", source_type="github_repo", published_at_raw=F.col("published_at_raw"),
     )
 
 
