@@ -856,13 +856,72 @@ def _reports(s, sf, style=report.AI):
     return news, header, rows
 
 
-@register("coverage")
+def _keyed_sql(rows: str = "items") -> str:
+    """Items with what the ordered walks compare: title key, content key, provider and display rank."""
+    provider = "CASE " + " ".join(f"WHEN {has("lower(source_name || ' ' || title || ' ' || url)", t)} THEN {q(n)}" for n, t in lx.PROVIDER_KEYS) + " END"
+    return f"SELECT *, {_TKEY} AS t, {_CONTENT} AS ck, {provider} AS pk, {_SHOWN} AS shown FROM {rows}"
+
+
+def _case_sql(column: str, names) -> str:
+    return f"CASE {column} " + " ".join(f"WHEN {q(n)} THEN {i}" for i, n in enumerate(names)) + " END"
+
+
+_NEWEST = "published_at DESC NULLS LAST, seq"
+_MATCHES = "o.category = c.category AND (o.url = c.url OR (o.t <> '' AND o.t = c.t))"
+# `keyed` are the items, `own` the rows of a report; the walks carry lists of what they have seen
+_COVERAGE = f"""
+c_type AS (SELECT category, seq, {_case_sql('source_type', lx.REQUIRED_TYPES)} AS ask FROM (
+    SELECT *, row_number() OVER (PARTITION BY category, source_type ORDER BY {_NEWEST}) AS n FROM keyed WHERE source_type IN {lx.REQUIRED_TYPES}) c
+  WHERE n = 1 AND NOT EXISTS (SELECT 1 FROM own o WHERE o.category = c.category AND o.source_type = c.source_type)),
+c_official AS (SELECT category, seq, 10 + n AS ask FROM (SELECT *, row_number() OVER (PARTITION BY category ORDER BY {_NEWEST}) AS n FROM (
+    SELECT *, row_number() OVER (PARTITION BY category, lower(trim(source_name)) ORDER BY {_NEWEST}) AS m FROM keyed
+    WHERE source_type = 'official_news' AND trim(source_name) <> '') WHERE m = 1) c WHERE n <= 2 AND NOT EXISTS (SELECT 1 FROM own o WHERE {_MATCHES})),
+c_provider AS (SELECT category, seq, 20 + {_case_sql('pk', [n for n, _ in lx.PROVIDER_KEYS])} AS ask FROM (
+    SELECT *, row_number() OVER (PARTITION BY category, pk ORDER BY shown, {_NEWEST}) AS n FROM keyed WHERE pk IS NOT NULL) c
+  WHERE n = 1 AND NOT EXISTS (SELECT 1 FROM own o WHERE o.category = c.category AND o.pk = c.pk) AND NOT EXISTS (SELECT 1 FROM own o WHERE {_MATCHES})),
+asked AS (SELECT k.category, k.seq, url, t, row_number() OVER (PARTITION BY k.category ORDER BY ask DESC) AS n
+  FROM (SELECT * FROM c_type UNION ALL SELECT * FROM c_official UNION ALL SELECT * FROM c_provider) c JOIN keyed k ON k.seq = c.seq),
+put(category, n, us, ts, taken) AS (
+  SELECT category, 0, list(url), list(t), CAST([] AS BIGINT[]) FROM own GROUP BY category
+  UNION ALL SELECT p.category, p.n + 1, CASE WHEN k THEN us ELSE list_append(us, url) END, CASE WHEN k THEN ts ELSE list_append(ts, t) END,
+    CASE WHEN k THEN taken ELSE list_append(taken, seq) END
+  FROM (SELECT put.*, x.url, x.t, x.seq, list_contains(put.us, x.url) OR (x.t <> '' AND list_contains(put.ts, x.t)) AS k
+    FROM put JOIN asked x ON x.category = put.category AND x.n = put.n + 1) p),
+front AS (SELECT category, unnest(taken) AS seq, -unnest(range(1, len(taken) + 1)) AS place FROM (SELECT category, arg_max(taken, n) AS taken FROM put GROUP BY category)),
+line AS (SELECT *, row_number() OVER (PARTITION BY category ORDER BY place) AS m FROM (
+  SELECT k.category, k.seq, k.title, k.url, k.ck, k.source_name, k.source_type, k.shown, k.published_at, f.place, false AS is_own FROM front f JOIN keyed k ON k.seq = f.seq
+  UNION ALL SELECT category, seq, title, url, ck, source_name, source_type, shown, published_at, position, true FROM own)),
+told(category, m, cs, us, kept) AS (
+  SELECT DISTINCT category, CAST(0 AS BIGINT), CAST([] AS VARCHAR[]), CAST([] AS VARCHAR[]), CAST([] AS BIGINT[]) FROM own
+  UNION ALL SELECT p.category, p.m + 1, CASE WHEN k THEN list_append(cs, ck) ELSE cs END, CASE WHEN k THEN list_append(us, url) ELSE us END,
+    CASE WHEN k THEN list_append(kept, p.m + 1) ELSE kept END
+  FROM (SELECT told.*, x.ck, x.url, x.ck <> '' AND NOT list_contains(told.cs, x.ck) AND NOT list_contains(told.us, x.url) AS k
+    FROM told JOIN line x ON x.category = told.category AND x.m = told.m + 1) p),
+fin AS (SELECT l.*, row_number() OVER (PARTITION BY l.category ORDER BY shown, published_at DESC NULLS LAST, l.m) AS position
+  FROM line l JOIN (SELECT category, unnest(arg_max(kept, m)) AS m FROM told GROUP BY category) USING (category, m) QUALIFY position <= 12)"""
+
+
+def _hydrated_sql(rows: str) -> str:
+    """Rows with source type and date of the last item at their address, where their own say nothing."""
+    return f"""SELECT r.* REPLACE (CASE WHEN r.source_type IN ('', 'unknown') THEN coalesce(i.source_type, r.source_type) ELSE r.source_type END AS source_type,
+    CASE WHEN coalesce(r.published_at_raw, '') = '' THEN coalesce(i.published_at_raw, r.published_at_raw) ELSE r.published_at_raw END AS published_at_raw,
+    CASE WHEN coalesce(r.published_at_raw, '') = '' THEN coalesce(i.published_at, r.published_at) ELSE r.published_at END AS published_at)
+  FROM {rows} r JOIN (SELECT category, url, max(seq) AS last FROM items GROUP BY ALL) u USING (category, url) JOIN items i ON i.seq = u.last"""
+
+
+@register("coverage", f"""WITH RECURSIVE {ITEMS_SQL}, keyed AS ({_keyed_sql()}),
+own AS (SELECT *, row_number() OVER (PARTITION BY category ORDER BY seq) AS position FROM keyed QUALIFY position <= 12), {_COVERAGE}
+SELECT category AS report_id, position, title, source_type FROM fin""")
 def coverage(s, sf):
     news, _, rows = _reports(s, sf)
     return report.enforce_coverage(rows, news).select("report_id", "position", "title", "source_type")
 
 
-@register("post_process_ai")
+@register("post_process_ai", f"""{_BRIEF.replace('WITH ', 'WITH RECURSIVE ', 1)}, told_of AS (SELECT seq, {_AI_INSIGHT} AS insight FROM b), keyed AS ({_keyed_sql()}),
+first_rows AS (SELECT *, row_number() OVER (PARTITION BY category ORDER BY seq) AS position FROM keyed QUALIFY position <= 12),
+own AS (SELECT * REPLACE ({_SHOWN} AS shown) FROM ({_hydrated_sql('first_rows')})), {_COVERAGE},
+done AS (SELECT fin.*, insight FROM fin JOIN told_of USING (seq))
+SELECT category AS report_id, position, title, {_follow_sql(brief.AI_FOLLOW_UP_RULES)} AS insight FROM done""")
 def post_process_ai(s, sf):
     news, _, rows = _reports(s, sf)
     return report.post_process(rows, news, report.AI).select("report_id", "position", "title", "insight")
@@ -874,13 +933,16 @@ def _backfill_rows(s, sf):
     return news, rows
 
 
-@register("stock_backfill", f"""WITH RECURSIVE {ITEMS_SQL}, k AS (SELECT *, {_TKEY} AS t, row_number() OVER (PARTITION BY category ORDER BY seq) AS n FROM items),
+_BACKFILL = f"""k AS (SELECT *, {_TKEY} AS t, row_number() OVER (PARTITION BY category ORDER BY seq) AS n FROM items),
 o AS (SELECT *, row_number() OVER (PARTITION BY category ORDER BY published_at DESC NULLS LAST, seq) AS r FROM k i WHERE NOT EXISTS (
   SELECT 1 FROM k h WHERE h.n <= 2 AND h.category = i.category AND (h.url = i.url OR (h.t <> '' AND h.t = i.t)))),
 w AS (SELECT category, r, seq, 3 AS position, [url] AS us, [t] AS ts FROM o WHERE r = 1
   UNION ALL SELECT w.category, x.r, x.seq, w.position + 1, list_append(w.us, x.url), list_append(w.ts, x.t) FROM w, LATERAL (
     SELECT o.* FROM o WHERE o.category = w.category AND o.r > w.r AND NOT list_contains(w.us, o.url) AND (o.t = '' OR NOT list_contains(w.ts, o.t))
-    ORDER BY o.r LIMIT 1) x WHERE w.position < 7)
+    ORDER BY o.r LIMIT 1) x WHERE w.position < 7)"""
+
+
+@register("stock_backfill", f"""WITH RECURSIVE {ITEMS_SQL}, {_BACKFILL}
 SELECT category AS report_id, CAST(position AS BIGINT) AS position, seq FROM w""")
 def stock_backfill(s, sf):
     news, rows = _backfill_rows(s, sf)
@@ -888,7 +950,12 @@ def stock_backfill(s, sf):
     return sel.stock_backfill(rows, free, 7, ["report_id"], "rank").select("report_id", "position", "seq")
 
 
-@register("post_process_stock")
+@register("post_process_stock", f"""{_BRIEF.replace('WITH ', 'WITH RECURSIVE ', 1)}, told_of AS (SELECT seq, {_STOCK_INSIGHT} AS insight FROM b), {_BACKFILL},
+rows_ AS (SELECT i.*, n AS position, '來源屬於 ' || i.source_name || ' / ' || i.source_type || '。 目前是離線合成模式，建議將此則與最新財報、法說會或價格走勢交叉驗證。' AS insight
+    FROM items i JOIN k USING (seq) WHERE n <= 2
+  UNION ALL SELECT i.*, w.position, insight FROM w JOIN items i USING (seq) JOIN told_of USING (seq)),
+done AS ({_hydrated_sql('rows_')})
+SELECT category AS report_id, position, title, {_follow_sql(brief.STOCK_FOLLOW_UP_RULES)} AS insight FROM done""")
 def post_process_stock(s, sf):
     news, rows = _backfill_rows(s, sf)
     return report.post_process(rows, news, report.STOCK).select("report_id", "position", "title", "insight")
