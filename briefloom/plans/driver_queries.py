@@ -359,6 +359,33 @@ register("dedup_items_exact", _DEDUP + " SELECT seq, gk AS group_key, position F
 )
 
 
+# many rows share a long title, some of them also a release family: there the order of arrival decides which stories are one
+_STORY = "'GPT-5.' || (seq % 4) || ' explained, the long story number ' || (seq % 36)"
+_STORY_SOURCE = "CASE WHEN seq * 7 % 5 < 2 THEN 'OpenAI News' ELSE source_name END"
+_REPLAY = f"""WITH RECURSIVE {ITEMS_SQL}, n AS (SELECT * REPLACE ({_STORY} AS title, {_STORY_SOURCE} AS source_name) FROM items),
+x AS (SELECT seq, category, substr(regexp_replace(lower(title), '[^a-z0-9]+', '', 'g'), 1, 96) AS tk, CASE WHEN contains(lower(title || ' ' || source_name || ' ' || "desc" || ' ' || url), 'openai')
+    THEN 'release-family:openai-gpt-' || regexp_extract(lower(title), 'gpt-([0-9.]+)', 1) ELSE {_CONTENT} END AS key0,
+  lpad({in_case('source_type', lx.SOURCE_SCORE, 10)}::VARCHAR, 3, '0') || lpad(length("desc")::VARCHAR, 6, '0') || coalesce(published_at_raw, '') AS quality,
+  row_number() OVER (PARTITION BY category ORDER BY seq) AS i FROM n),
+w(category, i, named, best, owner, arrived) AS (
+  SELECT DISTINCT category, CAST(0 AS BIGINT), CAST(MAP {{}} AS MAP(VARCHAR, VARCHAR)), CAST(MAP {{}} AS MAP(VARCHAR, VARCHAR)), CAST(MAP {{}} AS MAP(VARCHAR, BIGINT)), CAST(MAP {{}} AS MAP(VARCHAR, BIGINT)) FROM x
+  UNION ALL
+  SELECT category, i, CASE WHEN wins AND length(tk) >= 24 THEN map_concat(named, MAP {{tk: key}}) ELSE named END, CASE WHEN wins THEN map_concat(best, MAP {{key: quality}}) ELSE best END,
+    CASE WHEN wins THEN map_concat(owner, MAP {{key: seq}}) ELSE owner END, CASE WHEN map_contains(arrived, key) THEN arrived ELSE map_concat(arrived, MAP {{key: seq}}) END
+  FROM (SELECT *, NOT map_contains(best, key) OR quality > map_extract_value(best, key) AS wins FROM (
+    SELECT x.*, named, best, owner, arrived, CASE WHEN length(tk) >= 24 AND map_contains(named, tk) THEN map_extract_value(named, tk) ELSE key0 END AS key
+    FROM w JOIN x ON x.category = w.category AND x.i = w.i + 1)))
+SELECT category, key AS group_key, map_extract_value(owner, key) AS seq, map_extract_value(arrived, key) AS position FROM (
+  SELECT category, owner, arrived, unnest(map_keys(owner)) AS key FROM (SELECT category, arg_max(owner, i) AS owner, arg_max(arrived, i) AS arrived FROM w GROUP BY category))"""
+
+
+@register("dedup_replay", _REPLAY)
+def dedup_replay(s, sf):
+    raw = it.trim_descriptions(raw_items(s, sf)).withColumns({"title": F.expr(_STORY), "source_name": F.expr(_STORY_SOURCE)})
+    out = dedup.dedup_items_exact(it.normalize_items(raw), ["category"])
+    return out.select("category", "group_key", "seq", "position")
+
+
 def _ranked(s, sf, limit=60):
     return dedup.deduplicate_and_rank(it.trim_descriptions(raw_items(s, sf)), L, limit)
 
