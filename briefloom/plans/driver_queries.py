@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from briefloom import lexicon as lx
@@ -1397,6 +1398,50 @@ def incremental_runs(s, sf):
     return s.read.option("basePath", f"{root}/fresh").parquet(f"{root}/fresh/epoch=*").select("category", "fingerprint")
 
 
+def _epochs_sql(runs_: int = 4, limit: int = 25) -> str:
+    """Run after run: what is active, the first unseen rows, what is remembered."""
+    parts = [f"""h0 AS (SELECT event_type AS category, CAST(user_id AS VARCHAR) AS fingerprint, CAST(-10 AS BIGINT) AS seen FROM events WHERE user_id % 7 = 0 GROUP BY ALL)"""]
+    for k in range(runs_):
+        parts.append(f"""a{k} AS (SELECT * FROM h{k} WHERE {10 * k} - seen <= 26),
+f{k} AS (SELECT {k} AS epoch, category, fingerprint, rank FROM (SELECT *, row_number() OVER (PARTITION BY category ORDER BY rank) AS n FROM (
+    SELECT event_type AS category, CAST(user_id AS VARCHAR) AS fingerprint, min(event_id) AS rank FROM events WHERE event_id % {runs_} = {k} GROUP BY ALL) i
+  WHERE NOT EXISTS (SELECT 1 FROM a{k} a WHERE a.category = i.category AND a.fingerprint = i.fingerprint)) WHERE n <= {limit}),
+h{k + 1} AS (SELECT * FROM a{k} UNION ALL SELECT category, fingerprint, {10 * k} FROM f{k})""")
+    return f"WITH {', '.join(parts)} {' UNION ALL '.join(f'SELECT * FROM f{k}' for k in range(runs_))}"
+
+
+@register("incremental_epochs", _epochs_sql())
+def incremental_epochs(s, sf):
+    """Four scheduled runs, ten hours apart, over a history which another job began; the third fails once and is repeated."""
+    root = f"{checkpoint_root(s)}/runs/{uuid.uuid4().hex}"
+    history = HistoryTable(s, f"{root}/history", buckets=8)
+    start = F.to_timestamp(F.lit("2024-02-01"))
+    rows = events(s, sf).select(c("event_type").alias("category"), c("user_id").cast("string").alias("fingerprint"), c("event_id").alias("rank"))
+    older = rows.filter(c("fingerprint").cast("long") % 7 == 0).select("category", "fingerprint").distinct()
+    history.write(older.withColumns({"seen_at": start - F.expr("INTERVAL 10 HOURS"), "pos": F.lit(0).cast("bigint")}))
+    broken = []
+    for k in range(4):
+        rows.filter(c("rank") % 4 == k).write.mode("append").parquet(f"{root}/landed")
+
+        def rank(batch, k=k):
+            if k == 2 and not broken:
+                broken.append(k)
+                raise RuntimeError("lost on the way")
+            return batch
+
+        clock = start + F.expr(f"INTERVAL {10 * k} HOURS")
+        for _ in range(2 if k == 2 else 1):
+            stream = s.readStream.schema(rows.schema).parquet(f"{root}/landed")
+            query = runs.start_runs(stream, rank, history, f"{root}/fresh", f"{root}/state", 25, lambda _, clock=clock: clock)
+            try:
+                query.awaitTermination()
+            except StreamingQueryException:
+                if k != 2:
+                    raise
+    found = s.read.option("basePath", f"{root}/fresh").parquet(f"{root}/fresh/epoch=*")
+    return found.select(c("epoch").cast("bigint").alias("epoch"), "category", "fingerprint", "rank")
+
+
 # === whole runs ===================================================================================================
 
 

@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
+import uuid
+from collections.abc import Callable
+
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from briefloom import schemas
 from briefloom.functions import dates
+from briefloom.functions.core import sql_string
 from briefloom.functions.text import safe_float
 
 _BUNDLE_QUOTE = "ARRAY<STRUCT<symbol: STRING, price: DOUBLE, change: STRING, range: STRING, open: DOUBLE, close: DOUBLE, source: STRING>>"
@@ -45,57 +51,132 @@ def repair_history(entries: DataFrame, now: Column) -> DataFrame:
     )
 
 
+class VersionTaken(RuntimeError):
+    """Another writer has published the version which would follow the one this writer started from."""
+
+
 class HistoryTable:
-    """History as numbered parquet versions under one folder; a version is written once and never changed.
+    """History as numbered parquet versions under one folder; a version is published at once and never changed.
 
-    A reader takes the newest complete version, so a lost job leaves the last good one in place. Writing a version
-    that exists does nothing, which makes a retried micro-batch safe.
+    A writer lays its rows down in a folder of its own, then moves it to the next number. Of two writers one gets the number; the other
+    one is told (`VersionTaken`), or takes the number after it where it does not say what it started from. Readers take the newest
+    version, so a lost job leaves the last good one in place. A `tag` names the work behind a version: writing a version whose tag is
+    there does nothing, which makes a retried micro-batch safe.
+
+    With `buckets` rows are laid out by (category, fingerprint), and the table is read with that layout: joins and aggregates on these
+    columns do not shuffle the history. Spark keeps layouts in its catalog, so each version read is an external table there.
     """
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
+    def __init__(self, spark: SparkSession, path: str, buckets: int | None = None):
+        self.spark, self.path, self.buckets = spark, path.rstrip("/"), buckets
+
+    def _hadoop(self, *parts: str):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path("/".join((self.path, *parts)))
+        return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
 
-    def _fs(self):
-        jvm = self.spark._jvm
-        root = jvm.org.apache.hadoop.fs.Path(self.path)
-        return root, root.getFileSystem(self.spark._jsc.hadoopConfiguration())
+    def _names(self, *parts: str) -> list[str]:
+        path, fs = self._hadoop(*parts)
+        return [s.getPath().getName() for s in fs.listStatus(path)] if fs.exists(path) else []
 
     def versions(self) -> list[int]:
-        root, fs = self._fs()
-        if not fs.exists(root):
-            return []
-        found = []
-        for status in fs.listStatus(root):
-            name = status.getPath().getName()
-            done = self.spark._jvm.org.apache.hadoop.fs.Path(status.getPath(), "_SUCCESS")
-            if name.startswith("version=") and fs.exists(done):
-                found.append(int(name.split("=", 1)[1]))
-        return sorted(found)
+        found = (n for n in self._names() if n.startswith("version=") and self._hadoop(n, "_SUCCESS")[1].exists(self._hadoop(n, "_SUCCESS")[0]))
+        return sorted(int(n.split("=", 1)[1]) for n in found)
+
+    def version_of(self, tag: str) -> int | None:
+        """The version which was written under this tag."""
+        return next((v for v in reversed(self.versions()) if f"_tag-{tag}" in self._names(f"version={v}")), None)
+
+    def _rows(self, version: int) -> DataFrame:
+        folder = f"{self.path}/version={version}"
+        # reads the footers of all files: a broken one is found here
+        found = self.spark.read.option("mergeSchema", "true").parquet(folder)
+        buckets = next((n.rsplit("-", 1)[1] for n in self._names(f"version={version}") if n.startswith("_buckets-")), None)
+        if buckets is None:
+            return found
+        name = f"briefloom_history_{hashlib.sha256(folder.encode()).hexdigest()[:24]}"
+        columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in found.schema.fields)
+        self.spark.sql(
+            f"CREATE TABLE IF NOT EXISTS {name} ({columns}) USING parquet OPTIONS (path {sql_string(folder)}) "
+            f"CLUSTERED BY (category, fingerprint) SORTED BY (category, fingerprint) INTO {buckets} BUCKETS"
+        )
+        return self.spark.table(name)
 
     def read(self, version: int | None = None, on_error: str = "raise") -> DataFrame:
-        """Newest version, or the newest one below `version`, repaired (`repair_history`). A missing table is empty.
+        """Newest version, or the newest one below `version`, repaired (`repair_history`): a time nobody can read is that of its version.
 
-        The footers of all files of a version are read first. If that fails it raises, or with `on_error="empty"` the version
-        before is taken, and without any the table is empty.
+        A missing table is empty. The footers of all files of a version are read first. If that fails it raises, or with
+        `on_error="empty"` the version before is taken, and without any the table is empty.
         """
         known = [v for v in self.versions() if version is None or v < version]
         for v in reversed(known):
             try:
-                found = self.spark.read.option("mergeSchema", "true").parquet(f"{self.path}/version={v}")
-                return repair_history(found, F.current_timestamp())
+                found = self._rows(v)
+                path, fs = self._hadoop(f"version={v}", "_SUCCESS")
+                written = fs.getFileStatus(path).getModificationTime()
+                return repair_history(found, F.timestamp_millis(F.lit(written)))
             except Exception:
                 if on_error != "empty":
                     raise
         return self.spark.createDataFrame([], schemas.HISTORY)
 
-    def write(self, history: DataFrame, version: int | None = None) -> int:
+    def write(self, history: DataFrame, version: int | None = None, *, after: int | None = None, tag: str | None = None) -> int:
+        """Publish rows and return their version.
+
+        `version` asks for a number; if it is there, or a version with the `tag`, nothing is written. `after` is the version these rows
+        were made from (-1: none): if another one was published since, nothing is and `VersionTaken` is raised.
+        """
+        if tag is not None and (done := self.version_of(tag)) is not None:
+            return done
+        if version is not None and version in self.versions():
+            return version
+        staged = f"staged-{uuid.uuid4().hex}"
+        rows = history.select("category", "fingerprint", "seen_at", "pos")
+        if self.buckets:
+            table = f"briefloom_{staged.replace('-', '_')}"
+            rows = rows.repartition(self.buckets, "category", "fingerprint")
+            rows.write.format("parquet").bucketBy(self.buckets, "category", "fingerprint").sortBy("category", "fingerprint").option(
+                "path", f"{self.path}/{staged}").saveAsTable(table)
+            self.spark.sql(f"DROP TABLE {table}")  # the files stay
+        else:
+            rows.write.parquet(f"{self.path}/{staged}")
+        for mark in ([f"_tag-{tag}"] if tag else []) + ([f"_buckets-{self.buckets}"] if self.buckets else []):
+            path, fs = self._hadoop(staged, mark)
+            fs.create(path, True).close()
+        return self._publish(staged, version, after)
+
+    def _publish(self, staged: str, version: int | None, after: int | None) -> int:
+        hadoop = self.spark._jvm.org.apache.hadoop.fs
+        source, fs = self._hadoop(staged)
+        context = hadoop.FileContext.getFileContext(source.toUri() if source.toUri().getScheme() else fs.getUri(), self.spark._jsc.hadoopConfiguration())
+        options = self.spark.sparkContext._gateway.new_array(self.spark._jvm.org.apache.hadoop.fs.Options.Rename, 0)
+        while True:
+            known = self.versions()
+            target = version if version is not None else (known[-1] if known else -1) + 1 if after is None else after + 1
+            try:
+                if known and after is not None and known[-1] > after:
+                    raise FileExistsError
+                context.rename(source, self._hadoop(f"version={target}")[0], options)
+                return target
+            except (FileExistsError, Py4JJavaError) as problem:
+                if isinstance(problem, Py4JJavaError) and "FileAlreadyExists" not in str(problem.java_exception) and target not in self.versions():
+                    raise
+                if version is not None or after is not None:
+                    fs.delete(source, True)
+                if version is not None:
+                    return version
+                if after is not None:
+                    raise VersionTaken(f"version {after + 1} of {self.path} was published by another writer") from None
+
+    def update(self, change: Callable[[DataFrame], DataFrame], attempts: int = 10) -> int:
+        """Replace the history by `change(history)`, again from the newest version where another writer was faster."""
+        for _ in range(attempts - 1):
+            known = self.versions()
+            try:
+                return self.write(change(self.read()), after=known[-1] if known else -1)
+            except VersionTaken:
+                continue
         known = self.versions()
-        version = (known[-1] + 1 if known else 0) if version is None else version
-        if version not in known:
-            history.select("category", "fingerprint", "seen_at", "pos").write.mode("overwrite").parquet(
-                f"{self.path}/version={version}"
-            )
-        return version
+        return self.write(change(self.read()), after=known[-1] if known else -1)
 
 
 def write_run(tables: dict[str, DataFrame], path: str, run_date: str) -> None:

@@ -1,3 +1,6 @@
+import io
+from concurrent.futures import ThreadPoolExecutor
+from contextlib import redirect_stdout
 from datetime import datetime, timedelta
 
 import pytest
@@ -5,7 +8,7 @@ from pyspark.sql import functions as F
 
 from briefloom import schemas
 from briefloom.operators import history as hist
-from briefloom.sources.tables import HistoryTable, repair_history
+from briefloom.sources.tables import HistoryTable, VersionTaken, repair_history
 
 NOW = datetime(2026, 4, 12, 12)
 now = lambda: F.lit(NOW).cast("timestamp")
@@ -66,3 +69,62 @@ def test_a_broken_version_falls_back_to_the_one_before(spark, tmp_path):
     with pytest.raises(Exception):
         table.read().count()
     assert [r.fingerprint for r in table.read(on_error="empty").collect()] == ["f1"]
+
+
+def test_of_two_writers_one_gets_the_version(spark, tmp_path):
+    table = HistoryTable(spark, str(tmp_path / "history"))
+    table.write(past(spark, a=1))
+    table.write(past(spark, b=1), after=0)
+    with pytest.raises(VersionTaken):
+        table.write(past(spark, c=1), after=0)  # made from version 0, which is not the newest any more
+    assert table.write(past(spark, d=1)) == 2 and table.versions() == [0, 1, 2]
+    raced = []
+
+    def change(history):
+        if not raced:  # another writer publishes while this one computes
+            raced.append(table.write(past(spark, e=1)))
+        return history.unionByName(past(spark, f=1))
+
+    assert table.update(change) == 4
+    assert {r.fingerprint for r in table.read().collect()} == {"e", "f"}
+    # work which is done is not done again, whatever was published since
+    assert table.write(past(spark, g=1), tag="run-1") == 5 and table.write(past(spark, h=1)) == 6
+    assert table.write(past(spark, i=1), tag="run-1") == 5 and table.versions()[-1] == 6
+    assert not [n for n in table._names() if n.startswith("staged")]
+
+
+def test_two_threads_publish_different_versions(spark, tmp_path):
+    table = HistoryTable(spark, str(tmp_path / "history"))
+    rows = [past(spark, **{f"k{i}": 1}) for i in range(6)]
+    with ThreadPoolExecutor(6) as pool:
+        got = list(pool.map(table.write, rows))
+    assert sorted(got) == list(range(6)) == table.versions()
+    assert {r.fingerprint for v in range(1, 7) for r in table.read(version=v).collect()} == {f"k{i}" for i in range(6)}
+
+
+def test_history_in_buckets_is_not_shuffled(spark, tmp_path):
+    table = HistoryTable(spark, str(tmp_path / "history"), buckets=4)
+    kind = F.when(F.col("id") % 2 == 0, "c").otherwise("d").alias("category")
+    entries = spark.range(500).select(kind, F.col("id").cast("string").alias("fingerprint"), now().alias("seen_at"), F.col("id").alias("pos"))
+    table.write(entries)
+    items = spark.range(400, 600).select(kind, F.col("id").cast("string").alias("fingerprint"), F.col("id").alias("rank"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        active = hist.active_history(table.read(), now(), cap=None)
+        out = hist.anti_history(items, active)
+        shown = io.StringIO()
+        with redirect_stdout(shown):
+            out.explain()
+        # the items go to the buckets; the history stays where it is
+        assert shown.getvalue().count("Exchange hashpartitioning") == 1 and out.count() == 100
+        fresh, _ = hist.filter_new(items, active, 10)
+        shown = io.StringIO()
+        with redirect_stdout(shown):
+            fresh.explain()
+        own = shown.getvalue().split("SortMergeJoin", 1)[1].split("\n")
+        history_side = own[next(i for i, line in enumerate(own) if "+- Sort" in line and ":" not in line.split("+-")[0]):]
+        assert "Bucketed: true" in "\n".join(history_side) and "Exchange" not in "\n".join(history_side)
+        assert sorted(r.rank for r in fresh.collect()) == list(range(500, 520))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
