@@ -32,8 +32,8 @@ MAGIC = b"IDPACK01"
 BLOCK = 1 << 14  # ids, a multiple of 64
 FILE_IDS = 1 << 24
 PART_BYTES = 64 << 20  # of text to a task
-_SLICE = 8 << 20
-_KNOWN = 1 << 19  # pieces remembered by a task
+_SLICE = 12 << 20
+_KNOWN = 1 << 20  # pieces remembered by a task
 _READ_IDS = 1 << 20
 _LIST = "part int, number int, name string, bits int, docs long, ids long, size long"
 
@@ -82,12 +82,13 @@ def place(path: str) -> tuple[pafs.FileSystem, str]:
 # --- encoding -----------------------------------------------------------------------------------------------------
 
 
-def piece_starts(data: np.ndarray) -> np.ndarray:
+def piece_starts(data: np.ndarray, signs: bool = True) -> np.ndarray:
     """Where texts may be cut without a change of their ids: before a blank, and before and after a line feed, between two visible
-    characters.
+    characters; and (`signs`) before an ASCII sign after an ASCII letter.
 
     The pre-tokenizer gives a blank before a word to that word, makes a lone line feed a piece, and has no piece with either after
-    something else. Visible are ASCII characters from `!` to `~` and code points whose first byte in UTF-8 starts no white space.
+    something else, or with a sign after a letter. Visible are ASCII characters from `!` to `~` and code points whose first byte in
+    UTF-8 starts no white space.
     """
     if len(data) < 3:
         return np.empty(0, np.int64)
@@ -99,7 +100,12 @@ def piece_starts(data: np.ndarray) -> np.ndarray:
     after = ascii_ | two | three  # this byte starts one
     alone = before[:-2] & after[2:]
     blank, line = np.flatnonzero(alone & (data[1:-1] == 32)) + 1, np.flatnonzero(alone & (data[1:-1] == 10)) + 1
-    return np.sort(np.concatenate([blank, line, line + 1]), kind="stable")
+    cuts = [blank, line, line + 1]
+    if signs:
+        letter = ((data | 32) >= 97) & ((data | 32) <= 122)
+        digit = (data >= 48) & (data <= 57)
+        cuts.append(np.flatnonzero(letter[:-1] & (ascii_ & ~letter & ~digit)[1:]) + 1)
+    return np.sort(np.concatenate(cuts), kind="stable")
 
 
 class Encoder:
@@ -111,6 +117,7 @@ class Encoder:
 
         self.model = Tokenizer.from_file(tokenizer)
         self.by_pieces = by_pieces
+        self.added = [t.content.encode() for t in self.model.get_added_tokens_decoder().values()]
         self.known: dict[bytes, bytes] = {}
 
     def _library(self, texts: list[bytes]) -> list[bytes]:
@@ -128,7 +135,7 @@ class Encoder:
             raise ValueError("a slice of texts holds over 2 GB")
         ends = np.cumsum([0, *map(len, texts)])
         # blanks and line feeds at the seam of two texts are no harm: a seam is a cut anyway
-        cuts = np.sort(np.concatenate([ends, piece_starts(np.frombuffer(buffer, np.uint8))]), kind="stable")
+        cuts = np.sort(np.concatenate([ends, piece_starts(np.frombuffer(buffer, np.uint8), not any(t in buffer for t in self.added))]), kind="stable")
         cuts = cuts[np.append(True, cuts[1:] > cuts[:-1])]
         pieces = pa.Array.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer(cuts.astype(np.int32)), pa.py_buffer(buffer)])
         coded = pieces.dictionary_encode()
@@ -224,6 +231,20 @@ class TokenFile:
         return self.documents(i, i + 1)
 
 
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[bytes]]]:
+    """Keys and texts of about _SLICE bytes at a time: a distinct piece costs the same in a slice of any size."""
+    keys, texts, size = [], [], 0
+    for batch, some in slices(batches, "text", _SLICE):
+        keys += batch.column("key").to_pylist()
+        texts += some
+        size += sum(map(len, some))
+        if size >= _SLICE:
+            yield keys, texts
+            keys, texts, size = [], [], 0
+    if keys:
+        yield keys, texts
+
+
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, vocabulary: int, end_id: int | None = 0, key: str = "doc_id", text: str = "text",
                  by_pieces: bool = True, part_bytes: int = PART_BYTES, file_ids: int = FILE_IDS) -> DataFrame:
     """Encode docs and write them to `path` in ascending key order; returns the list of files.
@@ -249,9 +270,9 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, vocabulary: int, en
             file.close()
             done.append((part, len(done), name, bits, len(file.keys), file.ids, file.size))
 
-        for batch, texts in slices(batches, "text", _SLICE):
+        for keys, texts in _gathered(batches):
             ids, counts = encode(texts)
-            keys, at = batch.column("key").to_pylist(), 0
+            at = 0
             for k, n in zip(keys, counts.tolist()):
                 own = ids[at:at + n]
                 at += n
