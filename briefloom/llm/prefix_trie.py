@@ -30,14 +30,21 @@ def _text(c: str) -> Column:
 
 
 def numbered_turns(conversations: DataFrame) -> DataFrame:
-    """conv_id, place (1, 2, …), content (a digest of role and text) and bytes (of the text): a slim row per turn."""
-    role, text = _text("role"), _text("text")
-    slim = conversations.filter("conv_id is not null").select(
-        F.col("conv_id").cast("long").alias("conv_id"), "turn", F.sha2(role, 256).alias("_r"),
-        F.sha2(F.concat(F.octet_length(role).cast("string"), F.lit(":"), role, text), 256).alias("content"), F.octet_length(text).cast("long").alias("bytes"),
+    """conv_id, place (1, 2, …), content (a digest of role and text) and bytes (of the text): a slim row per turn.
+
+    Only turns which share their number with another one of their conversation are sorted by role and text, so only these travel whole.
+    """
+    turns = conversations.filter("conv_id is not null").select(F.col("conv_id").cast("long").alias("conv_id"), "turn", _text("role").alias("role"), _text("text").alias("text"))
+    shared = stored(turns.groupBy("conv_id", "turn").count().filter("count > 1").select(F.struct("conv_id", "turn").alias("at"), F.lit(True).alias("tied")))
+    if shared.isEmpty():
+        turns = turns.withColumn("tied", F.lit(False))
+    else:
+        turns = lookup(turns.withColumn("at", F.struct("conv_id", "turn")), "at", shared)
+    slim = turns.select(
+        "conv_id", "turn", F.when(F.col("tied"), F.struct("role", "text")).alias("tie"),
+        F.sha2(F.concat(F.octet_length("role").cast("string"), F.lit(":"), "role", "text"), 256).alias("content"), F.octet_length("text").cast("long").alias("bytes"),
     )
-    # equal turns: any order which depends on their rows alone
-    placed = running(stored(slim), [F.col("turn"), F.col("_r"), F.col("content")], ("conv_id",))
+    placed = running(stored(slim), [F.col("turn"), F.col("tie")], ("conv_id",))
     return placed.select("conv_id", F.col("position").alias("place"), "content", "bytes")
 
 
