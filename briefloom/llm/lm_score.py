@@ -29,12 +29,14 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
-from briefloom.llm.common import WHITE, WordHasher, mix, slices, stored, words
+from briefloom.llm.common import WHITE, WordHasher, discard, mix, slices, stored, words
 
 END = 0x5851F42D4C957F2D  # the end of a text, as a word
 SMOOTH = 0.1
 BUCKET_BYTES = 24 << 20
 _COUNTED = "bucket long, codes binary, counts binary"
+_UNUSED = np.uint64(8)  # keys have 56 bits, at the top of 64: what a slice sends of one is its distance to the one before
+_KEPT = ~np.uint64((1 << 8) - 1)
 LEAST = 2  # n-grams counted less often are no arcs
 _SENT = "bucket long, slice long, keys binary, counts binary"
 _COUNTS = "slice long, bucket long, check long, counts binary, own binary, state binary"
@@ -72,7 +74,7 @@ def _tokens(texts: list[bytes], hasher: WordHasher) -> tuple[np.ndarray, np.ndar
     counts = np.diff(bounds)
     out = np.full(len(starts) + len(texts), END, np.uint64)
     out[np.arange(len(starts)) + np.repeat(np.arange(len(texts)), counts)] = hasher(buffer, starts, ends)
-    return out, bounds + np.arange(len(texts) + 1)
+    return out & _KEPT, bounds + np.arange(len(texts) + 1)
 
 
 def _numbers(tokens: np.ndarray, hashes: np.ndarray) -> np.ndarray:
@@ -260,7 +262,7 @@ def _backoffs(context: np.ndarray, chance: np.ndarray, shorter: np.ndarray) -> d
 
 def _join(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """Hash of an n-gram by the hashes of its first and its last n - 1 words."""
-    return mix(left * np.uint64(0x9E3779B97F4A7C15) + (right ^ (right >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93))
+    return mix(left * np.uint64(0x9E3779B97F4A7C15) + (right ^ (right >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)) & _KEPT
 
 
 def _planes(values: np.ndarray) -> bytes:
@@ -275,12 +277,12 @@ def _unplanes(data: bytes, kind: str, columns: int = 1) -> np.ndarray:
 
 
 def _steps(keys: np.ndarray) -> bytes:
-    """Sorted keys as the planes of their differences."""
-    return _planes(np.diff(keys, prepend=np.uint64(0)))
+    """Sorted keys as the planes of their differences, without the bits which no key has."""
+    return _planes(np.diff(keys, prepend=np.uint64(0)) >> _UNUSED)
 
 
 def _unsteps(data: bytes) -> np.ndarray:
-    return np.cumsum(_unplanes(data, "<u8"), dtype=np.uint64)
+    return np.cumsum(_unplanes(data, "<u8"), dtype=np.uint64) << _UNUSED
 
 
 def _pack(*parts: bytes) -> bytes:
@@ -458,6 +460,7 @@ def score(docs: DataFrame, train_on: Column, settings: Settings = Settings()) ->
 
     summed = _stored(docs.mapInArrow(send, _SENT).groupBy("bucket").applyInArrow(count, _COUNTS))
     passed = _stored(docs.mapInArrow(state, _COUNTS).unionByName(summed).groupBy("slice").applyInArrow(walk, _PASSED))
+    discard(summed)  # nothing reads it any more
 
     least = max(1.0, settings.word_share * total), max(1.0, settings.ngram_share * total)
 
