@@ -170,3 +170,22 @@ def safe_float(c: Column, default: Column | float = 0.0) -> Column:
     default = default if isinstance(default, Column) else F.lit(default)
     suffixed = F.coalesce(c.cast("string").rlike(r"^\s*[+-]?[0-9.]+(?:[eE][+-]?[0-9]+)?[dDfF]\s*$"), F.lit(False))
     return F.coalesce(F.when(~suffixed, c.try_cast("double")), default)
+
+
+def number_text(x: Column) -> Column:
+    """A double as its shortest decimal text, `.0` included: 1.0E7 is 10000000.0."""
+    plain = F.regexp_replace(x.cast("decimal(38,18)").cast("string"), r"(\.\d+?)0+$", "$1")
+    size = F.abs(x)
+    return F.when(F.contains(x.cast("string"), F.lit("E")) & (size >= 1e-4) & (size < 1e16), plain).otherwise(x.cast("string"))
+
+
+def value_text(v: Column) -> Column:
+    """A JSON value as the text it would be shown with; nothing is `None`."""
+    kind = F.schema_of_variant(v)
+    return (
+        F.when(v.isNull() | F.is_variant_null(v), "None")
+        .when(kind == "BOOLEAN", F.initcap(F.try_variant_get(v, "$", "string")))
+        .when(kind.startswith("DECIMAL") | kind.isin("DOUBLE", "FLOAT"), number_text(F.try_variant_get(v, "$", "double")))
+        .when(kind.isin("STRING", "BIGINT"), F.try_variant_get(v, "$", "string"))
+        .otherwise(F.to_json(v))
+    )

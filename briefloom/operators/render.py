@@ -9,6 +9,7 @@ from briefloom.functions import keys, score, text, urls
 from briefloom.operators import rank as rk
 from briefloom.operators.dedup import first_per_key
 from briefloom.operators.report import BY, ITEM_COLUMNS, Style
+from briefloom.schemas import RUN
 
 # Limits, colours and texts of both outputs.
 MESSAGE_ITEMS = 3
@@ -16,6 +17,7 @@ MESSAGE_LIMITS = {"summary": 220, "item_summary": 90, "item_insight": 110, "outl
 COLORS = {"ai": 0x3498DB, "stock": 0x2ECC71}
 LINE = "----------------"
 NO_QUOTES = "本輪未取得資料"
+LINK_TEXT = "🔗 查看原文"
 MAX_BLOCKS = 100
 SNIPPET = 180
 
@@ -145,6 +147,17 @@ def _appendix_key() -> list[Column]:
     return [F.when(c("is_primary"), F.lit(0)).otherwise(v) for v in values]
 
 
+def text_runs(body: Column, link: Column | None = None) -> Column:
+    """The rich text of a block: its text, where there is some, then the run of its link."""
+    def run(shown: Column, address: Column, marked: bool) -> Column:
+        color = F.lit("blue" if marked else None).cast("string")
+        return F.struct(shown.alias("text"), address.cast("string").alias("link"), F.lit(marked).alias("bold"), F.lit(marked).alias("italic"), color.alias("color"))
+
+    own = F.when(F.coalesce(body, F.lit("")) != "", run(body, F.lit(None), False))
+    linked = F.lit(None).cast(RUN) if link is None else F.when(link.isNotNull(), run(F.lit(LINK_TEXT), link, True))
+    return F.array_compact(F.array(own, linked))
+
+
 def item_blocks(background: str) -> Column:
     """Blocks of one row: heading, then source line, summary and call-out where there is something to say."""
     c = F.col
@@ -162,7 +175,7 @@ def item_blocks(background: str) -> Column:
         nothing = F.lit(None).cast("string")
         return F.struct(
             F.lit(kind).alias("type"), F.lit(color).cast("string").alias("color"), body.alias("text"),
-            (nothing if link is None else link).alias("link"),
+            (nothing if link is None else link).alias("link"), text_runs(body, link).alias("runs"),
         )
 
     callout = "blue_background" if "blue" in background else "gray_background"
@@ -198,7 +211,10 @@ def render_blocks(reports: DataFrame, rows: DataFrame, style: Style) -> DataFram
     )
 
     def fixed(kind: str, body_: Column, color: Column, keep: Column) -> Column:
-        return F.when(keep, F.struct(F.lit(kind).alias("type"), color.cast("string").alias("color"), body_.cast("string").alias("text")))
+        return F.when(keep, F.struct(
+            F.lit(kind).alias("type"), color.cast("string").alias("color"), body_.cast("string").alias("text"),
+            F.lit(None).cast("string").alias("link"), text_runs(body_.cast("string")).alias("runs"),
+        ))
 
     none, always = F.lit(None), F.lit(True)
     head = F.array_compact(
@@ -217,9 +233,9 @@ def render_blocks(reports: DataFrame, rows: DataFrame, style: Style) -> DataFram
 
     def frame(part: int, blocks: Column) -> DataFrame:
         return reports.select(*BY, F.lit(part).alias("_part"), F.lit(0).alias("shown"), F.posexplode(blocks).alias("_i", "_b")).select(
-            *BY, "_part", "shown", "_i", "_b.*", F.lit(None).cast("string").alias("link")
+            *BY, "_part", "shown", "_i", "_b.*"
         )
 
     union = frame(0, head).unionByName(body).unionByName(frame(2, tail))
     order = Window.partitionBy(*BY).orderBy("_part", "shown", "_i")
-    return union.withColumn("pos", F.row_number().over(order)).select(*BY, "pos", "type", "color", "text", "link")
+    return union.withColumn("pos", F.row_number().over(order)).select(*BY, "pos", "type", "color", "text", "link", "runs")

@@ -117,7 +117,11 @@ def brief_rows(items: DataFrame, style: Style) -> DataFrame:
 
 
 def _quote_moves(quotes: DataFrame) -> DataFrame:
-    move = F.format_string("%s %s (%s)", F.col("symbol"), F.col("price").cast("string"), F.format_string("%+.2f", "change"))
+    # quotes which were read keep their own texts; computed ones have two places of change
+    own = {c: F.col(c) if c in quotes.columns else F.lit(None).cast("string") for c in ("price_text", "change_text")}
+    price = F.coalesce(own["price_text"], text.number_text(F.col("price").cast("double")), F.lit("None"))
+    change = F.coalesce(own["change_text"], F.when(F.col("change").isNotNull(), F.format_string("%+.2f", F.col("change").cast("double"))), F.lit("None"))
+    move = F.format_string("%s %s (%s)", F.coalesce("symbol", F.lit("None")), price, change)
     listed = F.array_sort(F.collect_list(F.struct("seq", move.alias("t"))))
     return quotes.groupBy(*BY).agg(F.array_join(listed["t"], "; ").alias("_moves"))
 
@@ -187,7 +191,7 @@ def prompt_requests(items: DataFrame, style: Style, quotes: DataFrame | None = N
     out = first.groupBy(*BY).agg(news.alias("news"))
     parts = [F.lit(style.task).alias("task"), F.lit("zh-TW").alias("language")]
     if style.kind == "stock" and quotes is not None:
-        cols = [c for c in quotes.columns if c not in ("report_id", "seq", "market")]
+        cols = [c for c in quotes.columns if c not in ("report_id", "seq", "market", "price_text", "change_text")]
         stocks = F.array_sort(F.collect_list(F.struct("seq", F.struct(*cols).alias("q"))))["q"]
         out = out.join(quotes.groupBy(*BY).agg(stocks.alias("stocks")), BY, "left")
         parts.append(F.col("stocks"))

@@ -17,7 +17,7 @@ from briefloom.plans.driver_views import (
 )
 from briefloom.session import checkpoint_root
 from briefloom.sources import html, pages, payloads, quotes as qt
-from briefloom.sources.tables import HistoryTable, write_run
+from briefloom.sources.tables import HistoryTable, read_bundles, write_run
 from briefloom.streaming import dedup as sd, runs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -674,6 +674,30 @@ def run_output(s, sf):
     return found.groupBy("category").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("title").alias("titles"))
 
 
+@register("bundle_items", """SELECT 'run-' || doc_id AS run_id, split_part(text, chr(10), 1) AS title, CASE WHEN doc_id % 3 = 0 THEN lang || ',' || source END AS tags,
+  CASE WHEN doc_id % 2 = 0 THEN 'token' END AS keyword_match, doc_id % 5 = 0 AS signal, 'k' || (doc_id % 11) AS more, NULL AS rejected FROM documents
+UNION ALL SELECT 'run-' || doc_id, NULL, NULL, NULL, NULL, NULL, '{"run_id": "run-' || doc_id || '", "ai_news": [' FROM documents WHERE doc_id % 50 = 7""")
+def bundle_items(s, sf):
+    """A landed bundle per document, some of them cut off, read back: items with their tags and metadata, and the rejects."""
+    n = c("doc_id")
+    more = F.to_json(F.struct(F.when(n % 2 == 0, "token").alias("keyword_match"), (n % 5 == 0).alias("recent_feature_signal"), _text("k", n % 11).alias("other")))
+    story = F.struct(
+        _line().alias("title"), F.when(n % 3 == 0, F.to_json(F.array("lang", "source"))).otherwise(F.when(n % 3 == 1, '"no list"')).alias("tags"), more.alias("metadata"))
+    whole = F.to_json(F.struct(_text("run-", n).alias("run_id"), F.array(F.struct(story["title"].alias("title"), F.parse_json(story["tags"]).alias("tags"), F.parse_json(story["metadata"]).alias("metadata"))).alias("ai_news")))
+    cut = F.when(n % 50 == 7, _text('{"run_id": "run-', n, '", "ai_news": ['))
+    docs = spread(table(s, sf, "documents").select("doc_id", "text", "lang", "source"), "doc_id")
+    path = f"{checkpoint_root(s)}/bundles-{uuid.uuid4().hex}"
+    docs.select(F.explode(F.array_compact(F.array(whole, cut))).alias("value")).write.text(path)
+    found = read_bundles(s, path, lines=True)
+    items_ = found.items.select(
+        "run_id", "title", F.array_join("tags", ",").alias("tags"), "keyword_match", c("recent_feature_signal").alias("signal"),
+        F.try_variant_get("metadata", "$.other", "string").alias("more"), F.lit(None).cast("string").alias("rejected"),
+    )
+    nothing = {name: F.lit(None).cast(kind) for name, kind in (("title", "string"), ("tags", "string"), ("keyword_match", "string"), ("signal", "boolean"), ("more", "string"))}
+    rejected = found.rejects.select(F.regexp_extract("text", r"run-\d+", 0).alias("run_id"), *[v.alias(k) for k, v in nothing.items()], c("text").alias("rejected"))
+    return items_.unionByName(rejected)
+
+
 @register("history_active", f"""WITH {_EV} SELECT category, fingerprint, pos FROM (SELECT *, row_number() OVER (PARTITION BY category
   ORDER BY seen_at DESC, pos DESC, fingerprint) AS n FROM a) WHERE n <= 2000""")
 def history_active(s, sf):

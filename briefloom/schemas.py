@@ -36,4 +36,6 @@ HISTORY = ("category STRING, fingerprint STRING, seen_at TIMESTAMP, pos BIGINT")
 
 MESSAGE = ("report_id STRING, title STRING, description STRING, color INT")
 
-BLOCK = ("report_id STRING, pos INT, type STRING, color STRING, text STRING, link STRING")
+# A block's text with its parts: plain text, then the link with its marks.
+RUN = "STRUCT<text: STRING, link: STRING, bold: BOOLEAN, italic: BOOLEAN, color: STRING>"
+BLOCK = f"report_id STRING, pos INT, type STRING, color STRING, text STRING, link STRING, runs ARRAY<{RUN}>"

@@ -12,7 +12,7 @@ from briefloom.functions import dates, text, urls
 from briefloom.functions.text import cut
 from briefloom.operators.dedup import first_per_key
 from briefloom.operators.order import sequence
-from briefloom.sources.payloads import _raw
+from briefloom.sources.payloads import _raw, official_feed
 
 PAGE = ["page_id"]
 _DEFAULT_LIMIT = 4
@@ -79,6 +79,28 @@ def listing_anchors(nodes: DataFrame, sources: DataFrame, limit: int = _DEFAULT_
     return _official(rows, F.col("_n"), F.col("text"), F.col("link"), desc)
 
 
+def listings_or_feeds(
+    nodes: DataFrame, sources: DataFrame, feeds: DataFrame, limit: int = _DEFAULT_LIMIT, landed: DataFrame | None = None
+) -> DataFrame:
+    """Links of listing pages, and entries of the fallback feed for sources whose page did not land.
+
+    `sources` may also have fallback_feed_url, fallback_feed_source_name and fallback_feed_keywords; name and keywords stand in for the
+    last two. `feeds`: landed feed payloads by `source_id`, the address of the feed. `landed`: the addresses of landed pages (`url`);
+    without it they are those with nodes. A page without any link has landed all the same, so name the pages where that may be.
+    """
+    rows = listing_anchors(nodes, sources, limit)
+    found = (nodes if landed is None else landed).select("url").distinct()
+    optional = {"fallback_feed_source_name": "string", "fallback_feed_keywords": "array<string>"}
+    for name, kind in optional.items():
+        if name not in sources.columns:
+            sources = sources.withColumn(name, F.lit(None).cast(kind))
+    absent = sources.join(found, "url", "left_anti").filter(F.coalesce("fallback_feed_url", F.lit("")) != "").select(
+        F.col("fallback_feed_url").alias("source_id"), F.coalesce("fallback_feed_source_name", "name").alias("name"),
+        F.coalesce("fallback_feed_keywords", "keywords").alias("keywords"),
+    )
+    return rows.unionByName(official_feed(feeds, absent, limit), allowMissingColumns=True)
+
+
 def _longest(rows: DataFrame) -> DataFrame:
     """Longest description per page and address, earliest on ties; `first` is where the address first came up."""
     place = F.struct("pass", "node_pos")

@@ -194,7 +194,10 @@ def repo_releases(raw: DataFrame, per_repo: int = 1, by: Sequence[str] = ()) ->
 
 # --- feeds --------------------------------------------------------------------------------------------------------
 
-_RSS = "channel STRUCT<item: ARRAY<STRUCT<title: STRING, link: STRING, description: STRING, pubDate: STRING>>>"
+_RSS_ITEM = "ARRAY<STRUCT<title: STRING, link: STRING, description: STRING, encoded: STRING, pubDate: STRING, date: STRING>>"
+# RDF feeds have their items beside the channel
+_RSS = f"channel STRUCT<item: {_RSS_ITEM}>, item {_RSS_ITEM}"
+_XML = {"ignoreNamespace": "true"}
 _ATOM = (
     "entry ARRAY<STRUCT<title: STRING, id: STRING, summary: STRING, content: STRING, published: STRING, updated: STRING, "
     "link: ARRAY<STRUCT<_href: STRING, _rel: STRING>>, author: ARRAY<STRUCT<name: STRING>>>>"
@@ -202,11 +205,16 @@ _ATOM = (
 
 
 def feed_entries(raw: DataFrame, first: int | None = None) -> DataFrame:
-    """RSS or Atom payloads to entries (title, link, summary, published, updated); optionally only the first ones."""
+    """RSS, RDF or Atom payloads to entries (title, link, summary, published, updated); optionally only the first ones.
+
+    Without a description the encoded content stands for it, without a publication date the Dublin Core one.
+    """
+    parsed = F.from_xml("payload", _RSS, _XML)
     rss = F.transform(
-        F.from_xml("payload", _RSS)["channel"]["item"],
+        F.coalesce(parsed["channel"]["item"], parsed["item"]),
         lambda i: F.struct(
-            i["title"].alias("title"), i["link"].alias("link"), i["description"].alias("summary"), i["pubDate"].alias("published"),
+            i["title"].alias("title"), i["link"].alias("link"), F.coalesce(i["description"], i["encoded"]).alias("summary"),
+            F.coalesce(i["pubDate"], i["date"]).alias("published"),
             F.lit(None).cast("string").alias("updated"),
         ),
     )

@@ -5,6 +5,8 @@ from __future__ import annotations
 import hashlib
 import uuid
 from collections.abc import Callable
+from dataclasses import dataclass
+from functools import reduce
 
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -12,34 +14,66 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from briefloom import schemas
 from briefloom.functions import dates
 from briefloom.functions.core import sql_string
-from briefloom.functions.text import safe_float
+from briefloom.functions.text import value_text
 
-_BUNDLE_QUOTE = "ARRAY<STRUCT<symbol: STRING, price: DOUBLE, change: STRING, range: STRING, open: DOUBLE, close: DOUBLE, source: STRING>>"
+_BUNDLE_QUOTE = "ARRAY<STRUCT<symbol: STRING, price: VARIANT, change: VARIANT, range: STRING, open: DOUBLE, close: DOUBLE, source: STRING>>"
 _BUNDLE_ITEM = (
-    "ARRAY<STRUCT<title: STRING, url: STRING, `desc`: STRING, source_name: STRING, source_type: STRING, published_at: STRING>>"
+    "ARRAY<STRUCT<title: STRING, url: STRING, `desc`: STRING, source_name: STRING, source_type: STRING, published_at: STRING, "
+    "tags: VARIANT, metadata: VARIANT>>"
 )
+_CORRUPT = "_corrupt_record"
+
+
+@dataclass(frozen=True)
+class Bundles:
+    """Landed bundles. `rejects`: run_id and text of those which are no JSON object of this shape."""
+
+    items: DataFrame
+    quotes: DataFrame
+    rejects: DataFrame
+
+
+def read_bundles(spark: SparkSession, path: str, *, lines: bool = False) -> Bundles:
+    """JSON bundles to raw items with `category`, quotes with `market`, and what could not be read.
+
+    One object per file, which names the run; with `lines` one object per line, which has a `run_id` of its own. Tags may be any JSON;
+    only lists of them count. Of the metadata the fields which later rules ask for become columns, the rest stays as `metadata`, a
+    VARIANT. Price and change keep their texts (`price_text`, `change_text`) beside the numbers; what is no number gives NULL.
+    """
+    schema = (
+        f"run_id STRING, us_stocks {_BUNDLE_QUOTE}, tw_stocks {_BUNDLE_QUOTE}, stock_news {_BUNDLE_ITEM}, ai_news {_BUNDLE_ITEM}, {_CORRUPT} STRING"
+    )
+    # parsed as an expression, as readers refuse to show broken records alone
+    texts = spark.read.text(path, wholetext=not lines).select(F.input_file_name().alias("_file"), "value")
+    parsed = texts.withColumn("_p", F.from_json("value", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _CORRUPT}))
+    read = F.col("_p").isNotNull() & F.col(f"_p.{_CORRUPT}").isNull()
+    run_id = F.col("_p.run_id") if lines else F.col("_file")
+    good = parsed.filter(read).select(run_id.alias("run_id"), "_p.us_stocks", "_p.tw_stocks", "_p.stock_news", "_p.ai_news")
+
+    def each(columns: dict[str, str], name: str) -> DataFrame:
+        parts = [good.select("run_id", F.lit(value).alias(name), F.posexplode(column).alias("pos", "e")) for column, value in columns.items()]
+        return reduce(DataFrame.unionByName, parts).select("run_id", name, F.col("pos").cast("bigint").alias("seq"), "e.*")
+
+    tags = F.when(F.schema_of_variant("tags").startswith("ARRAY"), F.array_compact(F.try_variant_get("tags", "$", "array<string>")))
+    items = each({"stock_news": "stock_news", "ai_news": "ai_news"}, "category").select(
+        "run_id", "category", "seq", "title", "url", "desc", "source_name", "source_type", F.col("published_at").alias("published_at_raw"),
+        tags.alias("tags"), F.try_variant_get("metadata", "$.keyword_match", "string").alias("keyword_match"),
+        F.try_variant_get("metadata", "$.recent_feature_signal", "boolean").alias("recent_feature_signal"), "metadata",
+    )
+    span = F.split("range", "-", 2)
+    quotes = each({"us_stocks": "us", "tw_stocks": "tw"}, "market").select(
+        "run_id", "market", "seq", "symbol", F.try_variant_get("price", "$", "double").alias("price"), value_text(F.col("price")).alias("price_text"),
+        value_text(F.col("change")).try_cast("double").alias("change"), value_text(F.col("change")).alias("change_text"),
+        F.get(span, F.lit(0)).try_cast("double").alias("low"), F.get(span, F.lit(1)).try_cast("double").alias("high"), "open", "close", "source",
+    )
+    rejects = parsed.filter(~read).select(run_id.alias("run_id"), F.col("value").alias("text"))
+    return Bundles(items, quotes, rejects)
 
 
 def read_bundle(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """JSON bundles (one object per file) to raw items with `category`, and quotes with `market`; `run_id` is the file."""
-    schema = f"us_stocks {_BUNDLE_QUOTE}, tw_stocks {_BUNDLE_QUOTE}, stock_news {_BUNDLE_ITEM}, ai_news {_BUNDLE_ITEM}"
-    runs = spark.read.schema(schema).json(path, multiLine=True).withColumn("run_id", F.input_file_name())
-    items, quotes = None, None
-    for category in ("stock_news", "ai_news"):
-        part = runs.select("run_id", F.lit(category).alias("category"), F.posexplode(category).alias("pos", "e")).select(
-            "run_id", "category", F.col("pos").cast("bigint").alias("seq"), "e.title", "e.url", "e.desc", "e.source_name",
-            "e.source_type", F.col("e.published_at").alias("published_at_raw"),
-        )
-        items = part if items is None else items.unionByName(part)
-    span = F.split("e.range", "-", 2)
-    for market in ("us", "tw"):
-        part = runs.select("run_id", F.lit(market).alias("market"), F.posexplode(f"{market}_stocks").alias("pos", "e")).select(
-            "run_id", "market", F.col("pos").cast("bigint").alias("seq"), "e.symbol", "e.price",
-            safe_float(F.col("e.change")).alias("change"), F.get(span, F.lit(0)).try_cast("double").alias("low"),
-            F.get(span, F.lit(1)).try_cast("double").alias("high"), "e.open", "e.close", "e.source",
-        )
-        quotes = part if quotes is None else quotes.unionByName(part)
-    return items, quotes
+    """Items and quotes of JSON bundles, one per file; files which cannot be read are left out (`read_bundles` has them)."""
+    found = read_bundles(spark, path)
+    return found.items.drop("metadata"), found.quotes
 
 
 def repair_history(entries: DataFrame, now: Column) -> DataFrame:
