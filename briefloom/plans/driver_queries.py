@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
@@ -15,8 +16,8 @@ from briefloom.operators import select as sel
 from briefloom.plans.driver_views import (
     ITEMS_SQL, RAW_SQL, TERMS, TRIM, TYPES, canon, events, has, in_case, items, norm, q, raw_items, rstrip, spread, stamp, table,
 )
-from briefloom.session import checkpoint_root
-from briefloom.sources import html, pages, payloads, quotes as qt
+from briefloom.session import checkpoint_root, durable
+from briefloom.sources import html, nodes, pages, payloads, quotes as qt
 from briefloom.sources.tables import HistoryTable, read_bundles, write_run
 from briefloom.streaming import dedup as sd, runs
 
@@ -1149,6 +1150,26 @@ def resolved_links(s, sf):
     return nodes.groupBy("page_id", urls.resolve_url(c("url"), c("href")).alias("link")).agg(F.count(F.lit(1)).alias("n"))
 
 
+_BARE = r"regexp_replace(html, '(?s)<script.*?</script>|<style.*?</style>|<!--.*?-->|<!DOCTYPE[^>]*>', chr(1), 'g')"
+
+
+@register("page_nodes", rf"""WITH b AS (SELECT page_id, {_BARE} AS x, html FROM pages),
+tags AS (SELECT page_id, unnest(regexp_extract_all(regexp_replace(html, '(?s)(<script[^>]*>).*?</script>|(<style[^>]*>).*?</style>|<!--.*?-->|<!DOCTYPE[^>]*>', '\1\2', 'g'), '<([a-z0-9]+)', 1)) AS tag FROM b),
+texts AS (SELECT page_id, len([p FOR p IN string_split(regexp_replace(x, '<[^>]+>', chr(1), 'g'), chr(1)) IF trim(p, ' ' || chr(10) || chr(9) || chr(13)) <> '']) AS n FROM b)
+SELECT page_id, tag, count(*) AS n, NULL AS first FROM tags GROUP BY 1, 2 UNION ALL SELECT page_id, '(text)', n, 0 FROM texts WHERE n > 0
+UNION ALL SELECT page_id, '(in nav)', len(regexp_extract_all(regexp_extract(html, '(?s)<nav>(.*?)</nav>', 1), '<a ')), NULL FROM pages WHERE contains(html, '<nav>')""")
+def page_nodes(s, sf):
+    """Elements and texts of each page by tag, and the links within its navigation."""
+    table_ = durable(nodes.node_table(_pages(s, sf)))
+    elements = table_.filter("tag IS NOT NULL AND parent IS NOT NULL").groupBy("page_id", "tag").agg(F.count(F.lit(1)).alias("n"))
+    texts = table_.filter("tag IS NULL").groupBy("page_id").agg(F.count(F.lit(1)).alias("n")).withColumn("tag", F.lit("(text)"))
+    inside = nodes.within(table_.filter("tag = 'a'").select("page_id", "pre", "last"), table_.filter("tag = 'nav'").select("page_id", "pre", "last"), "nav")
+    inside = inside.groupBy("page_id").agg(F.count(F.lit(1)).alias("n")).withColumn("tag", F.lit("(in nav)"))
+    none = F.lit(None).cast("long")
+    return reduce(lambda a, b: a.unionByName(b), [
+        elements.withColumn("first", none), texts.withColumn("first", F.lit(0).cast("long")), inside.withColumn("first", none)])
+
+
 _EVENT_PAGE = "https://notes.example.com/log"
 
 
@@ -1200,6 +1221,19 @@ def dated_sections(s, sf):
     return out.select("page_id", "url", "title", c("published_at_raw").alias("published"))
 
 
+@register("section_bullets", f"""SELECT event_id AS page_id, '/docs/' || event_id AS href, 'd' || event_id AS heading_id, strftime(ts, '%B %-d, %Y') AS heading_text, 'Now with ' || event_type || ' tool' AS text FROM events
+UNION ALL SELECT event_id, NULL, 'd' || event_id, strftime(ts, '%B %-d, %Y'), 'Minor cleanup' FROM events""")
+def section_bullets(s, sf):
+    """Bullets below headings, from the node table of one small page per event; other lists do not count."""
+    n, kind = c("event_id"), c("event_type")
+    body = _text(
+        "<ul><li>before any heading</li></ul><h3 id='d", n, "'>", F.date_format("ts", "MMMM d, yyyy"), "</h3><p>text</p><ul><li>Now with <a href='/docs/", n, "'>", kind,
+        "</a> tool</li></ul><div><ol><li>no sibling of the heading</li></ol></div><ol><li>Minor <b>cleanup</b></li></ol>",
+    )
+    found = nodes.section_bullets(durable(nodes.node_table(_event_pages(s, sf, body))))
+    return found.select("page_id", "href", "heading_id", "heading_text", "text")
+
+
 @register("release_notes", f"""SELECT event_id AS page_id, 'https://hint.example.com/' AS url, '[Official] Notes 2.1.' || event_id || ': New ' || event_type || ' mode' AS title,
   strftime(ts, '%Y-%m-%dT00:00:00+00:00') AS published FROM events WHERE {_KEPT} UNION ALL
 SELECT event_id, '{_EVENT_PAGE}#v' || event_id, '[Official] Notes 2.1.' || event_id || ': All about ' || event_type,
