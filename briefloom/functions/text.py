@@ -21,6 +21,9 @@ _OPEN_NAMES = tuple(sorted(k for k in html5 if not k.endswith(";")))
 # Code points 80 to 9F stand for the characters of code page 1252 where it has one.
 _PAGE_1252 = tuple(bytes([n]).decode("cp1252", "replace").replace("\ufffd", chr(n)) for n in range(0x80, 0xA0))
 
+# Every character which is white space; trimmed as a set, which looks at the ends of a text only.
+WHITE_SPACE = "".join(map(chr, (*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
+
 
 def text_or_empty(c: Column) -> Column:
     return F.coalesce(c, F.lit(""))
@@ -32,11 +35,11 @@ def normalize_text(c: Column) -> Column:
 
 
 def strip_text(c: Column) -> Column:
-    return F.regexp_replace(text_or_empty(c), r"(?U)^[\s\x1C-\x1F]+|[\s\x1C-\x1F]+$", "")
+    return F.trim(text_or_empty(c), F.lit(WHITE_SPACE))
 
 
 def rstrip_text(c: Column) -> Column:
-    return F.regexp_replace(c, r"(?U)[\s\x1C-\x1F]+$", "")
+    return F.rtrim(c, F.lit(WHITE_SPACE))
 
 
 def cut(c: Column, n: int) -> Column:

@@ -203,7 +203,7 @@ def prompt_requests(items: DataFrame, style: Style, quotes: DataFrame | None = N
 
 
 def _stripped_sql(x: str) -> str:
-    return rf"regexp_replace(coalesce({x}, ''), r'(?U)^[\s\x1C-\x1F]+|[\s\x1C-\x1F]+$', '')"
+    return f"trim(BOTH {sql_string(text.WHITE_SPACE)} FROM coalesce({x}, ''))"
 
 
 def _leaf_text_sql(v: str, default: str) -> str:
@@ -232,8 +232,9 @@ def _text_sql(v: str) -> str:
         f"aggregate(sequence(1, {depth}), array({v}), (acc, i) -> flatten(transform(acc, y -> "
         f"if(y IS NOT NULL AND {is_list}, try_variant_get(y, '$', 'array<variant>'), array(y)))))"
     )
+    # a leaf has no white space at its ends, nor have leaves joined by blanks
     leaves = f"if(startswith(schema_of_variant({v}), 'ARRAY'), {flat}, array({v}))"
-    return _stripped_sql(f"array_join(filter(transform({leaves}, z -> {_leaf_text_sql('z', '')}), p -> p <> ''), ' ')")
+    return f"array_join(filter(transform({leaves}, z -> {_leaf_text_sql('z', '')}), p -> p <> ''), ' ')"
 
 
 def safe_text(v: Column, default: str = "") -> Column:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from briefloom import lexicon as lx
 from briefloom.functions import brief, dates, keys, score, text, urls
-from briefloom.operators import aggregates, dedup, history as hist, items as it, joins, rank as rk, render, report
+from briefloom.operators import aggregates, dedup, history as hist, items as it, joins, order, rank as rk, render, report
 from briefloom.operators import select as sel
 from briefloom.plans.driver_views import (
     ITEMS_SQL, RAW_SQL, TERMS, TRIM, TYPES, canon, events, has, in_case, items, norm, q, raw_items, rstrip, spread, stamp, table,
@@ -576,6 +576,18 @@ def union_sources(s, sf):
     return out.select((F.shiftleft(c("seq.source")[0].cast("bigint"), 56) + c("seq.pos")).alias("seq"), "origin")
 
 
+register("placed_items", """SELECT doc_id, row_number() OVER (ORDER BY n_chars DESC, doc_id) - 1 AS place,
+  row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) - 1 AS place_in_source FROM documents""")(
+    lambda s, sf: order.numbered(
+        order.numbered(table(s, sf, "documents").select("doc_id", "source", "n_chars"), [c("n_chars").desc(), c("doc_id")], "place"),
+        [c("n_chars").desc(), c("doc_id")], "place_in_source", ["source"],
+    ).select("doc_id", "place", "place_in_source")
+)
+register("best_before", """SELECT doc_id, max(n_chars) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS best FROM documents""")(
+    lambda s, sf: order.running_max(table(s, sf, "documents").select("doc_id", "source", "n_chars"), c("n_chars"), [c("doc_id")], "best", ["source"]).select("doc_id", "best")
+)
+
+
 # === aggregates ===================================================================================================
 
 
