@@ -74,7 +74,8 @@ def _tokens(texts: list[bytes], hasher: WordHasher) -> tuple[np.ndarray, np.ndar
     counts = np.diff(bounds)
     out = np.full(len(starts) + len(texts), END, np.uint64)
     out[np.arange(len(starts)) + np.repeat(np.arange(len(texts)), counts)] = hasher(buffer, starts, ends)
-    return out & _KEPT, bounds + np.arange(len(texts) + 1)
+    out &= _KEPT
+    return out, bounds + np.arange(len(texts) + 1)
 
 
 def _numbers(tokens: np.ndarray, hashes: np.ndarray) -> np.ndarray:
@@ -262,7 +263,9 @@ def _backoffs(context: np.ndarray, chance: np.ndarray, shorter: np.ndarray) -> d
 
 def _join(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """Hash of an n-gram by the hashes of its first and its last n - 1 words."""
-    return mix(left * np.uint64(0x9E3779B97F4A7C15) + (right ^ (right >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)) & _KEPT
+    out = mix(left * np.uint64(0x9E3779B97F4A7C15) + (right ^ (right >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93))
+    out &= _KEPT
+    return out
 
 
 def _planes(values: np.ndarray) -> bytes:
@@ -278,11 +281,16 @@ def _unplanes(data: bytes, kind: str, columns: int = 1) -> np.ndarray:
 
 def _steps(keys: np.ndarray) -> bytes:
     """Sorted keys as the planes of their differences, without the bits which no key has."""
-    return _planes(np.diff(keys, prepend=np.uint64(0)) >> _UNUSED)
+    steps = np.diff(keys, prepend=np.uint64(0))
+    steps >>= _UNUSED
+    return _planes(steps)
 
 
 def _unsteps(data: bytes) -> np.ndarray:
-    return np.cumsum(_unplanes(data, "<u8"), dtype=np.uint64) << _UNUSED
+    keys = _unplanes(data, "<u8")
+    np.cumsum(keys, out=keys)
+    keys <<= _UNUSED
+    return keys
 
 
 def _pack(*parts: bytes) -> bytes:
