@@ -287,8 +287,7 @@ def _steps(keys: np.ndarray) -> bytes:
 
 
 def _unsteps(data: bytes) -> np.ndarray:
-    keys = _unplanes(data, "<u8")
-    np.cumsum(keys, out=keys)
+    keys = np.cumsum(_unplanes(data, "<u8"), dtype=np.uint64)
     keys <<= _UNUSED
     return keys
 
