@@ -46,15 +46,6 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def discard(df: DataFrame) -> None:
-    """Remove a stored frame which no later step reads: neither a plan nor the recovery of a lost task."""
-    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        mine = next((p for p in _folders if path.endswith(p.split(":", 1)[-1].lstrip("/"))), None)
-        if mine is not None:
-            _folders.discard(mine)
-            _remove(df.sparkSession, mine)
-
-
 def _remove(spark: SparkSession, path: str) -> None:
     context = spark.sparkContext
     place = context._jvm.org.apache.hadoop.fs.Path(path)
