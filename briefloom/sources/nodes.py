@@ -4,6 +4,9 @@
 number, `last` that of the last node below it. So a node lies within another one exactly if its number lies between these two; siblings
 share `parent`. Ancestor rules are equi-joins by page with a range, sibling rules are windows over (page, parent): a stored table
 serves any number of rules, and the pages need not be read again for a new one.
+
+Both sides of these joins grow with the pages. The size Spark expects of them does not say so (a page becomes many nodes), so they are
+merge joins by name: none is broadcast through the driver.
 """
 
 from __future__ import annotations
@@ -80,16 +83,16 @@ def with_texts(elements: DataFrame, nodes: DataFrame) -> DataFrame:
     pieces = nodes.filter("tag IS NULL").select(F.col("page_id").alias("_page"), F.col("pre").alias("_at"), F.col("text").alias("_piece"))
     inside = (F.col("page_id") == F.col("_page")) & F.col("_at").between(F.col("pre"), F.col("last"))
     # an element's number names it within its page
-    texts = elements.select("page_id", "pre", "last").distinct().join(pieces, inside).groupBy("page_id", "pre").agg(
+    texts = elements.select("page_id", "pre", "last").distinct().join(pieces.hint("merge"), inside).groupBy("page_id", "pre").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_at", "_piece"))), lambda p: p["_piece"]), " ").alias("shown"))
-    return elements.join(texts, ["page_id", "pre"], "left").withColumn("shown", F.coalesce("shown", F.lit("")))
+    return elements.join(texts.hint("merge"), ["page_id", "pre"], "left").withColumn("shown", F.coalesce("shown", F.lit("")))
 
 
 def within(inner: DataFrame, outer: DataFrame, name: str, innermost: bool = True) -> DataFrame:
     """Inner elements which lie in an outer one, with the innermost such, or with each, as `name` (its columns)."""
     box = outer.select(F.col("page_id").alias("_page"), F.struct(*outer.columns).alias(name))
     inside = (F.col("page_id") == F.col("_page")) & (F.col("pre") > F.col(f"{name}.pre")) & (F.col("pre") <= F.col(f"{name}.last"))
-    met = inner.join(box, inside).drop("_page")
+    met = inner.join(box.hint("merge"), inside).drop("_page")
     return met if not innermost else met.groupBy("page_id", "pre").agg(F.max_by(F.struct(*inner.columns, name), F.col(f"{name}.pre")).alias("_r")).select("_r.*")
 
 
@@ -112,10 +115,10 @@ def section_bullets(nodes: DataFrame) -> DataFrame:
     bullets = within(nodes.filter("tag = 'li'").select("page_id", "url", "pre", "last"), lists, "list", innermost=False)
     links = nodes.filter("tag = 'a' AND map_contains_key(attrs, 'href')").select(
         F.col("page_id").alias("_page"), F.col("pre").alias("_link"), F.col("attrs")["href"].alias("_href"))
-    first = bullets.join(links, (F.col("page_id") == F.col("_page")) & F.col("_link").between(F.col("pre"), F.col("last")))
+    first = bullets.join(links.hint("merge"), (F.col("page_id") == F.col("_page")) & F.col("_link").between(F.col("pre"), F.col("last")))
     hrefs = first.groupBy("page_id", "pre").agg(F.min_by("_href", "_link").alias("href"))
     headings = with_texts(nodes.filter(F.col("tag").isin(*HEADINGS)).select("page_id", "pre", "last", F.col("attrs")["id"].alias("heading_id")), nodes)
     headings = headings.select("page_id", F.col("pre").alias("heading"), "heading_id", F.col("shown").alias("heading_text"))
     shown = with_texts(bullets.withColumn("heading", F.col("list.heading")).drop("list"), nodes)
-    return shown.join(hrefs, ["page_id", "pre"], "left").join(headings, ["page_id", "heading"]).select(
+    return shown.join(hrefs.hint("merge"), ["page_id", "pre"], "left").join(headings.hint("merge"), ["page_id", "heading"]).select(
         "page_id", "url", "pre", F.col("shown").alias("text"), "href", "heading_id", "heading_text")

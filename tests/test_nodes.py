@@ -48,3 +48,12 @@ def test_innermost_ancestor(spark):
     boxes = laid.filter("tag = 'div'").select("page_id", "pre", "last", F.col("attrs")["id"].alias("id"))
     out = nodes.within(laid.filter("tag = 'a'").select("page_id", "pre", "last"), boxes, "box").orderBy("pre").collect()
     assert [r.box.id for r in out] == ["i", "o"]
+
+
+def test_nodes_are_never_broadcast(spark):
+    laid = nodes.node_table(table(spark, "<h2 id='a'>x</h2><ul><li>1 <a href='/l'>two</a></li></ul>")).cache()
+    boxes = laid.filter("tag = 'ul'").select("page_id", "pre", "last")
+    for found in (nodes.section_bullets(laid), nodes.within(laid.filter("tag = 'li'").select("page_id", "pre", "last"), boxes, "box")):
+        assert len(found.collect()) == 1
+        assert "Broadcast" not in found._jdf.queryExecution().toString()
+    laid.unpersist()
