@@ -14,7 +14,7 @@ from briefloom.functions import brief, dates, keys, score, text, urls
 from briefloom.operators import aggregates, dedup, history as hist, items as it, joins, order, rank as rk, render, report
 from briefloom.operators import select as sel
 from briefloom.plans.driver_views import (
-    ITEMS_SQL, RAW_SQL, TERMS, TRIM, TYPES, canon, events, has, in_case, items, norm, q, raw_items, rstrip, spread, stamp, table,
+    ITEMS_SQL, RAW_SQL, TERMS, TRIM, TYPES, canon, events, has, in_case, items, norm, q, raw_items, rstrip, spread, spread_rows, stamp, table,
 )
 from briefloom.session import checkpoint_root, durable
 from briefloom.sources import html, nodes, pages, payloads, quotes as qt
@@ -123,7 +123,7 @@ def normalize_items(s, sf):
 
 
 register("trim_descriptions", f'WITH {RAW_SQL} SELECT seq, {TRIM} AS "desc" FROM raw')(
-    lambda s, sf: it.trim_descriptions(raw_items(s, sf)).select("seq", "desc")
+    lambda s, sf: raw_items(s, sf, it.trim_descriptions).select("seq", "desc")
 )
 
 register("truncate_text", f"""WITH {RAW_SQL} SELECT seq, CASE WHEN length(title) > 90 THEN {rstrip('substr(title, 1, 87)')} || '...'
@@ -383,13 +383,13 @@ SELECT category, key AS group_key, map_extract_value(owner, key) AS seq, map_ext
 
 @register("dedup_replay", _REPLAY)
 def dedup_replay(s, sf):
-    raw = it.trim_descriptions(raw_items(s, sf)).withColumns({"title": F.expr(_STORY), "source_name": F.expr(_STORY_SOURCE)})
+    raw = raw_items(s, sf, it.trim_descriptions).withColumns({"title": F.expr(_STORY), "source_name": F.expr(_STORY_SOURCE)})
     out = dedup.dedup_items_exact(it.normalize_items(raw), ["category"])
     return out.select("category", "group_key", "seq", "position")
 
 
 def _ranked(s, sf, limit=60):
-    return dedup.deduplicate_and_rank(it.trim_descriptions(raw_items(s, sf)), L, limit)
+    return dedup.deduplicate_and_rank(raw_items(s, sf, it.trim_descriptions), L, limit)
 
 
 register("deduplicate_and_rank", _RANKED + " SELECT rank, seq, title, url, priority, position FROM r WHERE rank <= 60")(
@@ -401,7 +401,7 @@ register("deduplicate_and_rank", _RANKED + " SELECT rank, seq, title, url, prior
 r AS (SELECT *, row_number() OVER (PARTITION BY category ORDER BY priority, provider, impact DESC, quality DESC,
   published_at DESC NULLS LAST, position) AS rank FROM d) SELECT category, rank, seq FROM r WHERE rank <= 20""")
 def ranked_by_category(s, sf):
-    raw = it.trim_descriptions(raw_items(s, sf))
+    raw = raw_items(s, sf, it.trim_descriptions)
     return dedup.deduplicate_and_rank(raw, L, 20, by=["category"]).select("category", "rank", "seq")
 
 
@@ -1187,7 +1187,7 @@ _EVENT_PAGE = "https://notes.example.com/log"
 
 def _event_pages(s, sf, body):
     """One small page per event, all at one address as versions of one page."""
-    rows = spread(events(s, sf).select("event_id", "ts", "event_type"), "event_id")
+    rows = spread_rows(events(s, sf).select("event_id", "ts", "event_type"), "event_id")
     return rows.select(c("event_id").alias("page_id"), F.lit(_EVENT_PAGE).alias("url"), body.alias("html"), "ts", "event_type")
 
 
@@ -1382,7 +1382,7 @@ def _feed(s, sf, atom: bool = False):
 
     entries = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(6)), entry), "")
     body = _text('<feed xmlns="http://www.w3.org/2005/Atom">', entries, "</feed>") if atom else _text("<rss><channel>", entries, "</channel></rss>")
-    rows = spread(events(s, sf).select("event_id", "ts", "event_type"), "event_id")
+    rows = spread_rows(events(s, sf).select("event_id", "ts", "event_type"), "event_id")
     return rows.select(n.alias("payload_order"), kind.alias("subreddit"), kind.alias("query"), kind.alias("source_id"), body.alias("payload"))
 
 

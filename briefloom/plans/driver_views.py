@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from briefloom.lexicon import Lexicon
@@ -27,6 +29,10 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+# rows of a small table which a task reads when a body of text is made of each
+ROWS_PER_TASK = 25_000
+
+
 def spread(df: DataFrame, key: str) -> DataFrame:
     """Row-heavy text work over a table which comes in fewer pieces than there are cores is worth one shuffle.
 
@@ -36,13 +42,30 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
 
 
+def spread_rows(df: DataFrame, key: str) -> DataFrame:
+    """Rows in pieces of about `ROWS_PER_TASK`, for narrow rows out of which wide ones are made.
+
+    Splits of a file say nothing about its rows: a row group is read by one task, and packed columns hold millions of rows of a few
+    bytes. So the pieces are counted in rows (file footers), and a task has as many of them whatever the table's size.
+    """
+    pieces = -(-df.count() // ROWS_PER_TASK)
+    return df.repartition(max(pieces, df.sparkSession.sparkContext.defaultParallelism), key)
+
+
 def events(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def raw_items(spark: SparkSession, sf: str) -> DataFrame:
-    """Documents as raw items: first line is the title, the rest the description; dates come in several formats."""
-    docs = spread(table(spark, sf, "documents").select("doc_id", "text", "lang", "source"), "doc_id")
+def raw_items(spark: SparkSession, sf: str, prepare: Callable[[DataFrame], DataFrame] = lambda docs: docs) -> DataFrame:
+    """Documents as raw items: first line is the title, the rest the description; dates come in several formats.
+
+    `prepare` works on the texts (title, desc) of each row where they are read: what it cuts off is not shuffled.
+    """
+    docs = table(spark, sf, "documents").select(
+        "doc_id", "lang", "source", F.substring_index("text", "\n", 1).alias("title"),
+        F.when(F.instr("text", "\n") > 0, F.substring(F.col("text"), F.instr("text", "\n") + 1, F.length("text"))).otherwise("").alias("desc"),
+    )
+    docs = spread(prepare(docs), "doc_id")
     times = events(spark, sf).select((F.col("event_id") / 5).alias("at"), "ts").filter(F.col("at") == F.floor("at"))
     times = times.select(F.col("at").cast("bigint").alias("doc_id"), "ts")
     kind = F.pmod(F.col("doc_id"), F.lit(5))
@@ -62,9 +85,9 @@ def raw_items(spark: SparkSession, sf: str) -> DataFrame:
     return docs.join(times, "doc_id", "left").select(
         F.col("doc_id").alias("seq"),
         F.col("lang").alias("category"),
-        F.substring_index("text", "\n", 1).alias("title"),
+        "title",
         url.alias("url"),
-        F.when(F.instr("text", "\n") > 0, F.substring(F.col("text"), F.instr("text", "\n") + 1, F.length("text"))).otherwise("").alias("desc"),
+        "desc",
         F.col("source").alias("source_name"),
         F.get(F.array(*[F.lit(t) for t in TYPES]), number % 8).alias("source_type"),
         published.alias("published_at_raw"),
@@ -72,7 +95,7 @@ def raw_items(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def items(spark: SparkSession, sf: str) -> DataFrame:
-    return it.normalize_items(it.trim_descriptions(raw_items(spark, sf)))
+    return it.normalize_items(raw_items(spark, sf, it.trim_descriptions))
 
 
 # --- the same in SQL ----------------------------------------------------------------------------------------------

@@ -103,3 +103,28 @@ def test_quotes(spark):
     assert [(r.symbol, r.price, r.low, r.high) for r in exchange.collect()] == [("2", 10.0, 9.5, 10.0)]
     both = qt.quote_fallback(exchange, qt.quotes_from_bars(bars.withColumn("symbol", F.lit("2")), "y"))
     assert [(r.symbol, r.source) for r in both.collect()] == [("2", "x")]
+
+
+def test_pieces_follow_rows(spark, monkeypatch):
+    """A table of one row group is read by one task: wide rows are made in pieces counted in rows, null and repeated keys too."""
+    from briefloom.plans import driver_views
+
+    monkeypatch.setattr(driver_views, "ROWS_PER_TASK", 10)
+    rows = spark.range(1000).selectExpr("if(id % 50 = 0, null, id % 900) as key", "id").repartition(200)
+    spread = driver_views.spread_rows(rows, "key")
+    assert spread.rdd.getNumPartitions() == 100 and sorted(r.id for r in spread.collect()) == list(range(1000))
+
+
+def test_texts_are_cut_where_they_are_read(spark, tmp_path):
+    """What is trimmed off is in no shuffle: the rows are those of trimming afterwards, and `desc` is cut below every exchange."""
+    from briefloom.operators import items as it
+    from briefloom.plans import driver_views
+
+    texts = ["t\n" + "word " * 500, "only a title", None, "\n" + "x" * 221, ""]
+    spark.createDataFrame([(i, t, "en", "src1") for i, t in enumerate(texts)] + [(None, "a\nb", None, None)], "doc_id bigint, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(0, "2026-01-01 00:00:00")], "event_id bigint, ts string").write.parquet(f"{tmp_path}/events.parquet")
+    early = driver_views.raw_items(spark, str(tmp_path), it.trim_descriptions)
+    late = it.trim_descriptions(driver_views.raw_items(spark, str(tmp_path)))
+    assert early.columns == late.columns and sorted(map(str, early.collect())) == sorted(map(str, late.collect()))
+    tree = early._jdf.queryExecution().optimizedPlan().toString()
+    assert "220" not in tree.split("RepartitionByExpression")[0] and "220" in tree.split("RepartitionByExpression")[1]
