@@ -916,7 +916,8 @@ def valid_report_urls(s, sf):
 
 
 def _reports(s, sf, style=report.AI):
-    news = _news(s, sf)
+    # read many times below: made once
+    news = durable(_news(s, sf))
     header, rows = report.fallback_report(news, style)
     return news, header, rows
 
@@ -993,7 +994,7 @@ def post_process_ai(s, sf):
 
 
 def _backfill_rows(s, sf):
-    news = _news(s, sf)
+    news = durable(_news(s, sf))
     rows = report.fallback_report(news, report.STOCK)[1].filter("position <= 2")
     return news, rows
 
