@@ -57,6 +57,22 @@ def test_language_of_odd_texts(spark):
 # --- 1 ---
 
 
+def test_toxicity_learns_from_all_rows(spark):
+    """A word which is in no row of the starting sample, only in rows (one of them very long) beyond its bounds."""
+    s = toxicity.Settings(rows_per_class=40, sample_words=30, steps=200, shard_rows=400, pass_rate=0.02)
+    rng = random.Random(4)
+    fill = lambda n: " ".join(rng.choice(["alpha", "beta", "gamma", "delta", "omega"]) for _ in range(n))
+    rows = [(i, f"{fill(8)} vilewort" if i % 6 == 0 else f"{fill(35)} zurkel" if i % 3 == 0 else fill(9 + i % 40), "en", int(i % 3 == 0)) for i in range(1800)]
+    df = spark.createDataFrame(rows, DOCS + ", toxic int")
+    model = toxicity.train(df, df.select("doc_id", "toxic"), s)
+    new = spark.createDataFrame([(1, fill(10) + " zurkel", "en"), (2, fill(10) + " vilewort", "en"), (3, fill(11), "en")], DOCS)
+    scores = {r.doc_id: r.score for r in toxicity.score(new, model, s).collect()}
+    assert min(scores[1], scores[2]) > 0.7 > scores[3]
+    again = toxicity.train(df.repartition(7), df.select("doc_id", "toxic").repartition(3), s)
+    scores = {r.doc_id: r.score for r in toxicity.score(new, again, s).collect()}
+    assert min(scores[1], scores[2]) > 0.7 > scores[3]
+
+
 def test_toxicity_learns_words_and_roots(spark):
     rng = random.Random(2)
     word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 6)))
