@@ -2,8 +2,8 @@
 
 The words of the corpus are counted, and those which make up at least `share` of all words each (so 1 / share at most) are encoded once
 by Spark: a higher-order function folds the lowest-ranked merge over the array of a word's bytes, ranks come from a literal map. Their
-ids are broadcast. Texts are then encoded where they lie, without a shuffle: a frequent word is looked up, any other is folded by the
-same rule in the task. The result does not depend on which words are frequent.
+ids are broadcast. Texts are then encoded where they lie, without a shuffle: a frequent word is looked up, all others of a slice are
+folded by the same rule in the task, words of one length together. The result does not depend on which words are frequent.
 """
 
 from __future__ import annotations
@@ -13,7 +13,8 @@ import heapq
 import json
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 from itertools import chain
 
 import numpy as np
@@ -120,6 +121,79 @@ def fold_bytes(word: bytes, ranks: dict[bytes, int]) -> tuple[int, ...]:
     return tuple(ranks[p] for p in parts if p is not None)
 
 
+@dataclass
+class Pairs:
+    """The merges as arrays: pieces are numbered by rank, and a pair of numbers has the number of the piece which it makes."""
+
+    ids: np.ndarray  # of the pieces; numbers beyond are of bytes without a rank, which may be parts of pieces
+    single: np.ndarray  # numbers of the bytes
+    keys: np.ndarray  # left << 32 | right, sorted; the last one is no pair
+    made: np.ndarray
+    first: np.ndarray  # what two bytes make
+
+    def of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        key = left.astype(np.int64) << 32 | right
+        at = np.searchsorted(self.keys[:-1], key)
+        return np.where(self.keys[at] == key, self.made[at], self.made[-1])
+
+
+def read_pairs(ranks: dict[bytes, int]) -> Pairs:
+    pieces, single = sorted(ranks, key=ranks.__getitem__), [bytes([b]) for b in range(256)]
+    number = {p: i for i, p in enumerate([*pieces, *(p for p in single if p not in ranks)])}
+    found = sorted((number[p[:i]] << 32 | number[p[i:]], n) for n, p in enumerate(pieces) for i in range(1, len(p)) if p[:i] in number and p[i:] in number)
+    keys, made = np.array([k for k, _ in found] + [-1], np.int64), np.array([n for _, n in found] + [len(number)], np.int32)
+    out = Pairs(np.array([ranks[p] for p in pieces], np.int64), np.array([number[p] for p in single], np.int32), keys, made, np.empty(0))
+    out.first = out.of(*np.meshgrid(out.single, out.single, indexing="ij"))
+    return out
+
+
+def fold_words(words: list[bytes], ranks: dict[bytes, int], pairs: Pairs) -> tuple[np.ndarray, np.ndarray]:
+    """Token ids of all words, one after the other, and how many each has; the rule of `fold_bytes`.
+
+    Words of one length are the rows of a matrix. A round joins the pair of lowest rank of every row, so rows stay of one length; those
+    without a pair are done.
+    """
+    none = pairs.made[-1]
+    done: list[tuple[np.ndarray, np.ndarray]] = []  # places of words, and a row of ids each
+    lengths: dict[int, list[int]] = {}
+    for i, word in enumerate(words):
+        if not word or word in ranks or len(word) > _SHORT:
+            done.append((np.array([i]), np.array([fold_bytes(word, ranks)], np.int64)))
+        else:
+            lengths.setdefault(len(word), []).append(i)
+    for n, own in lengths.items():
+        place = np.array(own)
+        letters = np.frombuffer(b"".join([words[i] for i in own]), np.uint8).reshape(-1, n)
+        row, made = pairs.single[letters], pairs.first[letters[:, :-1], letters[:, 1:]]
+        while len(place):
+            best = made.argmin(axis=1) if made.shape[1] else np.zeros(len(place), np.int64)
+            low = made[np.arange(len(place)), best] if made.shape[1] else np.full(len(place), none)
+            ended = low == none
+            if ended.any():
+                if (row[ended] >= len(pairs.ids)).any():
+                    raise KeyError("a byte has no rank")
+                done.append((place[ended], pairs.ids[row[ended]]))
+                place, row, made, best, low = (x[~ended] for x in (place, row, made, best, low))
+                if not len(place):
+                    break
+            at, size = np.arange(len(place)), row.shape[1]
+            row[at, best] = low
+            after = np.arange(size - 1) > best[:, None]
+            row = np.where(after, row[:, 1:], row[:, :-1])
+            made = np.where(after[:, 1:], made[:, 1:], made[:, :-1])
+            left, right = np.flatnonzero(best > 0), np.flatnonzero(best < size - 2)
+            made[left, best[left] - 1] = pairs.of(row[left, best[left] - 1], low[left])
+            made[right, best[right]] = pairs.of(low[right], row[right, best[right] + 1])
+    counts = np.zeros(len(words), np.int64)
+    for place, ids in done:
+        counts[place] = ids.shape[1]
+    starts = np.cumsum(counts) - counts
+    out = np.empty(counts.sum(), np.int32)
+    for place, ids in done:
+        out[starts[place][:, None] + np.arange(ids.shape[1])] = ids
+    return out, counts
+
+
 def frequent_words(docs: DataFrame, ranks: dict[bytes, int], pattern: str, share: float = SHARE) -> dict[str, tuple[int, ...]]:
     """Ids of the words with at least this share of all words of the corpus: 1 / share entries at most."""
 
@@ -147,35 +221,48 @@ def frequent_words(docs: DataFrame, ranks: dict[bytes, int], pattern: str, share
     return {bytes(r.word).decode("utf-8", "surrogateescape"): tuple(r.ids) for r in rows}
 
 
+def _flat(ids: Iterable[tuple[int, ...]]) -> tuple[np.ndarray, np.ndarray]:
+    rows = list(ids)
+    return np.fromiter(chain.from_iterable(rows), np.int32), np.array([len(r) for r in rows], np.int64)
+
+
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, share: float = SHARE) -> DataFrame:
     """All columns and `ids`, the token ids of the whole text; null and empty texts have none. An older column `ids` is replaced."""
     docs = docs.drop("ids")
     context, names = docs.sparkSession.sparkContext, docs.columns
-    shared = context.broadcast((ranks, frequent_words(docs, ranks, pattern, share)))
+    frequent = frequent_words(docs, ranks, pattern, share)
+    shared = context.broadcast((ranks, tuple(vars(read_pairs(ranks)).values()), list(frequent), _flat(frequent.values())))
     schema = T.StructType([*docs.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split = regex.compile(pattern)
-        table, often = shared.value
+        table, arrays, often, (often_ids, often_counts) = shared.value
+        pairs = Pairs(*arrays)
 
         class Known(dict):
-            """Ids by word; what is neither frequent nor remembered is folded."""
+            """Numbers of words; what is neither frequent nor remembered gets the next one, and is folded with the rest of its slice."""
 
-            def __missing__(self, word: str) -> tuple[int, ...]:
-                if len(self) >= limit:
-                    self.clear()
-                    self.update(often)
-                ids = self[word] = fold_bytes(word.encode("utf-8", "surrogateescape"), table)
-                return ids
+            def __missing__(self, word: str) -> int:
+                fresh.append(word.encode("utf-8", "surrogateescape"))
+                n = self[word] = len(self)
+                return n
 
-        known, limit = Known(often), len(often) + _KEPT
+        known, flat, counts = Known(zip(often, range(len(often)))), often_ids, often_counts
         for part, texts in slices(batches):
-            ends, arrays = [0], []
-            for text in texts:
-                ids = [known[w] for w in split.findall(text.decode("utf-8", "surrogateescape"))]
-                arrays.append(np.fromiter(chain.from_iterable(ids), np.int32))
-                ends.append(ends[-1] + len(arrays[-1]))
-            ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(arrays)))
+            if len(known) > len(often) + _KEPT:
+                known, flat, counts = Known(zip(often, range(len(often)))), often_ids, often_counts
+            fresh: list[bytes] = []
+            found = [np.array([known[w] for w in split.findall(text.decode("utf-8", "surrogateescape"))], np.int64) for text in texts]
+            if fresh:
+                ids, n = fold_words(fresh, table, pairs)
+                flat, counts = np.concatenate([flat, ids]), np.concatenate([counts, n])
+            starts = np.cumsum(counts) - counts
+            ends = np.cumsum([0, *(int(counts[own].sum()) for own in found)])
+            parts = [np.empty(0, np.int32)]
+            for own in found:
+                n = counts[own]
+                parts.append(flat[np.repeat(starts[own] - (np.cumsum(n) - n), n) + np.arange(n.sum())])
+            ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(parts)))
             yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), ids], names=[*names, "ids"])
 
     return docs.mapInArrow(run, schema)

@@ -141,6 +141,19 @@ def test_fold_column_equals_fold_in_tasks(spark, coder):
         assert tuple(r.ids) == bpe.fold_bytes(bytes(r.w), ranks)
 
 
+def test_words_folded_together_equal_words_folded_alone(coder):
+    ranks, _ = coder
+    rng, pieces = random.Random(16), list(ranks)
+    words = [bytes(rng.randrange(256) for _ in range(rng.randrange(50))) for _ in range(500)] + [b"", b"a" * 39, b"ab" * 3000]
+    words += [b"".join(rng.choice(pieces) for _ in range(rng.randint(1, 6))) for _ in range(2000)]
+    some = {b"a": 7, b"ab": 2, b"bc": 9, b"abc": 4, b"c": 1, b"ca": 3}  # b has no rank, but pieces of it have
+    for table, own in ((ranks, words), (some, [b"abc", b"cabc", b"aabca", b"acabab", b"abcabcab", b"ca", b"cca"])):
+        ids, counts = bpe.fold_words(own, table, bpe.read_pairs(table))
+        assert [tuple(x) for x in np.split(ids, np.cumsum(counts)[:-1])] == [bpe.fold_bytes(w, table) for w in own]
+    with pytest.raises(KeyError):
+        bpe.fold_words([b"cb"], some, bpe.read_pairs(some))
+
+
 # --- 8 ---
 
 
