@@ -73,6 +73,15 @@ def test_toxicity_learns_from_all_rows(spark):
     assert min(scores[1], scores[2]) > 0.7 > scores[3]
 
 
+def test_toxicity_deals_texts_alike_on_any_size(spark):
+    """Few labels must not be broadcast where many are not: the shuffle would grow faster than the input."""
+    texts = spark.createDataFrame([(i % 50, f"t{i}", "en") for i in range(60)] + [(None, "x", "en")], DOCS)
+    found = toxicity._labelled(texts, spark.createDataFrame([(i, i % 2) for i in (*range(40), 7)] + [(None, 1)], "doc_id long, toxic int"))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    assert found.columns == ["doc_id", "text", "lang", "toxic"] and sorted(r.text for r in found.collect()) == sorted(f"t{i}" for i in range(60) for _ in range((i % 50 < 40) + (i % 50 == 7)))
+
+
 def test_toxicity_learns_words_and_roots(spark):
     rng = random.Random(2)
     word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 6)))
