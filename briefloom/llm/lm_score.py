@@ -264,23 +264,32 @@ def _join(left: np.ndarray, right: np.ndarray) -> np.ndarray:
 
 
 def _planes(values: np.ndarray) -> bytes:
-    """First bytes of all values, then second bytes and so on: bytes which are mostly zero lie together."""
-    return np.ascontiguousarray(values.view(np.uint8).reshape(len(values), -1).T).tobytes() if len(values) else b""
+    """How many values, which of their bytes are not zero in all of them, and these: first bytes of all values, then second bytes and so on."""
+    if not len(values):
+        return b""
+    planes = values.view(np.uint8).reshape(len(values), -1).T
+    used = planes.any(axis=1)
+    return len(values).to_bytes(8, "little") + used.tobytes() + np.ascontiguousarray(planes[used]).tobytes()
 
 
 def _unplanes(data: bytes, kind: str, columns: int = 1) -> np.ndarray:
-    width = np.dtype(kind).itemsize * columns
-    out = np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(width, -1).T).reshape(-1).view(kind)
+    width, n = np.dtype(kind).itemsize * columns, int.from_bytes(data[:8], "little")
+    out = np.zeros((n, width), np.uint8)
+    if n:
+        out[:, np.frombuffer(data, bool, width, 8)] = np.frombuffer(data, np.uint8, offset=8 + width).reshape(-1, n).T
+    out = out.reshape(-1).view(kind)
     return out.reshape(-1, columns) if columns > 1 else out
 
 
 def _steps(keys: np.ndarray) -> bytes:
-    """Sorted keys as the planes of their differences."""
-    return _planes(np.diff(keys, prepend=np.uint64(0)))
+    """Sorted keys: the first one, and the planes of the differences."""
+    return keys[:1].tobytes() + _planes(np.diff(keys, prepend=keys[:1]))
 
 
 def _unsteps(data: bytes) -> np.ndarray:
-    return np.cumsum(_unplanes(data, "<u8"), dtype=np.uint64)
+    steps = _unplanes(data[8:], "<u8")
+    steps[:1] = np.frombuffer(data[:8], "<u8")
+    return np.cumsum(steps, dtype=np.uint64)
 
 
 def _pack(*parts: bytes) -> bytes:
@@ -414,8 +423,9 @@ def score(docs: DataFrame, train_on: Column, settings: Settings = Settings()) ->
         numbers = _numbers(tokens, known)
         grams = _ngrams(tokens, bounds, numbers, len(known))
         told = rows[1:]
-        n = np.concatenate([_unplanes(r["counts"], "<i8") for r in told]) if told else np.zeros(0, np.int64)
-        own = np.concatenate([np.unpackbits(np.frombuffer(r["own"], np.uint8), count=len(r["counts"]) // 8) for r in told]).astype(bool) if told else np.zeros(0, bool)
+        sums = [_unplanes(r["counts"], "<i8") for r in told]
+        n = np.concatenate([np.zeros(0, np.int64), *sums])
+        own = np.concatenate([np.zeros(0, np.uint8), *(np.unpackbits(np.frombuffer(r["own"], np.uint8), count=len(x)) for r, x in zip(told, sums))]).astype(bool)
         one, two, three = np.append(known_n, 0)[numbers], np.zeros(len(tokens), np.int64), np.zeros(len(tokens), np.int64)
         check = int(np.bitwise_xor.reduce(grams.keys).view(np.int64)) if len(grams.keys) else 0
         if len(n) != len(grams.keys) or check != reduce(xor, (r["check"] for r in told), 0):
@@ -476,7 +486,7 @@ def score(docs: DataFrame, train_on: Column, settings: Settings = Settings()) ->
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, weights = cached.value
-        for r in (r for batch in batches for r in batch.to_pylist()):
+        for r in (batch.slice(i, 1).to_pylist()[0] for batch in batches for i in range(batch.num_rows)):
             docs_of, keys = _unplanes(r["ask_docs"], "<u4"), _unsteps(r["ask_keys"])
             at = _numbers(keys, names)
             sums, here = np.frombuffer(r["sums"]), at < len(names)
@@ -491,10 +501,10 @@ def score(docs: DataFrame, train_on: Column, settings: Settings = Settings()) ->
             for b in range(buckets):
                 if asks[b + 1] > asks[b]:
                     own = slice(asks[b], asks[b + 1])
-                    rows.append((b, r["slice"], docs_of[own].tobytes(), keys[own].tobytes(), None))
+                    rows.append((b, r["slice"], _planes(docs_of[own]), _steps(keys[own]), None))
                 if tells[b + 1] > tells[b]:
                     own = slice(tells[b], tells[b + 1])
-                    rows.append((b, None, None, contexts[own].tobytes(), parts[own].tobytes()))
+                    rows.append((b, None, None, _steps(contexts[own]), _planes(parts[own])))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), [pa.int64(), pa.int64()] + [pa.binary()] * 3)], names=["bucket", "slice", "docs", "keys", "parts"])
 
     def answer(key: tuple, table: pa.Table) -> pa.Table:
@@ -503,12 +513,12 @@ def score(docs: DataFrame, train_on: Column, settings: Settings = Settings()) ->
             out = [(r["slice"], r["docs"], r["keys"], None, r["parts"]) for r in rows]
         else:
             told = [r for r in rows if r["slice"] is None]
-            names, parts = _parts(np.concatenate([np.empty(0, np.uint64), *(np.frombuffer(r["keys"], np.uint64) for r in told)]), np.concatenate([np.empty((0, 5), np.int64), *(np.frombuffer(r["parts"], "<i8").reshape(-1, 5) for r in told)]))
+            names, parts = _parts(np.concatenate([np.empty(0, np.uint64), *(_unsteps(r["keys"]) for r in told)]), np.concatenate([np.empty((0, 5), np.int64), *(_unplanes(r["parts"], "<i8", 5) for r in told)]))
             weights = np.append(_weights(parts, discount, total, distinct), 0.0)  # a context without arcs is no state
             for r in rows:
                 if r["slice"] is not None:
-                    doc, where = np.unique(np.frombuffer(r["docs"], "<u4"), return_inverse=True)
-                    sums = np.bincount(where, weights[_numbers(np.frombuffer(r["keys"], np.uint64), names)])
+                    doc, where = np.unique(_unplanes(r["docs"], "<u4"), return_inverse=True)
+                    sums = np.bincount(where, weights[_numbers(_unsteps(r["keys"]), names)])
                     out.append((r["slice"], None, None, doc.tobytes(), sums.tobytes()))
         columns = list(zip(*out)) or [()] * 5
         return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.int64()] + [pa.binary()] * 4)], names=["slice", "info", "base", "docs", "sums"])

@@ -309,6 +309,20 @@ def test_embedding_links_are_exact_and_found(spark, block):
 # --- 2 ---
 
 
+def test_lm_packs_only_bytes_which_are_used():
+    """Counts are small: seven of their eight bytes are not sent. Packed numbers come back whole."""
+    rng = np.random.default_rng(3)
+    assert len(lm_score._planes(np.ones(1000, np.int64))) < 1100
+    for n in (0, 1, 2, 1000):
+        for most in (0, 1, 300, 1 << 40, (1 << 63) - 1):
+            rows = rng.integers(0, most, (n, 5), endpoint=True)
+            assert np.array_equal(lm_score._unplanes(lm_score._planes(rows), "<i8", 5), rows)
+            assert np.array_equal(lm_score._unplanes(lm_score._planes(-rows[:, 0]), "<i8"), -rows[:, 0])
+        keys = np.sort(np.repeat(rng.integers(0, (1 << 64) - 1, n, dtype=np.uint64, endpoint=True), 2))
+        assert np.array_equal(lm_score._unsteps(lm_score._steps(keys)), keys)
+
+
+
 def test_language_model_sums_to_one_and_base_is_exact(spark):
     rng = random.Random(10)
     words = [f"w{i}" for i in range(30)]
