@@ -32,7 +32,9 @@ MAGIC = b"IDPACK01"
 BLOCK = 1 << 14  # ids, a multiple of 64
 FILE_IDS = 1 << 24
 PART_BYTES = 64 << 20  # of text to a task
-_SLICE = 12 << 20
+_SLICE = 6 << 20
+_CHUNK = 1 << 18  # bytes searched at once for places to cut
+_AT_ONCE = 1 << 10  # pieces the library gets at once; what it returns takes far more memory than the ids
 _KNOWN = 1 << 20  # pieces remembered by a task
 _READ_IDS = 1 << 20
 _LIST = "part int, number int, name string, bits int, docs long, ids long, size long"
@@ -90,6 +92,15 @@ def piece_starts(data: np.ndarray, signs: bool = True) -> np.ndarray:
     something else, or with a sign after a letter. Visible are ASCII characters from `!` to `~` and code points whose first byte in
     UTF-8 starts no white space.
     """
+    found = [np.empty(0, np.int32)]
+    for at in range(0, len(data), _CHUNK):  # the four bytes before a cut and the two after it tell that it is one
+        low = max(0, at - 4)
+        cuts = _starts(data[low:at + _CHUNK + 2], signs) + low
+        found.append(cuts[(cuts >= at) & (cuts < at + _CHUNK)].astype(np.int32))
+    return np.concatenate(found)
+
+
+def _starts(data: np.ndarray, signs: bool) -> np.ndarray:
     if len(data) < 3:
         return np.empty(0, np.int64)
     ascii_, more = (data > 32) & (data < 127), (data & 0xC0) == 0x80
@@ -122,8 +133,11 @@ class Encoder:
 
     def _library(self, texts: list[bytes]) -> list[bytes]:
         """Ids of each text, four bytes an id."""
-        found = self.model.encode_batch_fast([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)
-        return [array("I", e.ids).tobytes() for e in found]
+        out: list[bytes] = []
+        for at in range(0, len(texts), _AT_ONCE):
+            found = self.model.encode_batch_fast([t.decode("utf-8", "replace") for t in texts[at:at + _AT_ONCE]], add_special_tokens=False)
+            out += [array("I", e.ids).tobytes() for e in found]
+        return out
 
     def __call__(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, number of ids of each)."""
@@ -135,27 +149,26 @@ class Encoder:
             raise ValueError("a slice of texts holds over 2 GB")
         ends = np.cumsum([0, *map(len, texts)])
         # blanks and line feeds at the seam of two texts are no harm: a seam is a cut anyway
-        cuts = np.sort(np.concatenate([ends, piece_starts(np.frombuffer(buffer, np.uint8), not any(t in buffer for t in self.added))]), kind="stable")
+        cuts = np.concatenate([ends.astype(np.int32), piece_starts(np.frombuffer(buffer, np.uint8), not any(t in buffer for t in self.added))])
+        cuts.sort(kind="stable")
         cuts = cuts[np.append(True, cuts[1:] > cuts[:-1])]
-        pieces = pa.Array.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer(cuts.astype(np.int32)), pa.py_buffer(buffer)])
+        pieces = pa.Array.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer(cuts), pa.py_buffer(buffer)])
         coded = pieces.dictionary_encode()
         distinct = coded.dictionary.to_pylist()
         values = [self.known.get(p) for p in distinct]
         unseen = [i for i, v in enumerate(values) if v is None]
         for i, ids in zip(unseen, self._library([distinct[i] for i in unseen])):
             values[i] = ids
-        if len(self.known) + len(unseen) > _KNOWN:
-            self.known = {}
-        self.known.update((distinct[i], values[i]) for i in unseen[:_KNOWN] if len(distinct[i]) <= 64)
-        sizes = np.fromiter(map(len, values), np.int64, len(values)) // 4
-        flat, first = np.frombuffer(b"".join(values), np.uint32), np.cumsum(sizes) - sizes
-        which = coded.indices.to_numpy()
-        many = sizes[which]
-        after = np.cumsum(many)
-        ids = flat[np.arange(after[-1] if len(after) else 0) + np.repeat(first[which] - after + many, many)]
-        before = np.concatenate([[0], after])
-        at = before[np.searchsorted(cuts, ends)]
-        return ids, np.diff(at)
+        if len(self.known) + len(unseen) > _KNOWN:  # those which come again in this slice stay
+            again = np.flatnonzero(np.bincount(coded.indices.to_numpy(), minlength=len(distinct)) > 1)[:_KNOWN].tolist()
+            self.known = {distinct[i]: values[i] for i in again if len(distinct[i]) <= 64}
+        self.known.update((distinct[i], values[i]) for i in unseen[:_KNOWN - len(self.known)] if len(distinct[i]) <= 64)
+        if not len(coded):
+            return np.empty(0, np.uint32), np.zeros(len(texts), np.int64)
+        joined = pa.array(values, pa.large_binary()).take(coded.indices)  # the ids of all pieces, four bytes an id
+        after, data = np.frombuffer(joined.buffers()[1], np.int64), np.frombuffer(joined.buffers()[2] or b"", np.uint32)
+        at = after[np.searchsorted(cuts, ends)] // 4
+        return data[:at[-1]], np.diff(at)
 
 
 # --- files --------------------------------------------------------------------------------------------------------

@@ -152,6 +152,31 @@ def test_pieces_have_the_ids_of_whole_texts(encoders, texts):
     assert a.tolist() == b.tolist() and n.tolist() == m.tolist()
 
 
+def test_encoder_holds_little(encoders):
+    """The library gets bounded lots, and cuts found chunk by chunk are those of the whole text."""
+    class Model:
+        def __init__(self, model):
+            self.model, self.lots = model, []
+
+        def encode_batch_fast(self, texts, **options):
+            self.lots.append(len(texts))
+            return self.model.encode_batch_fast(texts, **options)
+
+    text = " ".join(f"w{i} é{i}\n{i}x-y 中{i}" for i in range(40_000)).encode()
+    data = np.frombuffer(text, np.uint8)
+    assert len(text) > 4 * token_files._CHUNK
+    assert (token_files.piece_starts(data) == token_files._starts(data, True)).all()
+    own = token_files.Encoder(TOKENIZER)
+    own.model = Model(own.model)
+    ids, counts = own([text, b"", text[:100]])
+    assert sum(own.model.lots) > 100_000 and max(own.model.lots) <= 4096
+    plain = encoders[1]
+    want, many = plain([text, b"", text[:100]])
+    assert (ids == want).all() and (counts == many).all()
+    ids, counts = own([b"", b""])
+    assert len(ids) == 0 and counts.tolist() == [0, 0]
+
+
 def plain_tokens(rows):
     from tokenizers import Tokenizer
 
