@@ -1,3 +1,4 @@
+import random
 from datetime import datetime, timedelta
 
 from briefloom.sources.tables import HistoryTable
@@ -30,6 +31,39 @@ def test_first_sight_over_restarts(spark, tmp_path):
     assert hours == [("a", 0), ("a", 27), ("b", 1)]
 
 
+def test_first_sight_calls_python_by_bucket(spark, tmp_path, monkeypatch):
+    """Far fewer calls than keys; and over restarts each key has the rows which a plain walk passes, for keys of any type and null."""
+    rng = random.Random(5)
+    schema = "k string, n long, d double, b binary, t timestamp, l array<string>, ts timestamp"
+    kinds = [
+        (rng.choice(["a", "1", "", None]), rng.choice([1 << 60, (1 << 60) + 1, None]), rng.choice([0.0, -0.0, 0.1, None]),
+         rng.choice([b"", b"\xff", None]), rng.choice([T0, T0 + timedelta(microseconds=1), None]), rng.choice([["a, b"], ["a", "b"], [None], None]))
+        for _ in range(300)
+    ]
+    calls, source = spark.sparkContext.accumulator(0), str(tmp_path / "in")
+    plain = sd._FirstSight.handleInputRows
+
+    def counted(self, key, rows, timers):
+        calls.add(1)
+        yield from plain(self, key, rows, timers)
+
+    monkeypatch.setattr(sd._FirstSight, "handleInputRows", counted)
+    keys, want, last = ["k", "n", "d", "b", "t", "l"], [], {}
+    for batch in range(3):
+        rows = [(*rng.choice(kinds), T0 + timedelta(hours=40 * batch + rng.randrange(40), microseconds=rng.randrange(3))) for _ in range(2000)]
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(schema).parquet(source)
+        out = drain(spark, sd.stream_first_sight(stream, keys, "ts", 26, "1000 hours", buckets=4), tmp_path)
+        for *key, ts in sorted(rows, key=lambda r: r[-1]):
+            key = repr([v + 0.0 if isinstance(v, float) else v for v in key])
+            if key not in last or ts - last[key] > timedelta(hours=26):
+                last[key] = ts
+                want.append((key, ts))
+    got = [(repr([bytes(v) if isinstance(v, bytearray) else v for v in r[:-1]]), r.ts) for r in out.collect()]
+    assert sorted(got) == sorted(want) and len(last) > 100
+    assert 0 < calls.value <= 12
+
+
 def test_runs_share_history(spark, tmp_path):
     source = tmp_path / "in"
     history = HistoryTable(spark, str(tmp_path / "history"))
