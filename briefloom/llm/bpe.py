@@ -1,7 +1,7 @@
 """Byte-level BPE: texts to token ids and back, by a table of ranked merges.
 
 The words of the corpus are counted, and those which make up at least `share` of all words each (so 1 / share at most) are encoded once
-by Spark: a higher-order function folds the lowest-ranked merge over the array of a word's bytes, ranks come from a literal map. Their
+by Spark: a higher-order function folds the lowest-ranked merge over the array of a word's bytes, ranks come from a row beside it. Their
 ids are broadcast. Texts are then encoded where they lie, without a shuffle: a frequent word is looked up, all others of a slice are
 folded by the same rule in the task, words of one length together. The result does not depend on which words are frequent.
 """
@@ -20,7 +20,7 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from briefloom.llm.common import slices, stored
 
@@ -39,12 +39,25 @@ def read_ranks(path: str) -> dict[bytes, int]:
 # --- the fold as a column -----------------------------------------------------------------------------------------
 
 
-def rank_literal(ranks: dict[bytes, int]) -> Column:
-    """The ranks as one literal: small maps in an array, by the crc32 of the piece, as a lookup in a map walks along its keys."""
+_MAPS = "array<map<string,int>>"
+
+
+def _rank_json(ranks: dict[bytes, int]) -> str:
+    """The ranks as small maps in an array, by the crc32 of the piece, as a lookup in a map walks along its keys."""
     maps: list[dict[str, int]] = [{} for _ in range(_MAP_BUCKETS)]
     for piece, rank in ranks.items():
         maps[zlib.crc32(piece) % _MAP_BUCKETS][piece.hex().upper()] = rank
-    return F.from_json(F.lit(json.dumps(maps)), "array<map<string,int>>")
+    return json.dumps(maps)
+
+
+def rank_literal(ranks: dict[bytes, int]) -> Column:
+    """The ranks as one literal, for a few ranks: Spark writes it into every text of the plan, and keeps those in the driver."""
+    return F.from_json(F.lit(_rank_json(ranks)), _MAPS)
+
+
+def rank_row(spark: SparkSession, ranks: dict[bytes, int]) -> DataFrame:
+    """The ranks as the one row of a frame; as a scalar subquery it is in no text of a plan."""
+    return spark.createDataFrame([(_rank_json(ranks),)], "ranks string").select(F.from_json("ranks", _MAPS).alias("ranks"))
 
 
 def rank_of(piece: Column, ranks: Column) -> Column:
@@ -215,9 +228,10 @@ def frequent_words(docs: DataFrame, ranks: dict[bytes, int], pattern: str, share
     total = counts.agg(F.sum("n")).first()[0] or 0
     often = counts.filter((F.col("n") >= share * total) & (F.octet_length("word") <= _FOLDED_BYTES)).select("word")
     spread = often.repartition(docs.sparkSession.sparkContext.defaultParallelism, "word")
-    # bound once: a plan with a copy of the literal at each use is a burden to the driver
-    ids = _let(rank_literal(ranks), lambda r: fold(F.col("word"), r))
-    rows = spread.select("word", ids.alias("ids")).collect()
+    # a column first: subqueries may not stand in higher-order functions
+    ranked = spread.select("word", rank_row(docs.sparkSession, ranks).scalar().alias("ranks"))
+    ids = _let(F.col("ranks"), lambda r: fold(F.col("word"), r))
+    rows = ranked.select("word", ids.alias("ids")).collect()
     return {bytes(r.word).decode("utf-8", "surrogateescape"): tuple(r.ids) for r in rows}
 
 

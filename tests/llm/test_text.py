@@ -150,6 +150,16 @@ def test_fold_column_equals_fold_in_tasks(spark, coder):
         assert tuple(r.ids) == bpe.fold_bytes(bytes(r.w), ranks)
 
 
+def test_bpe_plans_do_not_hold_the_ranks(spark, coder, monkeypatch):
+    ranks, library = coder
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(ODD)], "doc_id long, text string")
+    plans, collect = [], type(docs).collect
+    monkeypatch.setattr(type(docs), "collect", lambda df: plans.append(df._jdf.queryExecution().toString()) or collect(df))
+    found = bpe.frequent_words(docs, ranks, public_tokenizers.PATTERN)
+    assert found and all(list(ids) == library.encode_ordinary(word) for word, ids in found.items())
+    assert plans and max(map(len, plans)) < 100_000  # the ranks alone are more than a million characters
+
+
 def test_words_folded_together_equal_words_folded_alone(coder):
     ranks, _ = coder
     rng, pieces = random.Random(16), list(ranks)
